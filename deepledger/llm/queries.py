@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deepledger.llm import chat, packing, pii, topk, warc
+from deepledger.llm import chat, jaccard, packing, pii, topk, warc
 from deepledger.llm.common import scratch, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -28,6 +28,10 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_components(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
@@ -45,7 +49,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op3_topk, op5_warc, op9_pii, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_chat_format, op3_topk, op4_jaccard_join, op5_warc, op9_pii, op10_packing)}
 
 #: Escapes of deepledger.llm.chat, one backslash in each control string.
 _SLASHED = r"regexp_replace(regexp_replace({}, '<(\\*(\||/?s>))', '<\\\1', 'g'), '\[(\\*/?INST\])', '[\\\1', 'g')"
@@ -69,6 +73,17 @@ ORACLES = {
             from v q join v d on q.vec_id % 20 = 0 and q.vec_id <> d.vec_id),
         r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as "rank", vec_id, score from s)
         select * from r where "rank" <= 20""",
+    "op4_jaccard_join": r"""
+        with recursive w as (
+            select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+        s as (
+            select doc_id, case when coalesce(len(ws), 0) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+                else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) end as s from w),
+        g as (select doc_id, hash(unnest(s)) as h, len(s) as n from s),
+        p as (select a.doc_id as a, b.doc_id as b, a.n + b.n as t, count(*) as c from g a join g b on a.h = b.h and a.doc_id < b.doc_id group by all),
+        e as (select a, b from p where 100 * c >= 80 * (t - c) union all select b, a from p where 100 * c >= 80 * (t - c)),
+        r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
+        select doc_id, len(s) as n_shingles, least(doc_id, coalesce((select min(b) from r where r.a = s.doc_id), doc_id)) as component_id from s""",
     "op5_warc": """
         with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
         f as (select payload_digest, min(page_id) as first from p where payload_bytes >= 100 group by 1)
