@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deepledger.llm import chat, jaccard, packing, pii, topk, warc
+from deepledger.llm import chat, decontaminate, jaccard, packing, pii, topk, warc
 from deepledger.llm.common import scratch, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -17,6 +17,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "select -7L as conv_id, turn, role, '</s>[INST] ok [/INST]' as text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(own))
@@ -49,12 +53,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op3_topk, op4_jaccard_join, op5_warc, op9_pii, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op3_topk, op4_jaccard_join, op5_warc, op9_pii, op10_packing)}
 
 #: Escapes of deepledger.llm.chat, one backslash in each control string.
 _SLASHED = r"regexp_replace(regexp_replace({}, '<(\\*(\||/?s>))', '<\\\1', 'g'), '\[(\\*/?INST\])', '[\\\1', 'g')"
 
 ORACLES = {
+    "op1_decontaminate": r"""
+        with w as (
+            select 'd' as side, doc_id as id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as ws from documents where doc_id is not null
+            union all select 'i', item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') from benchmark where item_id is not null),
+        i as (select id, least(len(ws), 5) as width, unnest(list_transform(range(1, len(ws) - least(len(ws), 5) + 2), lambda i: array_to_string(ws[i:i + least(len(ws), 5) - 1], ' '))) as g from w where side = 'i' and len(ws) > 0),
+        d as (select id, width, unnest(list_transform(range(1, len(ws) - width + 2), lambda i: array_to_string(ws[i:i + width - 1], ' '))) as g
+            from w, (select distinct width from i) where side = 'd' and len(ws) >= width),
+        n as (select id, count(distinct g) as item_shingles from i group by id),
+        c as (select d.id as doc_id, i.id as item_id, count(distinct g) as shared from d join i using (width, g) group by all)
+        select doc_id, item_id, item_shingles, shared, shared / item_shingles as containment from c join n on n.id = item_id where 100 * shared >= 80 * item_shingles""",
     "op2_chat_format": f"""
         with turns as (
             select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
