@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deepledger.llm import chat, decontaminate, jaccard, packing, pii, topk, warc
+from deepledger.llm import chat, decontaminate, jaccard, langid, packing, pii, topk, toxicity, warc
 from deepledger.llm.common import scratch, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -44,6 +44,19 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.severity(docs, model)
+    return scored.select("doc_id", "expected_severity", "grade", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"))
+    model = langid.train(docs.where(~F.col("held_out")))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model, spans=False).drop("text")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(pii.detect_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), redact=False))
 
@@ -53,7 +66,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op3_topk, op4_jaccard_join, op5_warc, op9_pii, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op3_topk, op4_jaccard_join, op5_warc, op7_toxicity, op8_language_id, op9_pii, op10_packing)}
 
 #: Escapes of deepledger.llm.chat, one backslash in each control string.
 _SLASHED = r"regexp_replace(regexp_replace({}, '<(\\*(\||/?s>))', '<\\\1', 'g'), '\[(\\*/?INST\])', '[\\\1', 'g')"
