@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deepledger.llm import chat, decontaminate, jaccard, langid, packing, pii, topk, toxicity, warc
+from deepledger.llm import chat, decontaminate, jaccard, langid, packing, pii, quality, topk, toxicity, warc
 from deepledger.llm.common import scratch, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -44,6 +44,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    return quality.score_quality(table(spark, sf_dir, "documents"), trusted)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -66,7 +71,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op3_topk, op4_jaccard_join, op5_warc, op7_toxicity, op8_language_id, op9_pii, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op3_topk, op4_jaccard_join, op5_warc, op6_quality, op7_toxicity, op8_language_id, op9_pii, op10_packing)}
 
 #: Escapes of deepledger.llm.chat, one backslash in each control string.
 _SLASHED = r"regexp_replace(regexp_replace({}, '<(\\*(\||/?s>))', '<\\\1', 'g'), '\[(\\*/?INST\])', '[\\\1', 'g')"
