@@ -37,10 +37,17 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a reliable checkpoint in the shared folder."""
+#: Rows of a narrow table that one partition holds when it is compacted.
+PART_ROWS = 250_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The same rows with their lineage cut by a reliable checkpoint in the shared folder.
+
+    rows: a bound on the rows of a narrow table, which then gets no more partitions, and files, than it needs.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(rows // PART_ROWS + 1)).checkpoint(eager=True)
 
 
 #: Rows of a narrow table up to which it is broadcast after being counted; beyond it Spark shuffles both sides.
@@ -174,20 +181,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Alternates large-star and small-star steps; each is one grouped minimum and a join, with edges checkpointed between.
     """
     edges = cut(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    before = None
-    while True:
+    size, before = edges.count(), None
+    while size:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
+        large = cut(large.where("u != v").distinct(), size)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = cut(small.where("u != v").distinct())
+        edges = cut(small.where("u != v").distinct(), size)
         now = edges.agg(F.count("*").alias("n"), F.expr("sum(cast(xxhash64(u, v) as decimal(38, 0)))").alias("h")).first()
         if now == before:
             break
-        before = now
+        size, before = now["n"], now
     members = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return members.union(roots)

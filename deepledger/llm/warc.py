@@ -93,21 +93,27 @@ def _placed(rows: DataFrame) -> DataFrame:
 def reachable(candidates: DataFrame) -> DataFrame:
     """(file, offset) of the candidates that the chain from each file's first byte visits, of (file, offset, next).
 
-    Pointer jumping: in each round every reached record marks the record its jump leads to, and jumps double, so a chain of n
-    records takes about log2(n) rounds of two joins.
+    Candidates that lead to the one after them form runs, and runs become single links, so a file with nothing false in it is one
+    run. Over the links goes pointer jumping: in each round every reached run marks the run and entry its jump leads to, and jumps
+    double, so n runs take about log2(n) rounds. A reached run's candidates count from its entry on.
     """
-    jumps = cut(candidates.select("file", "offset", "next"))
-    found = jumps.where("offset = 0").select("file", "offset")
-    total = 0
-    while True:
-        ahead = found.join(jumps, ["file", "offset"]).select("file", F.col("next").alias("offset"))
-        found = cut(found.union(ahead.join(jumps.select("file", "offset"), ["file", "offset"], "left_semi")).distinct())
-        now = found.count()
-        if now == total:
-            return found
+    order = Window.partitionBy("file").orderBy("offset")
+    head = F.coalesce(F.lag("next").over(order) != F.col("offset"), F.lit(True)).cast("long")
+    members = cut(candidates.select("file", "offset", "next", head.alias("head")).withColumn("run", F.sum("head").over(order)).drop("head"))
+    exits = members.groupBy("file", "run").agg(F.max_by("next", "offset").alias("entry"))
+    entries = members.select("file", F.col("offset").alias("entry"), F.col("run").alias("to"))
+    runs = exits.count()
+    jumps = cut(exits.join(entries, ["file", "entry"]).select("file", "run", "to", "entry"), runs)
+    found = cut(members.where("offset = 0").select("file", "run", F.col("offset").alias("entry")), runs)
+    total, now = 0, found.count()
+    while now > total:
         total = now
-        onward = jumps.select("file", F.col("offset").alias("next"), F.col("next").alias("beyond"))
-        jumps = cut(jumps.join(onward, ["file", "next"], "left").select("file", "offset", F.coalesce("beyond", "next").alias("next")))
+        ahead = found.select("file", "run").join(jumps, ["file", "run"]).select("file", F.col("to").alias("run"), "entry")
+        found = cut(found.union(ahead).distinct(), runs)
+        onward = jumps.select("file", F.col("run").alias("to"), F.col("to").alias("beyond"), F.col("entry").alias("there"))
+        jumps = cut(jumps.join(onward, ["file", "to"]).select("file", "run", F.col("beyond").alias("to"), F.col("there").alias("entry")), runs)
+        now = found.count()
+    return members.join(found, ["file", "run"]).where(F.col("offset") >= F.col("entry")).select("file", "offset")
 
 
 RECORD = ("file", "offset", "warc_type", "record_id", "target", "refers_to", "digest", "payload_bytes", "payload_digest")
