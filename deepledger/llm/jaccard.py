@@ -22,8 +22,8 @@ from deepledger.llm.common import GOLDEN, connected_components, cut, join_counte
 WORDS, BUCKETS = 5, 2048
 #: Sets of at most so many shingles link only to equal ones.
 TINY = 3
-#: Cost of one enumerated subset against one list entry.
-SUBSET_COST = 1.0
+#: Cost of a list entry that is only scanned, against a signature that is emitted and shuffled.
+SCAN_COST = 0.05
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
@@ -145,7 +145,7 @@ def boundary(shared: DataFrame) -> int:
     """The set size up to which pairs of shingles are enumerated, as a power of two, where the two costs together are least."""
     lists = F.aggregate(F.slice("df", 1, F.col("p")), F.lit(0).cast("long"), lambda a, x: a + x)
     costs = shared.withColumn("p", F.size("tokens") - _least() + 1).groupBy(F.floor(F.log2("n")).alias("level"))
-    rows = sorted(costs.agg(F.sum(F.col("p") * (F.col("p") + 1) / 2 * SUBSET_COST).alias("subsets"), F.sum(lists).alias("lists")).collect())  # a row for each power of two
+    rows = sorted(costs.agg(F.sum(F.col("p") * (F.col("p") + 1) / 2).alias("subsets"), F.sum(F.col("p") + lists * SCAN_COST).alias("lists")).collect())  # a row for each power of two
     best, at = sum(r["lists"] for r in rows), 0
     total = best
     for r in rows:
