@@ -38,3 +38,22 @@ SCORED = DETECTIONS + f""", fused as (select *, {FUSION} as fusion from detectio
     ranked as (select *, case when anomaly >= 0.8 and class_confidence < 0.6 then 'human_review_required' when fusion >= {K.CONFIRM} then 'confirmed' when fusion >= {K.REVIEW} then 'review' else 'candidate' end as status,
         floor((round({risk(0)} * 1000) * 20 + round({_SIZE} * 1000) * 10 + round({risk(1)} * 1000) * 25 + round({risk(2)} * 1000) * 20 + floor((round(fusion * 10000) + 5) / 10) * 15 + 500 * 10 + 50) / 100) / 10 as priority from fused),
     scored as (select *, case when priority >= 80 then 'critical' when priority >= 60 then 'high' when priority >= 40 then 'medium' else 'low' end as tier from ranked)"""
+
+
+def geodesic(source: str, name: str, lat: str, lon: str, bearing: str, distance: str) -> str:
+    """CTEs that give `source` the columns {name}_lat and {name}_lon, as table {name}."""
+    f, a = K.WGS84_F, K.WGS84_A
+    b = a * (1 - f)
+    step = "cos(s) * (2 * pow(cos(2 * _arc + s), 2) - 1) - _b / 6 * cos(2 * _arc + s) * (4 * pow(sin(s), 2) - 3) * (4 * pow(cos(2 * _arc + s), 2) - 3)"
+    lost = f"(1 - _c) * {f}::double * _sa * (_s + _c * sin(_s) * (_m + _c * cos(_s) * (2 * _m * _m - 1)))"
+    wrapped = pmod360(f"{lon} + degrees(atan2(sin(_s) * sin(_az), cos(_u) * cos(_s) - sin(_u) * sin(_s) * cos(_az)) - {lost}) + 540")
+    return f"""{name}_1 as (select *, radians({bearing}) as _az, atan((1 - {f}::double) * tan(radians({lat}))) as _u, {distance} as _d from {source}),
+  {name}_2 as (select *, atan2(tan(_u), cos(_az)) as _arc, cos(_u) * sin(_az) as _sa from {name}_1),
+  {name}_3 as (select *, (1 - _sa * _sa) as _ca, (1 - _sa * _sa) * {(a * a - b * b) / (b * b)!r}::double as _q from {name}_2),
+  {name}_4 as (select *, _d / ({b!r}::double * (1 + _q / 16384 * (4096 + _q * (-768 + _q * (320 - 175 * _q))))) as _first, _q / 1024 * (256 + _q * (-128 + _q * (74 - 47 * _q))) as _b, {f}::double / 16 * _ca * (4 + {f}::double * (4 - 3 * _ca)) as _c from {name}_3),
+  {name}_5 as (select *, list_reduce([0, 1, 2, 3, 4, 5]::double[], lambda s, i: _first + _b * sin(s) * (cos(2 * _arc + s) + _b / 4 * ({step})), _first) as _s from {name}_4 where _d is not null and _u is not null and _az is not null
+        union all select *, null from {name}_4 where _d is null or _u is null or _az is null),
+  {name}_6 as (select *, cos(2 * _arc + _s) as _m, sin(_u) * sin(_s) - cos(_u) * cos(_s) * cos(_az) as _x from {name}_5),
+  {name} as (select * exclude (_az, _u, _d, _arc, _sa, _ca, _q, _first, _b, _c, _s, _m, _x),
+        case when _d <= 0 then {lat} else degrees(atan2(sin(_u) * cos(_s) + cos(_u) * sin(_s) * cos(_az), (1 - {f}::double) * sqrt(_sa * _sa + _x * _x))) end as {name}_lat,
+        case when _d <= 0 then {lon} else {wrapped} - 180 end as {name}_lon from {name}_6)"""
