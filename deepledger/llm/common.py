@@ -175,14 +175,35 @@ def clean_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a partition as stars: each of its ids with the smallest id that its own edges reach."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    u, v = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 2
+    ids, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = flat[: len(u)], flat[len(u) :]
+    root = np.arange(len(ids))
+    while True:  # hook the larger root to the smaller, then shorten all paths
+        x, y = root[a], root[b]
+        if (x == y).all():
+            break
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != (up := root[root])).any():
+            root = up
+    far = np.flatnonzero(root != np.arange(len(ids)))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[root[far]])], names=["u", "v"])
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component): the smallest id reachable over undirected edges, for every id on an edge.
+    """(id, component): the smallest id (a long) reachable over undirected edges, for every id on an edge.
 
-    Alternates large-star and small-star steps; each is one grouped minimum and a join, with edges checkpointed between.
+    Each partition, of about PART_ROWS edges, first turns its own edges into stars. If there are several, large-star and
+    small-star steps alternate until nothing changes; each is one grouped minimum and a join, with edges checkpointed between.
     """
-    edges = cut(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    edges = cut(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
     size, before = edges.count(), None
-    while size:
+    parts = size // PART_ROWS + 1
+    edges = cut(edges.coalesce(parts).mapInArrow(_forest, "u long, v long"))
+    while edges.rdd.getNumPartitions() > 1:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -1,15 +1,16 @@
 """Exact similarity join of documents on shingle sets, size-aware: subsets for small sets, inverted lists for large ones.
 
 Two sets link when 100 * |A & B| >= 80 * |A | B|. All sets share one order of shingles, that of their hashes. A set of n sends its
-first K(n) = n - ceil(0.8 n) + 2 + n // 10 shingles: of any linked pair, the set whose prefix ends first has at least
-2 + min(n, m) // 10 of them in the other's prefix, hence L(n) = 2 + ceil(0.8 n) // 10 for any partner of a set of n. Shingles that
-occur in one prefix only cannot be shared, so a set with fewer than L others is done. What is left of a set is ordered by
-frequency, rare first, and its candidates follow from its rarest |left| - L + 1 shingles (lists) or |left| - L + 2 (pairs of them).
+first K(n) = n - ceil(0.8 n) + 2 + n // 20 shingles: of any linked pair, the set whose prefix ends first has at least
+2 + min(n, m) // 20 of them in the other's prefix, hence 2 + ceil(0.8 n) // 20 for any partner of a set of n. Shingles that occur in
+one prefix only cannot be shared, so a set with fewer others is done. Of the sets left, all shingles are counted in the same way: a
+set needs ceil(0.8 n) of them in others. What it shares is ordered by frequency, rare first, and its candidates follow from its
+rarest |shared| - ceil(0.8 n) + 1 shingles (inverted lists) or from the pairs among one more (subsets of fixed size).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,15 @@ SCAN_COST = 0.05
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
-    return np.minimum(n, n - -(-4 * n // 5) + 2 + n // 10)
+    return np.minimum(n, n - -(-4 * n // 5) + 2 + n // 20)
 
 
-def least_shared(n: np.ndarray) -> np.ndarray:
-    return 2 + -(-4 * n // 5) // 10
+def least_in_prefix(n: np.ndarray) -> np.ndarray:
+    return 2 + -(-4 * n // 5) // 20
+
+
+def least_in_set(n: np.ndarray) -> np.ndarray:
+    return -(-4 * n // 5)
 
 
 def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
@@ -92,8 +97,12 @@ def _bucket_of(x: np.ndarray) -> np.ndarray:
     return (mix64(x.astype(np.uint64) ^ np.uint64(GOLDEN)) >> np.uint64(40)).astype(np.int64) % BUCKETS
 
 
-def shared_prefixes(sketches: DataFrame) -> DataFrame:
-    """(node, n, tokens, df): sets with at least L(n) prefix shingles that another's prefix has too, those shingles rare first, and in how many prefixes each is."""
+def shared_tokens(sets: DataFrame, least: Callable[[np.ndarray], np.ndarray], with_tokens: bool) -> DataFrame:
+    """(node, n, tokens, df) of the sets (row, n, low) of which at least least(n) members are in others: those members, rare first, and in how many sets each is.
+
+    Members go to the buckets of their hashes, packed, and what is shared comes back to the buckets of the sets. Without
+    with_tokens only its number comes back, and tokens and df are empty.
+    """
 
     def by_token(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,8 +120,13 @@ def shared_prefixes(sketches: DataFrame) -> DataFrame:
         first = np.flatnonzero(np.diff(tokens, prepend=tokens[:1] ^ np.uint64(1)) != 0)
         df = np.repeat(np.diff(first, append=len(tokens)), np.diff(first, append=len(tokens)))
         keep = df > 1
-        if keep.any():
+        if not keep.any():
+            return
+        if with_tokens:
             yield _packed(_bucket_of(rows[keep]), tokens[keep], rows[keep], df[keep])
+        else:
+            some, k = np.unique(rows[keep], return_counts=True)
+            yield _packed(_bucket_of(some), k.astype(np.uint64), some, np.ones(len(some)))
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,17 +141,22 @@ def shared_prefixes(sketches: DataFrame) -> DataFrame:
         known, n_of = rows[is_size][order], keys[is_size][order].astype(np.int64)
         tokens, rows, df = keys[~is_size], rows[~is_size], df[~is_size]
         nodes, inverse, counts = np.unique(rows, return_inverse=True, return_counts=True)
+        if not with_tokens:
+            counts = np.bincount(inverse, weights=tokens.astype(np.float64), minlength=len(nodes)).astype(np.int64)
         n = n_of[np.searchsorted(known, nodes)] if len(nodes) else np.zeros(0, np.int64)
-        live = counts >= least_shared(n)
-        order = np.lexsort((tokens, df, inverse))
-        order = order[live[inverse[order]]]
-        lists = lambda v, kind: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts[live])]), pa.int32()), pa.array(v[order].view(np.int64) if kind == pa.int64() else v[order].astype(np.int32), kind))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[live]), pa.array(n[live]), lists(tokens, pa.int64()), lists(df, pa.int32())], names=["node", "n", "tokens", "df"])
-
-    live = sketches.where(F.col("low").isNotNull())
-    postings = live.select("row", "low").mapInArrow(by_token, PACKED).repartition("bucket")
+        live = counts >= least(n)
+        if with_tokens:
+            order = np.lexsort((tokens, df, inverse))
+            order = order[live[inverse[order]]]
+            ends = np.concatenate([[0], np.cumsum(counts[live])])
+        else:
+            order, ends = np.zeros(0, np.int64), np.zeros(int(live.sum()) + 1, np.int64)
+        lists = lambda v: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[live]), pa.array(n[live]), lists(tokens[order].view(np.int64)), lists(df[order].astype(np.int32))], names=["node", "n", "tokens", "df"])
+
+    postings = sets.select("row", "low").mapInArrow(by_token, PACKED).repartition("bucket")
     found = postings.mapInArrow(by_set, PACKED)
-    every = live.select("row", "n").mapInArrow(sizes, PACKED)
+    every = sets.select("row", "n").mapInArrow(sizes, PACKED)
     return found.union(every).repartition("bucket").mapInArrow(select, "node long, n long, tokens array<long>, df array<int>")
 
 
@@ -156,21 +175,23 @@ def boundary(shared: DataFrame) -> int:
 
 
 def _least():
-    return (F.lit(2) + F.floor(F.ceil(F.col("n") * F.lit(4) / 5) / 10)).cast("int")
+    return F.floor((F.col("n") * 4 + 4) / 5).cast("int")
 
 
 def signatures(shared: DataFrame, light: int) -> DataFrame:
-    """(sig, node, n): any linked pair has one in common. Sets of at most `light` shingles give pairs, larger ones and those that may link to them single shingles."""
+    """(sig, at, node, n): any linked pair has a sig in common; `at` counts a set's from 0, rarest first.
+
+    Sets of at most `light` shingles give pairs of shingles, larger ones and those that may link to them single shingles.
+    """
     prefix = lambda more: F.slice("tokens", 1, F.greatest(F.lit(0), F.size("tokens") - _least() + more))
-    single = shared.where(F.col("n") >= -(-4 * light // 5)).select(F.explode(prefix(1)).alias("sig"), "node", "n") if light else shared.select(F.explode(prefix(1)).alias("sig"), "node", "n")
-    pairs = shared.where(F.col("n") <= light).withColumn("p", prefix(2))
-    ends = pairs.select("node", "n", "p", F.posexplode("p").alias("i", "a"))
-    pairs = ends.select("node", "n", F.col("a"), F.explode(F.slice("p", F.col("i") + 2, F.size("p"))).alias("b")).select(F.xxhash64("a", "b").alias("sig"), "node", "n")
-    return single.unionByName(pairs)
+    single = shared.where(F.col("n") >= -(-4 * light // 5)).select(F.posexplode(prefix(1)).alias("at", "sig"), "node", "n").select("sig", "at", "node", "n")
+    ends = shared.where(F.col("n") <= light).withColumn("p", prefix(2)).select("node", "n", "p", F.posexplode("p").alias("at", "a"))
+    pairs = ends.select("node", "n", "at", "a", F.explode(F.slice("p", F.col("at") + 2, F.size("p"))).alias("b"))
+    return single.unionByName(pairs.select(F.xxhash64("a", "b").alias("sig"), "at", "node", "n"))
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, tokens): all shingle hashes of the documents of (node, doc_id, f1, f2)."""
+    """(node, n, low): all shingle hashes, packed, of the documents of (node, doc_id, f1, f2)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,41 +199,49 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 part = batch.slice(a, b - a)
                 sets = shingle_sets(part["text"], WORDS)
                 same = [i for i, s in enumerate(sets) if fingerprint(s) == (part["f1"][i].as_py(), part["f2"][i].as_py())]
-                lists = pa.array([sets[i].view(np.int64) for i in same], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part["node"].take(pa.array(same, pa.int64())), lists], names=["node", "tokens"])
+                yield pa.RecordBatch.from_arrays([part["node"].take(pa.array(same, pa.int64())), pa.array([len(sets[i]) for i in same], pa.int64()), pa.array([sets[i].tobytes() for i in same], pa.binary())], names=["node", "n", "low"])
 
     wanted = join_counted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), nodes, ["doc_id"], "inner")
-    return wanted.select("node", "f1", "f2", "text").mapInArrow(work, "node long, tokens array<long>")
+    return wanted.select("node", "f1", "f2", "text").mapInArrow(work, "node long, n long, low binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link. Each side's sets are shuffled once to the pairs."""
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    common = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("c"), (F.size("x") + F.size("y")).cast("long").alias("s"))
-    return common.where(F.col("c") * 100 >= (F.col("s") - F.col("c")) * 80).select("a", "b")
+    """The pairs (a, b) whose sets link. Each side's sets are shuffled once to the pairs; batches of them are intersected."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch["x"], batch["y"]):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = np.concatenate([x, y])
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                keep.append(100 * common >= 80 * (len(both) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("low").alias("x")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("low").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
 def _near(a: str, b: str):
     return (F.col(a) * 5 >= F.col(b) * 4) & (F.col(b) * 5 >= F.col(a) * 4)
 
 
-def link_components(sigs: DataFrame, sets: DataFrame, rounds: int = 2) -> DataFrame:
+def link_components(sigs: DataFrame, sets: DataFrame, rounds: int = 2, votes: int = 4) -> DataFrame:
     """(id, component) of the sets on a link, never looking at all pairs of one list.
 
-    In a few rounds each set is compared with one pivot: of the pivots of its lists, of which every list picks one by hash, that
-    which most of its lists picked. Groups of near copies so fall into one component. Then, in lists with several components left,
-    the members outside the largest are compared with those of the other components; no pair is compared that is linked already.
+    In a few rounds each set is compared with one pivot: of the pivots of its first `votes` lists, of which every list picks one
+    by hash, that which most of them picked. Groups of near copies so fall into few components. Then, in all lists with several
+    components left, the members outside the largest are compared with those of the other components.
     """
-    links = tried = None
-    labels = None
+    labels, links, tried = None, None, None
+    some = cut(sigs.where(F.col("at") < votes))
     for seed in range(rounds):
-        members = sigs if labels is None else sigs.join(labels, F.col("node") == F.col("id"), "left").select("sig", "node", "n", F.coalesce("component", "node").alias("c"))
-        group = members.groupBy("sig").agg(F.min_by(F.struct("node", "n", *(["c"] if seed else [])), F.xxhash64("node", "sig", F.lit(seed))).alias("p"), F.count("*").alias("k")).where("k > 1")
-        edges = members.join(group.select("sig", "p"), "sig").select("node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("m"), *(["c", F.col("p.c").alias("d")] if seed else []))
-        edges = edges.where((F.col("node") != F.col("pivot")) & _near("n", "m") & (F.col("c") != F.col("d") if seed else F.lit(True)))
-        votes = edges.groupBy("node", "pivot").agg(F.count("*").alias("k"))
-        best = votes.groupBy("node").agg(F.max_by("pivot", F.struct("k", "pivot")).alias("pivot"))
+        members = some.withColumn("c", F.col("node")) if labels is None else some.join(labels, F.col("node") == F.col("id"), "left").select("sig", "node", "n", F.coalesce("component", "node").alias("c"))
+        group = members.groupBy("sig").agg(F.min_by(F.struct("node", "n", "c"), F.xxhash64("node", "sig", F.lit(seed))).alias("p"), F.count("*").alias("k")).where("k > 1")
+        edges = members.join(group.select("sig", "p"), "sig").where((F.col("c") != F.col("p.c")) & _near("n", "p.n"))
+        best = edges.groupBy("node", F.col("p.node").alias("pivot")).agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("pivot", F.struct("k", "pivot")).alias("pivot"))
         pairs = cut(best.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
         new = verified(pairs, sets)
         links = cut(new if links is None else links.union(new))
@@ -242,11 +271,12 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     filled = sketches.where("n > 0 and doc_id is not null").select("row", "doc_id", "n", "f1", "f2")
     reps = cut(filled.groupBy("f1", "f2").agg(F.min("row").alias("node"), F.min("doc_id").alias("first"), F.count("*").alias("copies")))
     copies = filled.join(reps.where("copies > 1").select("f1", "f2", "node"), ["f1", "f2"]).where("row != node").select("row")
-    shared = cut(shared_prefixes(join_counted(sketches.where("low is not null and doc_id is not null").select("row", "n", "low"), copies, ["row"], "left_anti")))
-    sigs = cut(signatures(shared, boundary(shared)))
-    active = sigs.select("node").distinct()
-    wanted = reps.join(active, "node", "left_semi").join(sketches.select(F.col("row").alias("node"), "doc_id"), "node").select("node", "doc_id", "f1", "f2")
+    prefixes = join_counted(sketches.where("low is not null and doc_id is not null").select("row", "n", "low"), copies, ["row"], "left_anti")
+    active = cut(shared_tokens(prefixes, least_in_prefix, with_tokens=False).select("node"))
+    wanted = sketches.select(F.col("row").alias("node"), "doc_id", "f1", "f2").join(active, "node")
     sets = cut(full_sets(docs, wanted).dropDuplicates(["node"]))
+    shared = cut(shared_tokens(sets.withColumnRenamed("node", "row"), least_in_set, with_tokens=True))
+    sigs = cut(signatures(shared, boundary(shared)))
     labels = link_components(sigs, sets)
     named = reps.join(labels, F.col("node") == F.col("id"), "left").withColumn("c", F.coalesce("component", "node"))
     smallest = named.groupBy("c").agg(F.min("first").alias("component_id"))
