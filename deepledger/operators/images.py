@@ -1,0 +1,193 @@
+"""Image statistics over a pixel table (image_id, row, col, v) and NumPy kernels for operators that need whole images."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def pixels_of(vectors: DataFrame, side: int = 8) -> DataFrame:
+    """A pixel table from vectors taken as square images: 32 grey levels a unit around 128."""
+    p = vectors.select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("i", "x"))
+    v = F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + F.col("x").cast("double") * 32))).cast("int")
+    return p.select("image_id", F.floor(F.col("i") / side).cast("int").alias("row"), (F.col("i") % side).alias("col"), v.alias("v"))
+
+
+def quality(pixels: DataFrame) -> DataFrame:
+    """Mean, population deviation, contrast of the 2nd to 98th percentile, noise, entropy of 64 bins, dark and bright shares, flags and score."""
+    step = F.abs(F.col("v") - F.lag("v").over(Window.partitionBy("image_id", "row").orderBy("col")))
+    stats = pixels.withColumn("step", step).groupBy("image_id").agg(
+        F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), ((F.percentile("v", 0.98) - F.percentile("v", 0.02)) / 255).alias("contrast"), F.avg("step").alias("noise"),
+        F.avg(F.when(F.col("v") < 10, 1.0).otherwise(0.0)).alias("dark"), F.avg(F.when(F.col("v") > 245, 1.0).otherwise(0.0)).alias("bright"), F.count("*").alias("n"),
+    )
+    bins = pixels.groupBy("image_id", F.floor(F.col("v") / 4).alias("bin")).agg(F.count("*").alias("k"))
+    entropy = bins.join(stats.select("image_id", "n"), "image_id").groupBy("image_id").agg((-F.sum(F.col("k") / F.col("n") * F.log2(F.col("k") / F.col("n")))).alias("entropy"))
+    flags = F.array_join(F.array_compact(F.array(
+        F.when(F.col("contrast") < 0.08, "low_contrast"), F.when(F.col("noise") > 40, "high_noise"), F.when(F.col("dark") > 0.9, "all_dark"),
+        F.when(F.col("bright") > 0.9, "all_bright"), F.when((F.col("mean") < 5) | (F.col("mean") > 250), "degenerate_range"),
+    )), ",")
+    valid = F.when((F.col("dark") > 0.9) | (F.col("bright") > 0.9), 0.0).otherwise(100.0)
+    score = 0.2 * valid + 0.3 * 100 * F.least(F.lit(1.0), F.col("contrast") / 0.35) + 0.2 * 100 * F.greatest(F.lit(0.0), 1 - F.col("noise") / 60)
+    r = lambda c, k=4: F.round(c, k).alias(c)
+    return stats.join(entropy, "image_id").select("image_id", r("mean"), r("sd"), r("contrast"), r("noise"), r("entropy"), r("dark"), r("bright"), flags.alias("flags"), F.round(score, 2).alias("score"))
+
+
+def dark_run(pixels: DataFrame, sigmas: float = 0.5) -> DataFrame:
+    """The first run of rows darker than mean - sigmas * deviation: where it starts and how long it is; no row for images without one."""
+    mean = pixels.groupBy("image_id").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    profile = pixels.groupBy("image_id", "row").agg(F.avg("v").alias("p")).join(mean, "image_id")
+    dark = profile.where(F.col("p") < F.col("m") - sigmas * F.col("s"))
+    order = Window.partitionBy("image_id").orderBy("row")
+    runs = dark.withColumn("island", F.col("row") - F.row_number().over(order)).groupBy("image_id", "island").agg(F.min("row").alias("start_row"), F.count("*").alias("length"))
+    return runs.groupBy("image_id").agg(F.min("start_row").alias("start_row"), F.min_by("length", "start_row").alias("length"))
+
+
+def robust_bright(pixels: DataFrame, sigmas: float = 2.5) -> DataFrame:
+    """Share of pixels above median + sigmas * 1.4826 * median absolute deviation."""
+    middle = pixels.groupBy("image_id").agg(F.median("v").alias("med"))
+    off = pixels.join(middle, "image_id").withColumn("off", F.abs(F.col("v") - F.col("med")))
+    spread = off.groupBy("image_id").agg((1.4826 * F.median("off")).alias("mad"))
+    return off.join(spread, "image_id").groupBy("image_id").agg(F.round(F.avg(F.when(F.col("v") > F.col("med") + sigmas * F.col("mad"), 1.0).otherwise(0.0)), 6).alias("bright_share"))
+
+
+def distance_anomaly(vectors: DataFrame, background: int = 0) -> DataFrame:
+    """Score in [0, 1] of each vector: how far its distance to the background's mean exceeds the background's median distance, in sixths of six medians."""
+    x = vectors.where("embedding is not null").select("vec_id", "label", F.posexplode("embedding").alias("i", "x"))
+    centre = x.where(F.col("label") == background).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("c"))  # a row for each component
+    d = x.join(F.broadcast(centre), "i").groupBy("vec_id", "label").agg(F.sqrt(F.sum(F.pow(F.col("x").cast("double") - F.col("c"), 2))).alias("d"))
+    typical = d.where(F.col("label") == background).agg(F.median("d").alias("b"))
+    return d.crossJoin(F.broadcast(typical)).select("vec_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("d") - F.col("b")) / (6 * F.col("b")))), 6).alias("score"))  # one row of the median
+
+
+def grey(data: bytes, height: int, width: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(height, width).astype(float)
+
+
+def stretch(image: np.ndarray) -> np.ndarray:
+    """1st to 99th percentile to 0..255."""
+    lo, hi = np.percentile(image, (1, 99))
+    return np.clip((image - lo) / max(hi - lo, 1e-6) * 255, 0, 255)
+
+
+def median3(image: np.ndarray) -> np.ndarray:
+    p = np.pad(image, 1, mode="edge")
+    h, w = image.shape
+    return np.median(np.stack([p[i : i + h, j : j + w] for i in range(3) for j in range(3)]), axis=0)
+
+
+def range_gain(image: np.ndarray) -> np.ndarray:
+    """Evens out row brightness by a gain between 0.5 and 4."""
+    rows = image.mean(1)
+    return np.clip(image * np.clip(rows.mean() / np.maximum(rows, 1e-6), 0.5, 4.0)[:, None], 0, 255)
+
+
+def blur(image: np.ndarray, sigma: float) -> np.ndarray:
+    r = max(1, int(3 * sigma + 0.5))
+    k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    k /= k.sum()
+    for axis in (0, 1):
+        p = np.pad(image, [(r, r) if a == axis else (0, 0) for a in (0, 1)], mode="reflect" if min(image.shape) > r else "edge")
+        image = np.apply_along_axis(np.convolve, axis, p, k, "valid")
+    return image
+
+
+def components(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(x, y, w, h, area) of the 8-connected regions, by rows of runs joined in a union-find."""
+    parent: list[int] = []
+    find = lambda i: i if parent[i] == i else find(parent[i])
+    runs, before = [], []
+    for y, row in enumerate(mask.astype(np.int8)):
+        edge = np.flatnonzero(np.diff(row, prepend=0, append=0))
+        now = []
+        for a, b in zip(edge[::2], edge[1::2]):
+            i = len(parent)
+            parent.append(i)
+            for c, d, j in before:
+                if c <= b and a <= d:
+                    parent[find(j)] = find(i)
+            now.append((a, b, i))
+            runs.append((y, a, b, i))
+        before = now
+    boxes: dict[int, list[int]] = {}
+    for y, a, b, i in runs:
+        box = boxes.setdefault(find(i), [a, y, b, y, 0])
+        box[0], box[2], box[3], box[4] = min(box[0], a), max(box[2], b), y, box[4] + b - a
+    return [(int(x), y, int(r - x), bottom - y + 1, int(n)) for x, y, r, bottom, n in boxes.values()]
+
+
+def detect(image: np.ndarray, least_area: int = 20, sigmas: float = 4.5) -> list[tuple[int, int, int, int, float]]:
+    """(x, y, w, h, score) of bright or dark blobs: a difference of Gaussians against each row's median and deviation, then regions."""
+    dog = np.abs(blur(image, 1.5) - blur(image, 6.0))
+    middle = np.median(dog, axis=1, keepdims=True)
+    spread = 1.4826 * np.median(np.abs(dog - middle), axis=1, keepdims=True) + 1e-6
+    mask = (dog - middle) / spread > sigmas
+    out = []
+    for x, y, w, h, area in components(mask):
+        if area >= least_area and area <= 0.3 * mask.size and max(w, h) <= 12 * min(w, h):
+            salience = min(1.0, float(dog[y : y + h, x : x + w].max()) / 60)
+            out.append((x, y, w, h, min(0.68, 0.32 + 0.36 * salience)))
+    return out
+
+
+def detect_images(images: DataFrame) -> DataFrame:
+    """Blobs of (image_id, data, height, width) rows, data 8-bit grey; images without a blob give no row."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = [(r.image_id, i, *map(float, b)) for r in rows.itertuples() for i, b in enumerate(detect(median3(stretch(grey(r.data, r.height, r.width)))))]
+            yield pd.DataFrame(found, columns=["image_id", "k", "x", "y", "w", "h", "score"])
+
+    return images.select("image_id", "data", "height", "width").mapInPandas(work, "image_id long, k int, x double, y double, w double, h double, score double")
+
+
+class Autoencoder:
+    """A tanh layer of 64 between 256 inputs and outputs, trained on background patches by batch gradient steps."""
+
+    def __init__(self, patches: np.ndarray, hidden: int = 64, epochs: int = 80, rate: float = 0.02, seed: int = 0):
+        rng = np.random.default_rng(seed)
+        d = patches.shape[1]
+        self.w1, self.b1 = rng.normal(0, d**-0.5, (d, hidden)), np.zeros(hidden)
+        self.w2, self.b2 = rng.normal(0, hidden**-0.5, (hidden, d)), np.zeros(d)
+        for _ in range(epochs):
+            order = rng.permutation(len(patches))
+            for batch in np.array_split(order, max(1, len(order) // 128)):
+                x = patches[batch]
+                h = np.tanh(x @ self.w1 + self.b1)
+                g = (h @ self.w2 + self.b2 - x) * (2 / len(x))
+                gh = (g @ self.w2.T) * (1 - h * h)
+                self.w2 -= rate * h.T @ g
+                self.b2 -= rate * g.sum(0)
+                self.w1 -= rate * x.T @ gh
+                self.b1 -= rate * gh.sum(0)
+
+    def errors(self, patches: np.ndarray) -> np.ndarray:
+        return ((np.tanh(patches @ self.w1 + self.b1) @ self.w2 + self.b2 - patches) ** 2).mean(1)
+
+
+def patch_anomaly(images: DataFrame, side: int = 16, least: int = 40) -> DataFrame:
+    """(image_id, row, col, score) of each patch of (image_id, data, height, width): reconstruction error over that of the image's own background.
+
+    Background patches are those below the median deviation; an image with fewer than `least` of them scores 0.5 everywhere.
+    """
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in rows.itertuples():
+            image = grey(r.data, r.height, r.width) / 255
+            at = [(y, x) for y in range(0, r.height - side + 1, side) for x in range(0, r.width - side + 1, side)]
+            patches = np.array([image[y : y + side, x : x + side].ravel() for y, x in at])
+            calm = patches[patches.std(1) <= np.median(patches.std(1))] if len(at) else patches
+            if len(calm) < least:
+                scores = np.full(len(at), 0.5)
+            else:
+                model = Autoencoder(calm)
+                usual = max(float(np.median(model.errors(calm))), 1e-9)
+                scores = np.clip((model.errors(patches) - usual) / (6 * usual), 0, 1)
+            out += [(r.image_id, y, x, float(s)) for (y, x), s in zip(at, scores)]
+        return pd.DataFrame(out, columns=["image_id", "row", "col", "score"])
+
+    return images.select("image_id", "data", "height", "width").groupBy("image_id").applyInPandas(work, "image_id long, row int, col int, score double")
