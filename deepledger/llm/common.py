@@ -155,7 +155,7 @@ def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     words, at = word_hashes(column)
     full = np.zeros(max(0, len(words) - k + 1), np.uint64)
     for i in range(k):
-        full += words[i : len(words) - k + 1 + i] * _MULT[i]
+        full += words[i : i + len(full)] * _MULT[i]
     full = mix64(full + np.uint64(k))
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
