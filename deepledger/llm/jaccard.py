@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deepledger.llm.common import GOLDEN, connected_components, cut, join_counted, mix64, scratch, shingle_sets, slices
@@ -25,6 +25,8 @@ WORDS, BUCKETS = 5, 2048
 TINY = 3
 #: Cost of a list entry that is only scanned, against a signature that is emitted and shuffled.
 SCAN_COST = 0.05
+#: Sets of a list up to which its pairs are looked at one by one.
+LIST_ROWS = 16
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
@@ -228,12 +230,52 @@ def _near(a: str, b: str):
     return (F.col(a) * 5 >= F.col(b) * 4) & (F.col(b) * 5 >= F.col(a) * 4)
 
 
-def link_components(sigs: DataFrame, sets: DataFrame, rounds: int = 2, votes: int = 4) -> DataFrame:
+def _differences(spots: DataFrame, sets: DataFrame) -> DataFrame:
+    """(main, node, n, c, d): the shingles that are in one only of the sets of node and main."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = [np.setxor1d(np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)) for x, y in zip(batch["x"], batch["y"])]
+            out = batch.select(["main", "node", "n", "c"])
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(apart, pa.list_(pa.int64()))], names=[*out.schema.names, "d"])
+
+    both = spots.join(sets.select("node", F.col("low").alias("x")), "node").join(sets.select(F.col("node").alias("main"), F.col("low").alias("y")), "main")
+    return both.select("main", "node", "n", "c", "x", "y").mapInArrow(work, "main long, node long, n long, c long, d array<long>")
+
+
+def near_reference(spots: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links, and pairs yet to be verified, among the sets (node, n, c) of each `main`, told apart by how they differ from it.
+
+    With D the difference of a set from main's, two sets link when |Da| + |Db| - 2 |Da & Db| <= (na + nb) / 9. Those that link
+    whatever they share all link to the set of least 9 |D| - n. All others share a member of D, and at least |Da| - na / 4 of them,
+    so each gives its rarest such members to a join. Copies of one text differ from it in little, and not in the same places.
+    """
+    apart = cut(_differences(spots, sets)).withColumn("m", F.size("d"))
+    apart = apart.withColumn("far", 9 * F.col("m") - F.col("n"))
+    hub = apart.groupBy("main").agg(F.min_by(F.struct("node", "c", "far"), F.struct("far", "node")).alias("hub"))
+    star = apart.join(hub, "main").where((F.col("c") != F.col("hub.c")) & (F.col("far") + F.col("hub.far") <= 0)).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+    tokens = apart.select("main", "node", "n", "c", "m", F.explode("d").alias("t"))
+    tokens = tokens.join(tokens.groupBy("main", "t").agg(F.count("*").alias("df")).where("df > 1"), ["main", "t"])
+    own, need = Window.partitionBy("main", "node"), F.greatest(F.lit(1), F.ceil(F.col("m") - F.col("n") / 4)).cast("int")
+    tokens = tokens.withColumns({"rest": need - 1, "k": F.count("*").over(own), "rank": F.row_number().over(own.orderBy("df", "t"))})
+    tokens = cut(tokens.where(F.col("rank") + F.col("rest") <= F.col("k")).select("main", "t", "node", "n", "c", "m", "rest"))
+    side = lambda x: tokens.select("main", "t", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "c", "m", "rest")])
+    pairs = side("a").where("c_a != main").join(side("b"), ["main", "t"]).where("c_a != c_b and (c_b = main or node_a < node_b)").where(_near("n_a", "n_b"))
+    pairs = pairs.groupBy("main", *[f"{c}_{x}" for c in ("node", "n", "m", "rest") for x in "ab"]).agg(F.count("*").alias("k"))
+    # k is what they share at least, and at most what one of them kept back is shared too
+    short, rest = 9 * (F.col("m_a") + F.col("m_b")) - F.col("n_a") - F.col("n_b") - 18 * F.col("k"), F.greatest("rest_a", "rest_b")
+    pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), short.alias("short"), rest.alias("rest"))
+    pairs = cut(pairs.where("short <= 18 * rest"))
+    return star.union(pairs.where("short <= 0").select("a", "b")), pairs.where("short > 0").select("a", "b")
+
+
+def link_components(sigs: DataFrame, sets: DataFrame, rounds: int = 2, votes: int = 4, list_rows: int = LIST_ROWS) -> DataFrame:
     """(id, component) of the sets on a link, never looking at all pairs of one list.
 
     In a few rounds each set is compared with one pivot: of the pivots of its first `votes` lists, of which every list picks one
     by hash, that which most of them picked. Groups of near copies so fall into few components. Then, in all lists with several
-    components left, the members outside the largest are compared with those of the other components.
+    components left, the members outside the largest meet those of the other components: pair by pair in lists of at most
+    `list_rows`, and by their differences from one set of the largest component in longer ones.
     """
     labels, links, tried = None, None, None
     some = cut(sigs.where(F.col("at") < votes))
@@ -249,13 +291,16 @@ def link_components(sigs: DataFrame, sets: DataFrame, rounds: int = 2, votes: in
         labels = cut(connected_components(links))
     members = cut(sigs.join(labels, F.col("node") == F.col("id"), "left").select("sig", "node", "n", F.coalesce("component", "node").alias("c")))
     sizes = members.groupBy("sig", "c").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("sig").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("groups")).where("groups > 1").select("sig", "main")
+    # ties are broken alike in all lists, so that lists of the same sets agree on one component
+    main = sizes.groupBy("sig").agg(F.max_by("c", F.struct("k", F.xxhash64("c"), "c")).alias("main"), F.count("*").alias("groups"), F.sum("k").alias("k")).where("groups > 1").drop("groups")
     open_lists = cut(members.join(main, "sig"))
-    outside = open_lists.where("c != main").select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    pairs = outside.join(open_lists.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), "sig")
-    pairs = pairs.where((F.col("ca") != F.col("cb")) & _near("na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-    return connected_components(links.union(verified(pairs, sets)))
+    near, unsure = near_reference(open_lists.where(F.col("k") > list_rows).select("node", "n", "c", "main").distinct(), sets)
+    short = open_lists.where(F.col("k") <= list_rows)
+    outside = short.where("c != main").select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
+    pairs = outside.join(short.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), "sig")
+    pairs = pairs.where((F.col("ca") != F.col("cb")) & _near("na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = cut(pairs.union(unsure).distinct().join(tried, ["a", "b"], "left_anti"))
+    return connected_components(links.union(near).union(verified(pairs, sets)))
 
 
 def similarity_components(docs: DataFrame) -> DataFrame:

@@ -97,6 +97,23 @@ def near_copies(seed):
     return out
 
 
+@pytest.mark.parametrize("rows", [1, 2])
+def test_similarity_in_long_lists(spark, monkeypatch, rows):
+    """Near copies at the border of 0.8 and shared passages, with all lists taken as long ones, and few pivots tried."""
+    link = jaccard.link_components
+    monkeypatch.setattr(jaccard, "link_components", lambda sigs, sets: link(sigs, sets, rounds=1, votes=1, list_rows=rows))
+    texts, r = near_copies(7), random.Random(8)
+    for g in range(3):
+        base = words(60, 9000 + g)
+        for i in range(40):
+            w = list(base)
+            for _ in range(1 + i % 4):
+                w[r.randrange(len(w))] = "edit" + str(r.randrange(4))
+            texts.append(" ".join(w))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.similarity_components(docs_of(spark, texts)).collect()}
+    assert got == brute_components(texts)
+
+
 @pytest.mark.parametrize("light", [None, 0, 10**6])
 def test_similarity_components(spark, monkeypatch, light):
     if light is not None:
