@@ -196,14 +196,16 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the smallest id (a long) reachable over undirected edges, for every id on an edge.
 
-    Each partition, of about PART_ROWS edges, first turns its own edges into stars. If there are several, large-star and
-    small-star steps alternate until nothing changes; each is one grouped minimum and a join, with edges checkpointed between.
+    In each round a partition, of about PART_ROWS edges, turns its own edges into stars; one partition is then done. If there are
+    several, a large-star and a small-star step follow, each a grouped minimum and a join, until a round changes nothing.
     """
     edges = cut(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
     size, before = edges.count(), None
-    parts = size // PART_ROWS + 1
-    edges = cut(edges.coalesce(parts).mapInArrow(_forest, "u long, v long"))
-    while edges.rdd.getNumPartitions() > 1:
+    while True:
+        parts = size // PART_ROWS + 1
+        edges = cut(edges.coalesce(parts).mapInArrow(_forest, "u long, v long"))
+        if parts == 1:  # all edges were together
+            break
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
