@@ -16,7 +16,7 @@ from deepledger.llm.common import ascii_lower, hash_spans, join_counted, slices,
 #: Labelled documents that a model is fitted on at most; the rest of the pipeline sees every row.
 FIT_ROWS = 10_000
 #: A word becomes a feature if it is in so many labelled documents and its log odds lie so many deviations from 0.
-LEAST_DOCS, LEAST_Z = 5, 4.0
+LEAST_DOCS, LEAST_Z = 3, 2.5
 TABLE_BITS = 20
 
 
