@@ -249,6 +249,8 @@ def near_reference(spots: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFr
     With D the difference of a set from main's, two sets link when |Da| + |Db| - 2 |Da & Db| <= (na + nb) / 9. Those that link
     whatever they share all link to the set of least 9 |D| - n. All others share a member of D, and at least |Da| - na / 4 of them,
     so each gives its rarest such members to a join. Copies of one text differ from it in little, and not in the same places.
+    The first member that two sets share is followed in both by all others they share, so it counts only where enough follow it;
+    what a pair shares is then at least its counted members, and at most those and the fewer of what follows the last of them.
     """
     apart = cut(_differences(spots, sets)).withColumn("m", F.size("d"))
     apart = apart.withColumn("far", 9 * F.col("m") - F.col("n"))
@@ -258,14 +260,14 @@ def near_reference(spots: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFr
     tokens = tokens.join(tokens.groupBy("main", "t").agg(F.count("*").alias("df")).where("df > 1"), ["main", "t"])
     own, need = Window.partitionBy("main", "node"), F.greatest(F.lit(1), F.ceil(F.col("m") - F.col("n") / 4)).cast("int")
     tokens = tokens.withColumns({"rest": need - 1, "k": F.count("*").over(own), "rank": F.row_number().over(own.orderBy("df", "t"))})
-    tokens = cut(tokens.where(F.col("rank") + F.col("rest") <= F.col("k")).select("main", "t", "node", "n", "c", "m", "rest"))
-    side = lambda x: tokens.select("main", "t", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "c", "m", "rest")])
-    pairs = side("a").where("c_a != main").join(side("b"), ["main", "t"]).where("c_a != c_b and (c_b = main or node_a < node_b)").where(_near("n_a", "n_b"))
-    pairs = pairs.groupBy("main", *[f"{c}_{x}" for c in ("node", "n", "m", "rest") for x in "ab"]).agg(F.count("*").alias("k"))
-    # k is what they share at least, and at most what one of them kept back is shared too
-    short, rest = 9 * (F.col("m_a") + F.col("m_b")) - F.col("n_a") - F.col("n_b") - 18 * F.col("k"), F.greatest("rest_a", "rest_b")
-    pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), short.alias("short"), rest.alias("rest"))
-    pairs = cut(pairs.where("short <= 18 * rest"))
+    tokens = cut(tokens.where(F.col("rank") + F.col("rest") <= F.col("k")).select("main", "t", "node", "n", "c", "m", (F.col("k") - F.col("rank")).alias("after")))
+    side = lambda x: tokens.select("main", "t", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "c", "m", "after")])
+    needed = 9 * (F.col("m_a") + F.col("m_b")) - F.col("n_a") - F.col("n_b")  # 18 times what a pair must share
+    follow = F.least("after_a", "after_b")
+    pairs = side("a").where("c_a != main").join(side("b"), ["main", "t"]).where("c_a != c_b and (c_b = main or node_a < node_b)").where(_near("n_a", "n_b") & (18 * (follow + 1) >= needed))
+    pairs = pairs.groupBy("main", *[f"{c}_{x}" for c in ("node", "n", "m") for x in "ab"]).agg(F.count("*").alias("k"), F.min(follow).alias("more"))
+    pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), (needed - 18 * F.col("k")).alias("short"), "more")
+    pairs = cut(pairs.where("short <= 18 * more"))
     return star.union(pairs.where("short <= 0").select("a", "b")), pairs.where("short > 0").select("a", "b")
 
 
