@@ -1,16 +1,17 @@
-"""Perplexity under an interpolated modified Kneser-Ney model of trusted text, thresholded by language."""
+"""Perplexity of words under an interpolated modified Kneser-Ney model of trusted text, thresholded by language."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
-from deepledger.llm.common import cut, join_counted, slices
+from deepledger.llm.common import BROADCAST_ROWS, GOLDEN, cut, hash_spans, join_counted, mix64, scratch, slices, spans_of, text_bytes
 
 #: Bits of a symbol in a packed n-gram, the symbol before a text, and the one for characters that training has not seen.
 BITS = 21
@@ -18,8 +19,59 @@ START, UNKNOWN = 0x1FFFFE, 0x1FFFFF
 LOW, MID = (1 << BITS) - 1, (1 << 2 * BITS) - 1
 #: The language of the model for rows whose own has none: all trusted text together.
 ANY = ""
-#: Rows of the whole model up to which tasks hold it; beyond it, documents' counts are joined to the count shards.
-MODEL_ROWS = 4_000_000
+#: Multipliers of the words of a trigram and of the number of its text, to find the distinct ones of a slice.
+_MIX = mix64(np.arange(101, 105, dtype=np.uint64) * np.uint64(GOLDEN)) | np.uint64(1)
+GRAM = "a long, b long, c long, n long"
+
+
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and each text's offsets among them.
+
+    A word is a run of ASCII letters, digits and characters beyond ASCII, or one of other visible characters; case counts.
+    """
+    data, offsets = text_bytes(column)
+    data = data.copy()
+    hard = np.flatnonzero((data[:-1] == 0xC2) & (data[1:] == 0xA0))  # the blank that does not break
+    data[hard] = data[hard + 1] = 32
+    letter = (data >= 128) | ((data >= 48) & (data <= 57)) | (((data | 32) >= 97) & ((data | 32) <= 122))
+    (s, e, _), (t, f, _) = spans_of(letter, offsets), spans_of(~letter & (data > 32) & (data != 127), offsets)
+    order = np.argsort(np.concatenate([s, t]))
+    starts = np.concatenate([s, t])[order]
+    return hash_spans(data, starts, np.concatenate([e, f])[order]), np.searchsorted(starts, offsets)
+
+
+def _word_trigrams(column: pa.Array, langs: list[str], by_text: bool) -> tuple[np.ndarray, ...]:
+    """text, a, b, c, n: the distinct trigrams of words, hashed with the language of their text, and their counts; two START stand before each text.
+
+    by_text: those of each text; otherwise of all texts together, whose language is the same.
+    """
+    words, at = _words(column)
+    sizes = np.diff(at)
+    salt = np.array([int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for x in langs], np.uint64)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(words)) - at[:-1][text]
+    c, start = mix64(words ^ salt[text]), mix64(np.uint64(START) ^ salt)[text]
+    b, a = start.copy(), start.copy()
+    b[1:] = np.where(place[1:] >= 1, c[:-1], start[1:])
+    a[2:] = np.where(place[2:] >= 2, c[:-2], start[2:])
+    keys = mix64(mix64(mix64(a * _MIX[0] + _MIX[3]) + b * _MIX[1]) + c * _MIX[2]) + (mix64(text.astype(np.uint64) * _MIX[3]) if by_text else np.uint64(0))
+    _, first, n = np.unique(keys, return_index=True, return_counts=True)
+    return text[first], *[x[first].view(np.int64) for x in (a, b, c)], n.astype(np.int64)
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(lang, a, b, c, n): the trigrams of words of all rows of (lang, text), neither of them null; each task sums what it reads before the shuffle."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = np.array(batch["lang"].to_pylist(), object)
+            for lang in dict.fromkeys(langs):
+                own = batch["text"].take(pa.array(np.flatnonzero(langs == lang)))
+                for lo, hi in slices(own):
+                    _, *grams = _word_trigrams(own.slice(lo, hi - lo), [lang] * (hi - lo), False)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams[0]), pa.string()), *map(pa.array, grams)], names=["lang", "a", "b", "c", "n"])
+
+    return texts.mapInArrow(work, f"lang string, {GRAM}").groupBy("lang", "a", "b", "c").agg(F.sum("n").alias("n"))
 
 
 def _symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -73,37 +125,48 @@ def _taken() -> Column:
     return F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
 
 
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(lang, level, gram, p, g): level 3, 2 and 1 hold p of each n-gram seen; levels -2, -1 and 0 hold the weight g that a context of two, one and no symbols leaves to the next shorter one.
+def _levels(three: DataFrame) -> tuple[DataFrame, ...]:
+    """p3 (lang, a, b, c, p), p2 (lang, b, c, p), p1 (lang, c, p) of each n-gram in (lang, a, b, c, n); g2 (lang, a, b, g), g1 (lang, b, g), g0 (lang, g): the weight that a context of two, one and no symbols leaves to the next shorter one.
 
-    Level 3 has raw counts; shorter n-grams count the distinct symbols seen before them. All steps are grouped sums and joins of
+    Trigrams have raw counts; shorter n-grams count the distinct symbols seen before them. All steps are grouped sums and joins of
     the n-gram shards by language and n-gram; only languages and their discounts, a row each, are broadcast.
     """
-    three = counts
-    two = three.groupBy("lang", F.col("gram").bitwiseAND(MID).alias("gram")).agg(F.count("*").alias("n"))
-    one = two.groupBy("lang", F.col("gram").bitwiseAND(LOW).alias("gram")).agg(F.count("*").alias("n"))
+    two = three.groupBy("lang", "b", "c").agg(F.count("*").alias("n"))
+    one = two.groupBy("lang", "c").agg(F.count("*").alias("n"))
 
-    def level(grams: DataFrame, context: Column) -> tuple[DataFrame, DataFrame]:
-        held = grams.join(F.broadcast(_discounts(grams)), "lang").withColumn("context", context)
-        sums = held.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.sum(_taken()) / F.sum("n")).alias("g"))
-        own = held.join(sums, ["lang", "context"])
-        return own.select("lang", "gram", "context", ((F.col("n") - _taken()) / F.col("total")).alias("own"), "g"), sums.select("lang", F.col("context").alias("gram"), "g")
+    def level(grams: DataFrame, *context: str) -> tuple[DataFrame, DataFrame]:
+        held = grams.join(F.broadcast(_discounts(grams)), "lang")
+        sums = held.groupBy("lang", *context).agg(F.sum("n").alias("total"), (F.sum(_taken()) / F.sum("n")).alias("g"))
+        own = held.join(sums, ["lang", *context])
+        return own.withColumn("own", (F.col("n") - _taken()) / F.col("total")).drop("n", "total", "d1", "d2", "d3"), sums.drop("total")
 
-    w1, g1 = level(one, F.lit(0).cast("long"))
+    w1, g0 = level(one)
     vocabulary = one.groupBy("lang").agg((F.count("*") + 1).alias("v"))  # and the unknown symbol
-    g1 = cut(g1.join(vocabulary, "lang").select("lang", F.lit(0).cast("long").alias("gram"), (F.col("g") / F.col("v")).alias("g")))  # a row for each language
-    p1 = w1.drop("g").join(F.broadcast(g1.select("lang", "g")), "lang").select("lang", "gram", (F.col("own") + F.col("g")).alias("p"))
-    w2, g2 = level(two, F.shiftrightunsigned("gram", BITS))
-    p2 = w2.withColumn("last", F.col("gram").bitwiseAND(LOW)).join(p1.select("lang", F.col("gram").alias("last"), "p"), ["lang", "last"])
-    p2 = cut(p2.select("lang", "gram", (F.col("own") + F.col("g") * F.col("p")).alias("p")))
-    w3, g3 = level(three, F.shiftrightunsigned("gram", BITS))
-    p3 = w3.withColumn("last", F.col("gram").bitwiseAND(MID)).join(p2.select("lang", F.col("gram").alias("last"), "p"), ["lang", "last"])
-    p3 = p3.select("lang", "gram", (F.col("own") + F.col("g") * F.col("p")).alias("p"))
-    seen = [p.select("lang", F.lit(k).alias("level"), "gram", "p", F.lit(None).cast("double").alias("g")) for k, p in ((3, p3), (2, p2), (1, p1))]
-    left = [g.select("lang", F.lit(k).alias("level"), "gram", F.lit(None).cast("double").alias("p"), "g") for k, g in ((-2, g3), (-1, g2), (0, g1))]
-    out = seen[0]
-    for x in (*seen[1:], *left):
-        out = out.unionByName(x)
+    g0 = cut(g0.join(vocabulary, "lang").select("lang", (F.col("g") / F.col("v")).alias("g")))  # a row for each language
+    p1 = w1.drop("g").join(F.broadcast(g0), "lang").select("lang", "c", (F.col("own") + F.col("g")).alias("p"))
+    w2, g1 = level(two, "b")
+    p2 = _stored(w2.join(p1, ["lang", "c"]).select("lang", "b", "c", (F.col("own") + F.col("g") * F.col("p")).alias("p")))
+    w3, g2 = level(three, "a", "b")
+    p3 = w3.join(p2, ["lang", "b", "c"]).select("lang", "a", "b", "c", (F.col("own") + F.col("g") * F.col("p")).alias("p"))
+    return p3, p2, p1, g2, g1, g0
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder in columns and read again."""
+    df.write.parquet(path := scratch(df.sparkSession, "quality"))
+    return df.sparkSession.read.parquet(path)
+
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """(lang, level, gram, p, g) of packed trigrams (lang, gram, n): level 3, 2 and 1 hold p, levels -2, -1 and 0 hold g of `_levels`."""
+    up = lambda c, k: F.shiftleft(c, k * BITS)
+    three = counts.select("lang", F.shiftrightunsigned("gram", 2 * BITS).alias("a"), F.shiftrightunsigned("gram", BITS).bitwiseAND(LOW).alias("b"), F.col("gram").bitwiseAND(LOW).alias("c"), "n")
+    p3, p2, p1, g2, g1, g0 = _levels(three)
+    a, b, c, none = F.col("a"), F.col("b"), F.col("c"), F.lit(None).cast("double")
+    out = None
+    for table, k, gram in ((p3, 3, up(a, 2).bitwiseOR(up(b, 1)).bitwiseOR(c)), (p2, 2, up(b, 1).bitwiseOR(c)), (p1, 1, c), (g2, -2, up(a, 1).bitwiseOR(b)), (g1, -1, b), (g0, 0, F.lit(0).cast("long"))):
+        rows = table.select("lang", F.lit(k).alias("level"), gram.alias("gram"), F.col("p") if k > 0 else none.alias("p"), F.col("g") if k <= 0 else none.alias("g"))
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
@@ -145,72 +208,62 @@ class Scorer:
         return self.table[(num[codes >> 2 * BITS].astype(np.int64) * n + num[codes >> BITS & LOW]) * n + num[codes & LOW]]
 
 
-def _scored_by_tasks(docs: DataFrame, model: DataFrame) -> DataFrame:
-    rows = model.toArrow()  # at most MODEL_ROWS, as counted
-    langs = np.array(rows["lang"].to_pylist(), object)
-    columns = [rows[c].to_numpy() for c in ("level", "gram", "p", "g")]
-    parts = docs.sparkSession.sparkContext.broadcast({lang: [c[langs == lang] for c in columns] for lang in set(langs)})
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorers: dict[str, Scorer] = {}
-        for batch in batches:
-            langs = batch["_model"].to_pylist()
-            total, count = np.zeros(batch.num_rows), np.diff(np.zeros(batch.num_rows + 1))
-            for lang in dict.fromkeys(langs):
-                if lang not in scorers and lang in parts.value:
-                    scorers[lang] = Scorer(*parts.value[lang])
-                rows = np.flatnonzero(np.array(langs, object) == lang)
-                own = batch["text"].take(pa.array(rows))
-                for a, b in slices(own):
-                    codes, at = _trigrams(own.slice(a, b - a))
-                    sums = np.concatenate([[0.0], np.cumsum(scorers[lang](codes), dtype=np.float64)]) if lang in scorers else np.zeros(len(codes) + 1)
-                    total[rows[a:b]], count[rows[a:b]] = sums[at[1:]] - sums[at[:-1]], np.diff(at)
-            yield pa.RecordBatch.from_arrays([*[batch[c] for c in keep], pa.array(total), pa.array(count.astype(np.int64))], names=[*keep, "_nll", "_n"])
+def _scored(docs: DataFrame, model: tuple[DataFrame, ...], model_rows: int) -> DataFrame:
+    """docs (text, _model and others) without text, with _nll and _n: the sum of -log p over the words of each text, and their number.
 
+    The trigrams of each document, counted first, are joined to the shards of the model by language (hashed into the words) and
+    n-gram. Of the tables of the model only those of at most model_rows rows are broadcast.
+    """
     keep = [c for c in docs.columns if c != "text"]
     fields = [docs.schema[c] for c in keep]
-    return docs.mapInArrow(work, StructType(fields + StructType.fromDDL("_nll double, _n long").fields))
-
-
-def _scored_by_shards(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """The same by joining each document's trigram counts to the model's shards, for models that no task should hold."""
+    names = [*keep, "_row", "a", "b", "c", "n"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch["text"]):
-                codes, at = _trigrams(batch["text"].slice(a, b - a))
-                for i, (lo, hi) in enumerate(zip(at[:-1], at[1:])):
-                    grams, n = np.unique(codes[lo:hi], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([batch["_row"][a + i].as_py()] * len(grams), pa.int64()), pa.array([batch["_model"][a + i].as_py()] * len(grams), pa.string()), pa.array(grams, pa.int64()), pa.array(n.astype(np.int64))], names=["_row", "lang", "gram", "n"])
-
-    docs = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    grams = docs.select("_row", F.col("_model"), "text").mapInArrow(count, "_row long, lang string, gram long, n long")
-    shard = lambda k, v, name: model.where(F.col("level") == k).select("lang", F.col("gram").alias(f"k{k}"), F.col(v).alias(name))
-    keys = {3: F.col("gram"), 2: F.col("gram").bitwiseAND(MID), 1: F.col("gram").bitwiseAND(LOW), -2: F.shiftrightunsigned("gram", BITS), -1: F.shiftrightunsigned("gram", BITS).bitwiseAND(LOW), 0: F.lit(0).cast("long")}
-    for k, v, name in ((3, "p", "p3"), (2, "p", "p2"), (1, "p", "p1"), (-2, "g", "g2"), (-1, "g", "g1"), (0, "g", "g0")):
-        grams = grams.withColumn(f"k{k}", keys[k]).join(shard(k, v, name), ["lang", f"k{k}"], "left")
-    one = F.lit(1.0)
-    p = F.coalesce("p3", F.coalesce("g2", one) * F.coalesce("p2", F.coalesce("g1", one) * F.coalesce("p1", "g0")))
-    sums = grams.groupBy("_row").agg(F.coalesce(F.sum(-F.log(p) * F.col("n")), F.lit(0.0)).alias("_nll"), F.sum("n").alias("_n"))
-    return docs.drop("text").join(sums, "_row", "left").drop("_row").fillna({"_nll": 0.0, "_n": 0})
-
-
-def score_quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, slack: float = 0.25, model_rows: int = MODEL_ROWS) -> DataFrame:
+            for lo, hi in slices(batch["text"]):
+                part = batch.slice(lo, hi - lo)
+                rows = part["_row"].to_numpy()
+                text, *grams = _word_trigrams(part["text"], part["_model"].to_pylist(), True)
+                blank = [pa.nulls(len(text), batch[c].type) for c in keep]
+                yield pa.RecordBatch.from_arrays([*blank, pa.array(rows[text]), *map(pa.array, grams)], names=names)
+                # a row of no words carries the other columns; its keys, spread, are in no model
+                spread = pa.array(mix64(rows.astype(np.uint64)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*[part[c] for c in keep], part["_row"], spread, spread, spread, pa.array(np.zeros(len(rows), np.int64))], names=names)
+
+    p3, p2, p1, g2, g1, g0 = model
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    schema = StructType([StructField(f.name, f.dataType) for f in fields] + StructType.fromDDL(f"_row long, {GRAM}").fields)
+    grams = rows.mapInArrow(count, schema)
+    for shard, keys, name, value in ((p3, ["a", "b", "c"], "p3", "p"), (g2, ["a", "b"], "g2", "g"), (p2, ["b", "c"], "p2", "p"), (g1, ["b"], "g1", "g"), (p1, ["c"], "p1", "p")):
+        shard = shard.select(*keys, F.col(value).alias(name))
+        grams = grams.join(F.broadcast(shard) if shard.count() <= model_rows else shard, keys, "left")
+    one, n = F.lit(1.0), F.col("n")
+    p = F.coalesce("p3", F.coalesce("g2", one) * F.coalesce("p2", F.coalesce("g1", one) * F.coalesce("p1", one)))
+    unknown = F.when(F.coalesce("p3", "p2", "p1").isNull(), n).otherwise(0)
+    sums = grams.groupBy("_row").agg(*[F.max(c).alias(c) for c in keep], F.sum(-F.log(p) * n).alias("_nll"), F.sum(unknown).alias("_unknown"), F.sum("n").alias("_n"))
+    sums = sums.join(F.broadcast(g0.select(F.col("lang").alias("_model"), "g")), "_model", "left")
+    return sums.select(*keep, (F.col("_nll") - F.when(F.col("_unknown") > 0, F.col("_unknown") * F.log("g")).otherwise(0.0)).alias("_nll"), "_n")
+
+
+def score_quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, slack: float = 0.25, model_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, lang, perplexity, threshold, keep) for every row of docs (doc_id, text, lang).
 
-    trusted: (doc_id) of the documents whose text trains the model and sets the thresholds: for each language, the given quantile
-    of the per-character negative log-likelihood of its trusted texts (in steps of 0.001, so that sums of steps, not of documents,
-    are gathered), and `slack` nats more. A language without trusted text, and null, uses the model and threshold of all.
-    Null and empty texts, and all texts if nothing is trusted: perplexity null, kept. Rows with null doc_id train nothing but are
-    scored. Repeated rows score alike. Other columns are left out. No rows: no rows.
+    trusted: (doc_id) of the documents whose text trains the model of words and sets the thresholds: for each language, the given
+    quantile of the negative log-likelihood per word of its trusted texts (in steps of 0.001, so that sums of steps, not of
+    documents, are gathered), and `slack` nats more. A language without trusted text, and null, uses the model and threshold of
+    all. Texts without words, null ones too, and all texts if nothing is trusted: perplexity null, kept. Rows with null doc_id
+    train nothing but are scored. Repeated rows score alike. Other columns are left out. No rows: no rows.
     """
     trusted = trusted.where("doc_id is not null").select("doc_id").distinct()
     texts = docs.select("doc_id", "text", "lang")
-    counts = cut(trigram_counts(join_counted(texts, trusted, ["doc_id"], "left_semi")))
-    model = cut(kneser_ney(counts))
-    known = [r["lang"] for r in model.select("lang").distinct().collect()]  # languages
-    rows = texts.withColumn("_model", F.when(F.col("lang").isin(known), F.col("lang")).otherwise(F.lit(ANY)))
-    scored = _scored_by_tasks(rows, model) if model.count() <= model_rows else _scored_by_shards(rows, model)
+    train = join_counted(texts.where("text is not null"), trusted, ["doc_id"], "left_semi").select("lang", "text")
+    counts = _stored(word_counts(train.where(F.col("lang") != ANY)))
+    known = [r["lang"] for r in counts.select("lang").distinct().collect()]  # languages
+    own = F.coalesce(F.col("lang").isin(known), F.lit(False))
+    if not texts.where(~own).isEmpty():
+        counts = counts.unionByName(_stored(word_counts(train.withColumn("lang", F.lit(ANY)))))
+    model = _levels(counts)
+    scored = _scored(texts.withColumn("_model", F.when(own, F.col("lang")).otherwise(F.lit(ANY))), model, model_rows)
     scored = cut(scored.select("doc_id", "lang", "_model", F.when((F.col("_n") > 0) & (F.col("_nll") > 0), F.col("_nll") / F.col("_n")).alias("nll")))
     steps = join_counted(scored.where("nll is not null"), trusted, ["doc_id"], "left_semi").groupBy("_model", F.ceil(F.col("nll") * 1000).alias("step")).agg(F.count("*").alias("k"))
     every = steps.unionByName(steps.where(F.col("_model") != ANY).withColumn("_model", F.lit(ANY))).groupBy("_model", "step").agg(F.sum("k").alias("k"))

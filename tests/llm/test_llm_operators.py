@@ -270,6 +270,27 @@ def test_kneser_ney_sums_to_one(spark):
             assert seen + unseen == pytest.approx(1.0)
 
 
+def test_quality_rejects_repeated_words(spark):
+    r = random.Random(7)
+    good = [" ".join(f"The {r.choice(['cat', 'dog', 'bird'])} sat on {r.choice(['a', 'one'])} mat and ran." for _ in range(12)) for _ in range(240)]
+    junk = ["cat " * 60, "The " * 60, "mat and " * 40, "ran the on mat sat a and " * 9]
+    got = {x["doc_id"]: x["keep"] for x in quality.score_quality(docs_of(spark, good + junk), spark.range(240).withColumnRenamed("id", "doc_id")).collect()}
+    assert sum(not got[i] for i in range(240)) <= 4 and not any(got[i] for i in range(240, 244))
+
+
+def test_word_counts(spark):
+    texts = ["The cat, the  cat\u00a0sat!!", "Él vio $$$x 1a\t\n...", "the cat", "", " "]
+    rows = quality.word_counts(spark.createDataFrame([(x, "en") for x in texts * 2] + [("the cat", "de")], "text string, lang string")).collect()
+    want = defaultdict(int)
+    for lang, t in [("en", x) for x in texts * 2] + [("de", "the cat")]:
+        w = [None, None, *re.findall(r"[A-Za-z0-9\x80-\u009f\u00a1-\uffff]+|[!-/:-@\[-`{-~]+", t)]
+        for i in range(2, len(w)):
+            want[lang, *w[i - 2 : i + 1]] += 1
+    assert sorted((x["lang"], x["n"]) for x in rows) == sorted((k[0], n) for k, n in want.items())
+    for k in range(3):  # as many symbols at each place
+        assert len({(x["lang"], x["abc"[k]]) for x in rows}) == len({(x[0], x[k + 1]) for x in want})
+
+
 # --- toxicity
 
 
