@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,10 @@ START, UNKNOWN = 0x1FFFFE, 0x1FFFFF
 LOW, MID = (1 << BITS) - 1, (1 << 2 * BITS) - 1
 #: The language of the model for rows whose own has none: all trusted text together.
 ANY = ""
+#: Of the trusted texts one in so many, by a hash of the text, sets the thresholds and trains nothing.
+FOLDS = 10
+#: Held-out texts of a language below which their largest value, beyond which one in as many and one more of clean texts lie, is no estimate of the quantile.
+FEW = 20
 #: Multipliers of the words of a trigram and of the number of its text, to find the distinct ones of a slice.
 _MIX = mix64(np.arange(101, 105, dtype=np.uint64) * np.uint64(GOLDEN)) | np.uint64(1)
 GRAM = "a long, b long, c long, n long"
@@ -245,30 +250,41 @@ def _scored(docs: DataFrame, model: tuple[DataFrame, ...], model_rows: int) -> D
     return sums.select(*keep, (F.col("_nll") - F.when(F.col("_unknown") > 0, F.col("_unknown") * F.log("g")).otherwise(0.0)).alias("_nll"), "_n")
 
 
-def score_quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, slack: float = 0.25, model_rows: int = BROADCAST_ROWS) -> DataFrame:
+def score_quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, model_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, lang, perplexity, threshold, keep) for every row of docs (doc_id, text, lang).
 
-    trusted: (doc_id) of the documents whose text trains the model of words and sets the thresholds: for each language, the given
-    quantile of the negative log-likelihood per word of its trusted texts (in steps of 0.001, so that sums of steps, not of
-    documents, are gathered), and `slack` nats more. A language without trusted text, and null, uses the model and threshold of
-    all. Texts without words, null ones too, and all texts if nothing is trusted: perplexity null, kept. Rows with null doc_id
-    train nothing but are scored. Repeated rows score alike. Other columns are left out. No rows: no rows.
+    trusted: (doc_id) of the documents whose text trains the model of words and sets the thresholds. One text in FOLDS of them is
+    held out: all of these are scored, none trains, and the threshold of each language is the given quantile of their negative
+    log-likelihood per word (in steps of 0.001, so that sums of steps, not of documents, are gathered). With less than FEW
+    of them it is that of a normal distribution of their mean and deviation, or the largest if that is more.
+    A language without trusted text to train on or less than two to hold out, and null, uses the model and threshold of all.
+    Texts without words, null ones too, and all texts if there is no threshold: kept; perplexity null without words or model. Rows
+    with null doc_id train nothing but are scored. Repeated rows score alike. Other columns are left out. No rows: no rows.
     """
     trusted = trusted.where("doc_id is not null").select("doc_id").distinct()
-    texts = docs.select("doc_id", "text", "lang")
-    train = join_counted(texts.where("text is not null"), trusted, ["doc_id"], "left_semi").select("lang", "text")
+    texts = join_counted(docs.select("doc_id", "text", "lang"), trusted.withColumn("_trusted", F.lit(True)), ["doc_id"])
+    worded = F.col("text").rlike(r"[^\x00-\x20\x7F\xA0]")
+    fold = F.when(F.col("_trusted") & worded, F.crc32("text") % FOLDS == 0)
+    texts = texts.select("doc_id", "text", "lang", fold.alias("_held"))
+    train = texts.where("not _held").select("lang", "text")
     counts = _stored(word_counts(train.where(F.col("lang") != ANY)))
-    known = [r["lang"] for r in counts.select("lang").distinct().collect()]  # languages
+    apart = {r["lang"] for r in texts.where("_held").groupBy("lang").count().where("count > 1").collect()}  # languages
+    known = [r["lang"] for r in counts.select("lang").distinct().collect() if r["lang"] in apart]
     own = F.coalesce(F.col("lang").isin(known), F.lit(False))
+    rows = texts.withColumn("_model", F.when(own, F.col("lang")).otherwise(F.lit(ANY))).withColumn("_only", F.lit(False))
     if not texts.where(~own).isEmpty():
         counts = counts.unionByName(_stored(word_counts(train.withColumn("lang", F.lit(ANY)))))
-    model = _levels(counts)
-    scored = _scored(texts.withColumn("_model", F.when(own, F.col("lang")).otherwise(F.lit(ANY))), model, model_rows)
-    scored = cut(scored.select("doc_id", "lang", "_model", F.when((F.col("_n") > 0) & (F.col("_nll") > 0), F.col("_nll") / F.col("_n")).alias("nll")))
-    steps = join_counted(scored.where("nll is not null"), trusted, ["doc_id"], "left_semi").groupBy("_model", F.ceil(F.col("nll") * 1000).alias("step")).agg(F.count("*").alias("k"))
-    every = steps.unionByName(steps.where(F.col("_model") != ANY).withColumn("_model", F.lit(ANY))).groupBy("_model", "step").agg(F.sum("k").alias("k"))
-    own = Window.partitionBy("_model")
-    cumulative = every.withColumns({"c": F.sum("k").over(own.orderBy("step")), "t": F.sum("k").over(own)})
-    limits = cumulative.where(F.col("c") >= quantile * F.col("t")).groupBy("_model").agg((F.min("step") / 1000 + slack).alias("limit"))  # a row for each language
-    out = scored.join(F.broadcast(limits), "_model", "left")
+        rows = rows.unionByName(texts.where(own & F.col("_held")).withColumns({"_model": F.lit(ANY), "_only": F.lit(True)}))  # for the threshold of all
+    scored = _scored(rows, _levels(counts), model_rows)
+    nll = F.when((F.col("_n") > 0) & (F.col("_nll") > 0), F.col("_nll") / F.col("_n"))
+    scored = cut(scored.select("doc_id", "lang", "_model", "_held", "_only", nll.alias("nll")))
+    held = scored.where("_held and nll is not null")
+    steps = held.groupBy("_model", F.ceil(F.col("nll") * 1000).alias("step")).agg(F.count("*").alias("k"))
+    whole = Window.partitionBy("_model")
+    cumulative = steps.withColumns({"c": F.sum("k").over(whole.orderBy("step")), "t": F.sum("k").over(whole)})
+    limits = cumulative.where(F.col("c") >= quantile * F.col("t")).groupBy("_model").agg((F.min("step") / 1000).alias("limit"))  # a row for each language
+    spread = held.groupBy("_model").agg(F.count("*").alias("t"), (F.avg("nll") + (NormalDist().inv_cdf(quantile) if 0 < quantile < 1 else 0.0) * F.stddev_samp("nll")).alias("normal"))
+    limit = F.when(F.col("t") < FEW, F.greatest("limit", "normal")).otherwise(F.col("limit"))
+    limits = limits.join(spread, "_model").where("t > 1").select("_model", limit.alias("limit"))
+    out = scored.where("not _only").join(F.broadcast(limits), "_model", "left")
     return out.select("doc_id", "lang", F.exp("nll").alias("perplexity"), F.exp("limit").alias("threshold"), F.coalesce(F.col("nll") <= F.col("limit"), F.lit(True)).alias("keep"))

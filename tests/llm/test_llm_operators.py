@@ -278,6 +278,19 @@ def test_quality_rejects_repeated_words(spark):
     assert sum(not got[i] for i in range(240)) <= 4 and not any(got[i] for i in range(240, 244))
 
 
+def test_quality_threshold_is_a_quantile_of_held_out_texts(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.choice([1, 2, 2, 3, 4])))
+    docs = docs_of(spark, [" ".join(word() for _ in range(40)) for _ in range(1500)])
+    got = quality.score_quality(docs, docs.where("doc_id < 1000").select("doc_id"), quantile=0.9).toPandas().set_index("doc_id")
+    limit = got["threshold"].iloc[0]
+    rejected = (~got["keep"])[1000:].mean()
+    assert (got["threshold"] == limit).all() and 0.03 < rejected < 0.25  # the tenth that was dealt, of texts that nothing has seen
+    held = [i for i, t in docs.where("doc_id < 1000").select("doc_id", "text").collect() if zlib.crc32(t.encode()) % quality.FOLDS == 0]
+    nll = sorted(np.ceil(np.log(got["perplexity"][held]) * 1000) / 1000)
+    assert np.log(limit) == pytest.approx(next(x for i, x in enumerate(nll) if i + 1 >= 0.9 * len(nll)))
+
+
 def test_word_counts(spark):
     texts = ["The cat, the  cat\u00a0sat!!", "Él vio $$$x 1a\t\n...", "the cat", "", " "]
     rows = quality.word_counts(spark.createDataFrame([(x, "en") for x in texts * 2] + [("the cat", "de")], "text string, lang string")).collect()
