@@ -291,6 +291,18 @@ def test_quality_threshold_is_a_quantile_of_held_out_texts(spark):
     assert np.log(limit) == pytest.approx(next(x for i, x in enumerate(nll) if i + 1 >= 0.9 * len(nll)))
 
 
+def test_quality_model_stays_off_the_driver(spark, monkeypatch):
+    docs = docs_of(spark, [" ".join(words(40, i)) for i in range(30)])
+    rows = []
+    frame = type(docs)
+    for name in ("toArrow", "toPandas"):
+        monkeypatch.setattr(frame, name, lambda self: pytest.fail("a table goes to the driver"))
+    monkeypatch.setattr(frame, "collect", lambda self, f=frame.collect: rows.append(out := f(self)) or out)
+    scored = quality.score_quality(docs, docs.select("doc_id"), model_rows=0)
+    assert max(map(len, rows), default=0) <= 2  # languages
+    assert scored.count() == 30
+
+
 def test_word_counts(spark):
     texts = ["The cat, the  cat\u00a0sat!!", "Él vio $$$x 1a\t\n...", "the cat", "", " "]
     rows = quality.word_counts(spark.createDataFrame([(x, "en") for x in texts * 2] + [("the cat", "de")], "text string, lang string")).collect()
