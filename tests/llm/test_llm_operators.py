@@ -303,6 +303,76 @@ def test_quality_model_stays_off_the_driver(spark, monkeypatch):
     assert scored.count() == 30
 
 
+def plain_kneser_ney(texts):
+    """-log p of a text of words under modified Kneser-Ney of texts, with dictionaries."""
+    three, two, one = defaultdict(int), defaultdict(int), defaultdict(int)
+    for w in texts:
+        w = ["<", "<", *w]
+        for i in range(2, len(w)):
+            three[tuple(w[i - 2 : i + 1])] += 1
+    for g in three:
+        two[g[1:]] += 1
+    for g in two:
+        one[g[1:]] += 1
+
+    def level(grams):
+        t = [sum(n == k for n in grams.values()) for k in range(5)]
+        y = t[1] / max(1, t[1] + 2 * t[2])
+        d = [0.0] + [min(k, max(0.0, k - (k + 1) * y * t[k + 1] / t[k])) if t[k] else 0.5 for k in (1, 2, 3)]
+        total, left = defaultdict(int), defaultdict(float)
+        for g, n in grams.items():
+            total[g[:-1]] += n
+            left[g[:-1]] += d[min(n, 3)]
+        return {g: (n - d[min(n, 3)]) / total[g[:-1]] for g, n in grams.items()}, {c: left[c] / total[c] for c in total}
+
+    models = [level(x) for x in (one, two, three)]
+
+    def p(gram):
+        own, left = models[len(gram) - 1]
+        shorter = p(gram[1:]) if len(gram) > 1 else 1 / (len(one) + 1)
+        return own.get(gram, 0.0) + left.get(gram[:-1], 1.0) * shorter
+
+    return lambda w: -sum(np.log(p(tuple(x))) for x in zip(["<", "<", *w], ["<", *w], w))
+
+
+def test_quality_against_brute_force(spark):
+    r = random.Random(11)
+    names = {"en": ["the", "cat", "The", "sat", ".", "mat", "a1"], "de": ["der", "hund", "Über", "und", ",", "!!"]}
+    rows = []
+    for i in range(330):
+        lang = ("en", "de", None)[i % 3] if i % 50 else "fr"
+        own = names.get(lang, names["en"] + names["de"])
+        w = [own[min(int(r.expovariate(0.6)), len(own) - 1)] for _ in range(r.randint(1, 30))]
+        w = [x for i, x in enumerate(w) if not i or not {x, w[i - 1]} <= {".", ",", "!!"}]  # which would be one word
+        rows.append((i, w + ["new"] * (i % 17 == 0), lang))
+    rows += [(330, ["cat"] * 50, "en"), (331, ["hund"] * 50, "de"), (332, ["lya"] * 50, None), (333, [], "en"), (334, ["Über", "cat"] * 9, "xx"), (None, ["the"], "en")]
+    docs = spark.createDataFrame([(i, " ".join(w), lang) for i, w, lang in rows], "doc_id long, text string, lang string").repartition(3)
+    got = {x["doc_id"]: x for x in quality.score_quality(docs, spark.range(300).withColumnRenamed("id", "doc_id"), quantile=0.9).collect()}
+    fold = lambda w: zlib.crc32(" ".join(w).encode()) % quality.FOLDS == 0
+    seen = [x for x in rows if x[0] is not None and x[0] < 300]
+    held = {m: [w for _, w, lang in seen if fold(w) and m in (lang, "")] for m in ("en", "de", "fr", "")}
+    known = {m for m in ("en", "de", "fr") if len(held[m]) > 1 and any(lang == m and not fold(w) for _, w, lang in seen)}
+    score, limit = {}, {}
+    for m in known | {""}:
+        score[m] = plain_kneser_ney([w for _, w, lang in seen if not fold(w) and m in (lang, "")])
+        nll = [score[m](w) / len(w) for w in held[m]]
+        steps = sorted(np.ceil(x * 1000) for x in nll)
+        limit[m] = next(x for k, x in enumerate(steps) if k + 1 >= 0.9 * len(steps)) / 1000
+        if len(nll) < quality.FEW:
+            limit[m] = max(limit[m], np.mean(nll) + 1.2815515655446004 * np.std(nll, ddof=1))
+    assert {"en", "de"} <= known and len(held[""]) >= quality.FEW and len(got) == len(rows)
+    for i, w, lang in rows:
+        m = lang if lang in known else ""
+        assert np.log(got[i]["threshold"]) == pytest.approx(limit[m], abs=1e-9)
+        if w:
+            nll = score[m](w) / len(w)
+            assert np.log(got[i]["perplexity"]) == pytest.approx(nll, rel=1e-9)
+            assert got[i]["keep"] == (nll <= limit[m])
+        else:
+            assert got[i]["perplexity"] is None and got[i]["keep"]
+    assert not got[332]["keep"]  # these words follow one another by chance, so that only a repeated word that is not among them stands out
+
+
 def test_word_counts(spark):
     texts = ["The cat, the  cat\u00a0sat!!", "Él vio $$$x 1a\t\n...", "the cat", "", " "]
     rows = quality.word_counts(spark.createDataFrame([(x, "en") for x in texts * 2] + [("the cat", "de")], "text string, lang string")).collect()
