@@ -570,3 +570,29 @@ def test_pipeline_stages(spark, tmp_path):
             assert kept == ids and not [s for r in after.select("text").collect() for s in pii.base_spans(r[0] or "")]
         docs = after
     assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0 and before.count() > 0
+
+
+def test_pipeline_toxicity_on_held_out_labels(spark, monkeypatch):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    monkeypatch.setattr(corpus_pipeline, "table", lambda spark, sf_dir, name: labels.where(~held))
+    asked = labels.where(held & F.col("toxic").isNotNull()).join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", "toxic").distinct().toPandas()
+    kept = {r[0] for r in corpus_pipeline.toxicity_stage(spark, docs, sf).select("doc_id").collect()}
+    found = ~asked["doc_id"].isin(kept)
+    assert found[asked["toxic"] == 1].mean() > 0.8 and found[asked["toxic"] == 0].mean() < 0.01
+
+
+def test_pipeline_packs_every_piece_of_what_pii_kept(spark):
+    import tokenizers
+
+    docs = docs_of(spark, ["one two three", None, "", "word " * 5000, "mail a@b.org", "one two three"], [1, 2, 3, 4, None, 1])
+    masked = corpus_pipeline.pii_stage(spark, docs, "")
+    got = sorted((r["doc_id"] or 0, r["piece"], r["length"], r["ids_crc32"]) for r in corpus_pipeline.packing_stage(spark, masked, "").collect())
+    coder, want = tokenizers.Tokenizer.from_file(TOKENIZER), []
+    for r in masked.collect():
+        ids = [*coder.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+        first = len(ids) % 2048 or 2048
+        for k, part in enumerate([ids[:first], *(ids[i : i + 2048] for i in range(first, len(ids), 2048))]):
+            want.append((r["doc_id"] or 0, k, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
+    assert got == sorted(want)
