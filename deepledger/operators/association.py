@@ -109,10 +109,23 @@ class Fold:
 def associate(detections: DataFrame) -> DataFrame:
     """(survey_id, detection_id, target_id, decision, score) of all detections.
 
-    A survey is one group, since each decision depends on those before it; a survey's frames bound its size.
-    Null survey: a survey of its own. No rows: no rows.
+    A survey is folded in one task, since each decision depends on those before it; its rows stream through in order, so that the
+    task holds a batch of them and the live targets. Null survey: a survey of its own. No rows: no rows.
     """
-    return detections.select(*FIELDS).groupBy("survey_id").applyInPandas(lambda rows: Fold().run(rows), DECISION)
+    order = F.coalesce(F.nanvl(F.col("frame_index").cast("double"), F.lit(1e9)), F.lit(1e9)).alias("_o")
+    rows = detections.select(*FIELDS, F.col("survey_id").cast("string").alias("_survey"), order).repartition("survey_id")
+    ordered = rows.sortWithinPartitions(F.asc_nulls_last("_survey"), "_o", F.asc_nulls_last("image_id"), F.asc_nulls_last("detection_id"))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fold, survey = None, None
+        for batch in batches:
+            for name, own in batch.groupby("_survey", sort=False, dropna=False):
+                name = None if pd.isna(name) else name
+                if fold is None or name != survey:
+                    fold, survey = Fold(), name
+                yield fold.run(own.assign(survey_id=np.nan if name is None else int(name)))
+
+    return ordered.mapInPandas(work, DECISION)
 
 
 class FoldProcessor(StatefulProcessor):

@@ -124,3 +124,24 @@ def test_geojson_without_position(spark):
     got = {r["detection_id"]: r["feature"] for r in D.geojson_features(rows).collect()}
     assert '"geometry":null' in got["a"] and '"coordinates":[10.0,0.0]' in got["b"]
     assert rows.select(F.count("*")).first()[0] == 2
+
+
+def test_fold_streams_a_survey_in_batches(spark):
+    import random
+
+    cols = "survey_id long, image_id long, frame_index long, detection_id string, class_name string, lat double, lon double, x double, y double, w double, h double"
+    r = random.Random(4)
+    rows = [(r.choice([1, 2, None]), r.choice([i // 3, None]), r.choice([i // 3, i // 3, None]), f"d{i:03d}", r.choice("ab"), 50 + r.random() / 900, 8.0, float(r.randrange(40)), 3.0, 20.0, 20.0) for i in range(150)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, cols)
+    whole = df.groupBy("survey_id").applyInPandas(lambda x: X.Fold().run(x), X.DECISION)
+    key = lambda x: [str(v) for v in x]
+    want = sorted(map(tuple, whole.collect()), key=key)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = X.associate(df)
+        assert sorted(map(tuple, got.collect()), key=key) == want
+        assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
