@@ -373,6 +373,18 @@ def test_quality_against_brute_force(spark):
     assert not got[332]["keep"]  # these words follow one another by chance, so that only a repeated word that is not among them stands out
 
 
+def test_quality_sees_the_order_of_words(spark):
+    r, own = random.Random(9), ["xabcx", "xdefx", "xghix", "xjklx", "xmnox", "xpqrx", "xstux", "xvwyx"]  # alike at their ends
+    good = []
+    for _ in range(240):
+        at = [r.randrange(8)]
+        for _ in range(40):
+            at.append((at[-1] + r.choice([1, 2])) % 8)
+        good.append(" ".join(own[i] for i in at))
+    got = {x["doc_id"]: x["keep"] for x in quality.score_quality(docs_of(spark, good + ["xabcx " * 40, "xghix xdefx " * 20]), spark.range(240).withColumnRenamed("id", "doc_id")).collect()}
+    assert sum(got[i] for i in range(240)) > 230 and not got[240] and not got[241]
+
+
 def test_word_counts(spark):
     texts = ["The cat, the  cat\u00a0sat!!", "Él vio $$$x 1a\t\n...", "the cat", "", " "]
     rows = quality.word_counts(spark.createDataFrame([(x, "en") for x in texts * 2] + [("the cat", "de")], "text string, lang string")).collect()
