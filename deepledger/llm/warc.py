@@ -64,9 +64,9 @@ def _parsed(rows: DataFrame, keep_payload: bool) -> DataFrame:
     field = lambda name: F.regexp_extract("header", rf"(?:^|\r\n){name}: ([^\r\n]*)", 1)
     page = lambda name: F.regexp_extract(field(name), r"^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
     rows = rows.withColumn("header", F.substring_index(F.decode("chunk", "ISO-8859-1"), CRLF * 2, 1))  # a character for each byte
-    rows = rows.withColumns({"body": F.length("header") + 4, "length": F.when(field("Content-Length").rlike("^[0-9]{1,9}$"), field("Content-Length").cast("int"))})
-    rows = rows.withColumn("block", F.expr("substring(chunk, body + 1, length)"))
-    rows = rows.withColumn("http", F.substring_index(F.decode(F.substring("block", 1, 4096), "ISO-8859-1"), CRLF * 2, 1))
+    rows = rows.withColumns({"body": F.length("header") + 4, "length": F.when(field("Content-Length").rlike("^[0-9]+$"), field("Content-Length").try_cast("long"))})
+    rows = rows.withColumn("block", F.expr("substring(chunk, body + 1, cast(least(length, octet_length(chunk)) as int))"))
+    rows = rows.withColumn("http", F.substring_index(F.decode("block", "ISO-8859-1"), CRLF * 2, 1))
     response = field("WARC-Type") == "response"
     rows = rows.withColumn("payload", F.when(response, F.expr("substring(block, length(http) + 5, octet_length(block))")))
     fields = {
@@ -125,11 +125,17 @@ def read_warc(spark: SparkSession, path: str, keep_payload: bool = True) -> Data
     Tasks propose (offset, successor) from every magic string; only records on the chain from a file's first byte are kept, so a
     payload that holds whole records yields none of them. Such a record's chunks are fetched by their digests and joined again.
     payload_bytes and payload_digest are measured on the payload of a response and read from the head of a revisit.
-    No archive or an empty one: no rows.
+    No archive or an empty one: no rows. A file whose chain does not end at its last byte, one that is cut short too, is an error; one without any record border has no records.
     """
     columns = [*RECORD, *(["payload"] if keep_payload else [])]
     placed = cut(_placed(_parsed(_scan(spark, path), keep_payload)))
     kept = reachable(placed.where("span is not null").select("file", "offset", (F.col("offset") + F.col("span")).alias("next")))
+    kept = cut(kept)
+    ends = placed.groupBy("file").agg(F.max(F.col("offset") + F.col("size")).alias("end"))
+    last = kept.join(placed.select("file", "offset", "span"), ["file", "offset"]).groupBy("file").agg(F.max(F.col("offset") + F.col("span")).alias("at"))
+    broken = ends.join(last, "file", "left").where("at is null or at != end").first()
+    if broken:
+        raise ValueError(f"the records of {broken['file']} do not follow one another beyond byte {broken['at'] or 0} of {broken['end']}")
     marked = placed.join(kept.withColumn("kept", F.lit(True)), ["file", "offset"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
     alone = F.col("kept") & (F.col("size") >= F.col("span"))
     order = Window.partitionBy("file").orderBy("offset")
@@ -141,5 +147,6 @@ def read_warc(spark: SparkSession, path: str, keep_payload: bool = True) -> Data
     chunks = _scan(spark, path).select("chunk", F.sha2("chunk", 256).alias("chunk_id"))
     chunks = join_counted(chunks, torn.select("chunk_id").distinct(), ["chunk_id"], "left_semi").groupBy("chunk_id").agg(F.first("chunk").alias("chunk"))
     parts = torn.join(chunks, "chunk_id").groupBy("file", F.col("owner").alias("offset")).agg(F.sort_array(F.collect_list(F.struct("offset", "chunk"))).alias("parts"))
-    glued = F.aggregate(F.slice("parts", 2, F.size("parts")), F.element_at("parts", 1)["chunk"], lambda a, p: F.concat(a, F.lit(MAGIC).cast("binary"), p["chunk"]))
+    # bytes as characters, a bijection, so that one join makes the whole
+    glued = F.encode(F.array_join(F.transform("parts", lambda p: F.decode(p["chunk"], "ISO-8859-1")), MAGIC), "ISO-8859-1")
     return records.unionByName(_parsed(parts.select("file", "offset", glued.alias("chunk")), keep_payload).select(*columns))

@@ -238,6 +238,22 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_warc_heads_and_broken_chains(spark, tmp_path):
+    rows = [(None, "http://n/", "no id " * 30), (5, "http://a/", "same row " * 20), (5, "http://a/", "same row " * 20), (6, None, "same row " * 20)]
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    got = [(r["record_id"], r["warc_type"], r["refers_to"], r["payload_bytes"]) for r in warc.read_warc(spark, str(tmp_path / "w")).collect()]
+    assert sorted(got, key=str) == [(5, "response", None, 180), (5, "response", None, 180), (6, "revisit", 5, 180), (None, "response", None, 180)]
+    head = "HTTP/1.1 200 OK\r\n" + "".join(f"Set-Cookie: c{i}={'v' * 90}\r\n" for i in range(110)) + "\r\n"
+    record = lambda block, n=None: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: {n or len(block)}\r\n\r\n{block}\r\n\r\n"
+    (tmp_path / "long.warc").write_bytes((record(head + "body") * 2).encode())
+    long_ = warc.read_warc(spark, str(tmp_path / "long.warc")).collect()
+    assert len(head) > 10_000 and [bytes(r["payload"]) for r in long_] == [b"body"] * 2
+    for name, text in {"over": record(head + "body", 12_345_678_901) + record("x"), "short": record(head + "body")[:-40], "none": "no archive WARC/1.0\r\nx"}.items():
+        (tmp_path / name).write_bytes(text.encode())
+        with pytest.raises(ValueError, match="follow"):
+            warc.read_warc(spark, str(tmp_path / name))
+
+
 # --- quality
 
 
@@ -446,6 +462,12 @@ def test_viterbi_against_brute_force():
         assert value(path[a:b]) == pytest.approx(max((value(p) for p in itertools.product(range(3), repeat=b - a)), default=0))
 
 
+def test_more_languages_than_a_byte_counts():
+    scores = np.full((4, 300), -9.0)
+    scores[:, 280] = 0.0
+    assert langid.viterbi(scores, np.array([0, 3, 4]), 1.0).tolist() == [280] * 4
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     lang = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
@@ -520,6 +542,8 @@ def test_packing_contract(spark):
     assert packing.pack(pieces.limit(0)).count() == 0
     small = packing.pack(pieces.drop("ids").withColumn("offset", F.lit("old")), shard_rows=7)
     assert small.count() == len(packed) and small.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+    clash = packing.pack(pieces.drop("ids").withColumns({"_row": F.lit("r"), "_shard": F.lit("s")})).collect()
+    assert {(x["_row"], x["_shard"]) for x in clash} == {("r", "s")} and len(clash) == len(packed)
     crc = pieces.where("doc_id = 2").select(F.crc32("ids")).first()[0]
     assert crc == zlib.crc32(np.array(slow.encode("hello world").ids + [0], "<u4").tobytes())
 
