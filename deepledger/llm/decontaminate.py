@@ -75,7 +75,8 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = 80) -> Dat
     candidates = cut(found.distinct())
     texts = join_counted(rows, candidates.select("doc_id").distinct(), ["doc_id"], "inner")
     wanted = join_counted(shingles.select("item_id", "size", "hash", "width", *GRAM), candidates.select("item_id").distinct(), ["item_id"], "left_semi")
-    held = None
+    wanted = cut(wanted)
+    held, small = None, wanted.count() <= BROADCAST_ROWS
     for width in sorted({r["width"] for r in tops}):
         side = wanted.where(F.col("width") == width).drop("width")
         one = _shingled(texts, width).join(F.broadcast(side) if small else side, ["hash", *GRAM]).select("doc_id", "item_id", "size", *GRAM)

@@ -118,8 +118,9 @@ def viterbi(scores: np.ndarray, at: np.ndarray, switch: float = SWITCH) -> np.nd
     sizes = np.diff(at)
     order = np.argsort(-sizes, kind="stable")
     begin, sizes = at[:-1][order], sizes[order]
-    states = np.arange(scores.shape[1], dtype=np.uint8)
-    back = np.zeros(scores.shape, np.uint8)
+    small = np.min_scalar_type(scores.shape[1])
+    states = np.arange(scores.shape[1], dtype=small)
+    back = np.zeros(scores.shape, small)
     best = scores[begin[sizes > 0]]
     live = np.searchsorted(-sizes, -np.arange(1, (sizes[0] if len(sizes) else 0) + 1), side="right")  # texts with a word t
     for t in range(1, len(live)):
@@ -130,8 +131,8 @@ def viterbi(scores: np.ndarray, at: np.ndarray, switch: float = SWITCH) -> np.nd
         stay = here >= change
         back[rows] = np.where(stay, states, top[:, None])
         best[:k] = np.where(stay, here, change) + scores[rows]
-    path = np.zeros(len(scores), np.uint8)
-    state = best.argmax(1).astype(np.uint8)
+    path = np.zeros(len(scores), small)
+    state = best.argmax(1).astype(small)
     for t in range(len(live) - 1, -1, -1):
         rows = begin[: live[t]] + t
         path[rows] = state[: live[t]]
@@ -162,7 +163,7 @@ def identify(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
         runs: list[list[dict]] = [[] for _ in texts]
         if spans:
             begin = np.concatenate([[0], np.cumsum([len(t or "") for t in texts])])
-            first = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(path.astype(np.int16), prepend=-1) != 0))
+            first = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(path.astype(np.int64), prepend=-1) != 0))
             for a, b in zip(first, np.append(first[1:], len(path))):
                 d = doc[a]
                 runs[d].append({"start": int(starts[a] - begin[d]), "end": int(ends[b - 1] - begin[d]), "lang": model.langs[path[a]]})

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from deepledger.llm.common import cut
+from deepledger.llm.common import clean_name, cut
 
 #: Pieces that one task packs. More tasks, each with a few sequences left part full, take their place as the input grows.
 SHARD_ROWS = 100_000
@@ -104,18 +104,19 @@ def pack(pieces: DataFrame, capacity: int = 2048, shard_rows: int = SHARD_ROWS)
     each task packs its own, longest first. Needs a column `length` from 1 to `capacity`; other columns pass through.
     Equal pieces are packed each for itself. No rows: no rows. The input is read once, through a checkpoint.
     """
-    pieces = cut(pieces.drop("sequence_id", "offset").withColumn("_row", F.monotonically_increasing_id()))
+    row, shard = clean_name(pieces, "_row"), clean_name(pieces, "_shard")
+    pieces = cut(pieces.drop("sequence_id", "offset").withColumn(row, F.monotonically_increasing_id()))
     part = pieces.where(F.col("length") < capacity)
     shards = max(1, -(-part.count() // shard_rows))
     schema = StructType(part.schema.fields + StructType.fromDDL("sequence_id long, offset long").fields)
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "_row"], ascending=[False, True], kind="stable")
+        pdf = pdf.sort_values(["length", row], ascending=[False, True], kind="stable")
         bins, offsets = sum_of_squares(pdf["length"].to_numpy(), capacity)
-        first = pd.Series(pdf["_row"].to_numpy()).groupby(bins).transform("min").to_numpy()  # a number that no other task gives
-        return pdf.assign(sequence_id=first, offset=offsets).drop(columns="_shard")
+        first = pd.Series(pdf[row].to_numpy()).groupby(bins).transform("min").to_numpy()  # a number that no other task gives
+        return pdf.assign(sequence_id=first, offset=offsets).drop(columns=shard)
 
     # the row number's hash deals evenly: it is unique
-    placed = part.withColumn("_shard", F.pmod(F.xxhash64("_row"), F.lit(shards))).groupBy("_shard").applyInPandas(place, schema)
-    full = pieces.where(F.col("length") == capacity).select("*", F.col("_row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return placed.unionByName(full).drop("_row")
+    placed = part.withColumn(shard, F.pmod(F.xxhash64(row), F.lit(shards))).groupBy(shard).applyInPandas(place, schema)
+    full = pieces.where(F.col("length") == capacity).select("*", F.col(row).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.unionByName(full).drop(row)
