@@ -20,13 +20,17 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near copies, once; those of no group; all of null doc_id."""
+    """The document of the smallest doc_id of each group of near copies, once; those of no group; all of null doc_id.
+
+    Of rows that share that doc_id the least stays, by the hash of all columns and then by the columns in turn.
+    """
     groups = cut(jaccard.similarity_components(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")))
     kept = join_counted(docs, groups.where("doc_id != component_id").select("doc_id"), ["doc_id"], "left_anti")
     repeated = groups.where("doc_id = component_id and rows > 1").select("doc_id")
     if repeated.isEmpty():
         return kept
-    once = join_counted(kept, repeated, ["doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    again = join_counted(kept, repeated, ["doc_id"], "left_semi").select("doc_id", F.struct(F.xxhash64(*docs.columns).alias("order"), F.struct(*docs.columns).alias("row")).alias("all"))
+    once = again.groupBy("doc_id").agg(F.min("all").alias("all")).select(*[F.col("all")["row"][c].alias(c) for c in docs.columns])
     return join_counted(kept, repeated, ["doc_id"], "left_anti").unionByName(once)
 
 
