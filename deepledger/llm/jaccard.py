@@ -163,8 +163,12 @@ def shared_tokens(sets: DataFrame, least: Callable[[np.ndarray], np.ndarray], wi
 
 
 def boundary(shared: DataFrame) -> int:
-    """The set size up to which pairs of shingles are enumerated, as a power of two, where the two costs together are least."""
-    lists = F.aggregate(F.slice("df", 1, F.col("p")), F.lit(0).cast("long"), lambda a, x: a + x)
+    """The set size up to which pairs of shingles are enumerated, as a power of two, where the two costs together are least.
+
+    An entry of a list is emitted once and scanned against the list's other entries, but never more than LIST_ROWS of them: the sets
+    of longer lists meet a pivot and one set of the largest component, not each other.
+    """
+    lists = F.aggregate(F.slice("df", 1, F.col("p")), F.lit(0).cast("long"), lambda a, x: a + F.least(x, F.lit(LIST_ROWS)))
     costs = shared.withColumn("p", F.size("tokens") - _least() + 1).groupBy(F.floor(F.log2("n")).alias("level"))
     rows = sorted(costs.agg(F.sum(F.col("p") * (F.col("p") + 1) / 2).alias("subsets"), F.sum(F.col("p") + lists * SCAN_COST).alias("lists")).collect())  # a row for each power of two
     best, at = sum(r["lists"] for r in rows), 0
@@ -181,15 +185,15 @@ def _least():
 
 
 def signatures(shared: DataFrame, light: int) -> DataFrame:
-    """(sig, at, node, n): any linked pair has a sig in common; `at` counts a set's from 0, rarest first.
+    """(sig, at, node, n): any linked pair has a sig in common; `at` counts a set's of either kind from 0, rarest first.
 
     Sets of at most `light` shingles give pairs of shingles, larger ones and those that may link to them single shingles.
     """
     prefix = lambda more: F.slice("tokens", 1, F.greatest(F.lit(0), F.size("tokens") - _least() + more))
     single = shared.where(F.col("n") >= -(-4 * light // 5)).select(F.posexplode(prefix(1)).alias("at", "sig"), "node", "n").select("sig", "at", "node", "n")
-    ends = shared.where(F.col("n") <= light).withColumn("p", prefix(2)).select("node", "n", "p", F.posexplode("p").alias("at", "a"))
-    pairs = ends.select("node", "n", "at", "a", F.explode(F.slice("p", F.col("at") + 2, F.size("p"))).alias("b"))
-    return single.unionByName(pairs.select(F.xxhash64("a", "b").alias("sig"), "at", "node", "n"))
+    ends = shared.where(F.col("n") <= light).withColumn("p", prefix(2)).select("node", "n", "p", F.posexplode("p").alias("j", "b")).where("j > 0")
+    pairs = ends.select("node", "n", "j", "b", F.posexplode(F.slice("p", 1, F.col("j"))).alias("i", "a"))
+    return single.unionByName(pairs.select(F.xxhash64("a", "b").alias("sig"), F.expr("cast(j * (j - 1L) / 2 + i as int)").alias("at"), "node", "n"))
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -276,7 +280,7 @@ def link_components(sigs: DataFrame, sets: DataFrame, rounds: int = 2, votes: in
 
     In a few rounds each set is compared with one pivot: of the pivots of its first `votes` lists, of which every list picks one
     by hash, that which most of them picked. Groups of near copies so fall into few components. Then, in all lists with several
-    components left, the members outside the largest meet those of the other components: pair by pair in lists of at most
+    components left, one for all lists of the same members, the members outside the largest meet those of the other components: pair by pair in lists of at most
     `list_rows`, and by their differences from one set of the largest component in longer ones.
     """
     labels, links, tried = None, None, None
@@ -292,9 +296,12 @@ def link_components(sigs: DataFrame, sets: DataFrame, rounds: int = 2, votes: in
         tried = pairs if tried is None else tried.union(pairs)
         labels = cut(connected_components(links))
     members = cut(sigs.join(labels, F.col("node") == F.col("id"), "left").select("sig", "node", "n", F.coalesce("component", "node").alias("c")))
-    sizes = members.groupBy("sig", "c").agg(F.count("*").alias("k"))
+    marks = {"x": F.xxhash64("node"), "y": F.xxhash64("node", F.lit(1))}  # 128 bits of a list's members, whatever their order
+    sizes = members.groupBy("sig", "c").agg(F.count("*").alias("k"), *[F.bit_xor(v).alias(k) for k, v in marks.items()])
     # ties are broken alike in all lists, so that lists of the same sets agree on one component
-    main = sizes.groupBy("sig").agg(F.max_by("c", F.struct("k", F.xxhash64("c"), "c")).alias("main"), F.count("*").alias("groups"), F.sum("k").alias("k")).where("groups > 1").drop("groups")
+    main = sizes.groupBy("sig").agg(F.max_by("c", F.struct("k", F.xxhash64("c"), "c")).alias("main"), F.count("*").alias("groups"), F.sum("k").alias("k"), *[F.bit_xor(k).alias(k) for k in marks])
+    # of the lists of the very same sets one is enough
+    main = main.where("groups > 1").groupBy("k", *marks).agg(F.min_by(F.struct("sig", "main"), "sig").alias("one")).select("one.sig", "one.main", "k")
     open_lists = cut(members.join(main, "sig"))
     near, unsure = near_reference(open_lists.where(F.col("k") > list_rows).select("node", "n", "c", "main").distinct(), sets)
     short = open_lists.where(F.col("k") <= list_rows)
