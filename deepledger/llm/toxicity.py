@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from deepledger.llm.common import ascii_lower, hash_spans, join_counted, slices, spans_of, text_bytes
+from deepledger.llm.common import ascii_lower, cut, hash_spans, join_counted, slices, spans_of, text_bytes
 
 #: Labelled documents that a model is fitted on at most; the rest of the pipeline sees every row.
 FIT_ROWS = 10_000
@@ -42,8 +42,8 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hash_spans(low, starts, ends), at
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """(toxic, words, counts) of at most `rows` labelled documents, those of the smallest hash of doc_id."""
+def labelled_words(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """(toxic, mark, words, counts) of at most `rows` labelled documents, those of the smallest hash of doc_id; texts of the same words count once, as toxic if one of them is."""
     chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,40 +54,56 @@ def labelled_features(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS)
                 yield pa.RecordBatch.from_arrays([batch["toxic"].slice(a, b - a), pa.array([w.tobytes() for w, _ in each], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in each], pa.binary())], names=["toxic", "words", "counts"])
 
     texts = join_counted(docs.where("text is not null").select("doc_id", "text"), chosen, ["doc_id"], "inner")
-    return texts.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(work, "toxic int, words binary, counts binary")
+    found = texts.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(work, "toxic int, words binary, counts binary")
+    return cut(found.groupBy("words", "counts").agg(F.max("toxic").alias("toxic")).select("toxic", F.xxhash64("words", "counts").alias("mark"), "words", "counts"))
 
 
-def grades_of(toxic: np.ndarray, telling: np.ndarray, levels: int = 3) -> np.ndarray:
-    """0 for clean documents; 1 to `levels` for toxic ones, by the quantiles of their number of telling words: labels tell no severity."""
-    at = telling[(toxic > 0) & (telling > 0)]
-    edges = np.quantile(at, np.arange(1, levels) / levels) if len(at) else np.zeros(levels - 1)
-    return np.where(toxic > 0, 1 + np.searchsorted(edges, telling), 0)
-
-
-def fit(toxic: np.ndarray, words: list[np.ndarray], counts: list[np.ndarray], levels: int = 3, ridge: float = 1e-5, steps: int = 400) -> Model:
-    """Weights shared across all thresholds, by full-batch gradient steps with momentum on the mean negative log-likelihood."""
-    seen: dict[bytes, int] = {}
-    keep = [i for i, w in enumerate(words) if seen.setdefault(w.tobytes() + counts[i].tobytes(), i) == i]  # copies count once
-    toxic, words, counts = toxic[keep], [words[i] for i in keep], [counts[i] for i in keep]
-    n, positive = len(toxic), int((toxic > 0).sum())
-    none = Model(np.zeros(0, np.uint64), np.zeros(0), np.linspace(3.0, 6.0, levels))
-    if not positive or positive == n:
-        return none
-    flat, row = np.concatenate(words), np.repeat(np.arange(n), [len(w) for w in words])
-    tf = np.concatenate(counts)
-    features, column, df = np.unique(flat, return_inverse=True, return_counts=True)
-    bad = np.bincount(column, weights=toxic[row] > 0, minlength=len(features))
-    good = df - bad
-    a, b, c, d = bad + 0.5, positive - bad + 0.5, good + 0.5, n - positive - good + 0.5
-    z = np.log(a * d / (b * c)) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    chosen = (df >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z)
-    if not chosen.any():
-        return none
-    place = np.cumsum(chosen) - 1
-    hit = chosen[column]
-    grade = grades_of(toxic, np.bincount(row[hit], weights=tf[hit] * (z[column[hit]] > 0), minlength=n), levels)
-    row, column, x = row[hit], place[column[hit]], 1 + np.log(tf[hit])
-    w, theta = np.zeros(int(chosen.sum())), np.array([np.log(max(1, (grade <= k).sum()) / max(1, (grade > k).sum())) for k in range(levels)])
+def telling_words(labelled: DataFrame, n: int, positive: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, of the words in at least LEAST_DOCS documents whose log odds lie LEAST_Z deviations from 0, and those deviations."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [np.frombuffer(w.as_buffer(), np.uint64) for w in batch["words"]]
+            flat = np.concatenate([np.zeros(0, np.uint64), *each])
+            bad = np.repeat(batch["toxic"].to_numpy() > 0, [len(w) for w in each])
+            words, place, df = np.unique(flat, return_inverse=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(df), pa.array(np.bincount(place, weights=bad, minlength=len(words)).astype(np.int64))], names=["word", "df", "bad"])
+
+    counts = labelled.select("toxic", "words").mapInArrow(work, "word long, df long, bad long").groupBy("word").agg(F.sum("df").alias("df"), F.sum("bad").alias("bad"))
+    a, b = F.col("bad") + 0.5, positive - F.col("bad") + 0.5
+    c, d = F.col("df") - F.col("bad") + 0.5, n - positive - F.col("df") + F.col("bad") + 0.5
+    scored = counts.where(F.col("df") >= LEAST_DOCS).select("word", (F.log(a * d / (b * c)) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)).alias("z")).where(F.abs("z") >= LEAST_Z)
+    found = scored.toArrow()
+    words = found["word"].to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    return words[order], found["z"].to_numpy()[order]
+
+
+def hits(labelled: DataFrame, words: np.ndarray) -> tuple[np.ndarray, ...]:
+    """toxic and mark of each document, by mark; document, word number and count of each telling word in one."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, tf = [], []
+            for w, c in zip(batch["words"], batch["counts"]):
+                w = np.frombuffer(w.as_buffer(), np.uint64)
+                _, at, place = np.intersect1d(w, words, assume_unique=True, return_indices=True)
+                own.append(place.astype(np.int32).tobytes())
+                tf.append(np.frombuffer(c.as_buffer(), np.int32)[at].tobytes())
+            yield pa.RecordBatch.from_arrays([batch["toxic"], batch["mark"], pa.array(own, pa.binary()), pa.array(tf, pa.binary())], names=["toxic", "mark", "words", "counts"])
+
+    found = labelled.mapInArrow(work, "toxic int, mark long, words binary, counts binary").toArrow()
+    order = np.argsort(found["mark"].to_numpy(), kind="stable")
+    own, tf = ([np.frombuffer(found[c][i].as_buffer(), np.int32) for i in order.tolist()] for c in ("words", "counts"))
+    row = np.repeat(np.arange(len(order)), [len(w) for w in own])
+    none = np.zeros(0, np.int32)
+    return found["toxic"].to_numpy()[order], found["mark"].to_numpy()[order], row, np.concatenate([none, *own]), np.concatenate([none, *tf])
+
+
+def descend(grade: np.ndarray, row: np.ndarray, column: np.ndarray, x: np.ndarray, width: int, levels: int, ridge: float = 1e-5, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+    """Weights shared across all thresholds, and ascending thresholds, by full-batch gradient steps with momentum on the mean negative log-likelihood."""
+    n = len(grade)
+    w, theta = np.zeros(width), np.array([np.log(max(1, (grade <= k).sum()) / max(1, (grade > k).sum())) for k in range(levels)])
     speed_w, speed_t, second_w, second_t = np.zeros_like(w), np.zeros_like(theta), np.zeros_like(w), np.zeros_like(theta)
     at = np.arange(n)
     for step in range(1, steps + 1):
@@ -104,14 +120,44 @@ def fit(toxic: np.ndarray, words: list[np.ndarray], counts: list[np.ndarray], le
             speed += 0.1 * (grad - speed)
             second += 0.01 * (grad * grad - second)
             value -= 0.05 * (speed / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-    return Model(features[chosen], w, np.sort(theta))
+    return w, np.sort(theta)
+
+
+def grades_of(toxic: np.ndarray, fold: np.ndarray, row: np.ndarray, column: np.ndarray, x: np.ndarray, width: int, levels: int) -> np.ndarray:
+    """0 for clean documents; 1 to `levels` for toxic ones, by the quantiles of their scores: labels tell no severity.
+
+    A document's score comes from a two-grade fit of the fold that it is not in, so its own words do not set its grade. Documents
+    without telling words, whose score says nothing, are of grade 1 if toxic.
+    """
+    score = np.zeros(len(toxic))
+    for f in (0, 1):
+        own = fold != f
+        number = np.cumsum(own) - 1
+        mine = own[row]
+        w, _ = descend((toxic[own] > 0).astype(int), number[row[mine]], column[mine], x[mine], width, 1)
+        rest = ~mine
+        score += np.bincount(row[rest], weights=w[column[rest]] * x[rest], minlength=len(toxic))
+    some = np.bincount(row, minlength=len(toxic)) > 0
+    at = score[(toxic > 0) & some]
+    edges = np.quantile(at, np.arange(1, levels) / levels) if len(at) else np.zeros(levels - 1)
+    return np.where(toxic > 0, np.where(some, 1 + np.searchsorted(edges, score), 1), 0)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """A model of labels (doc_id, toxic), fitted on the driver on at most `rows` documents. Unlabelled and null ones take no part."""
-    found = labelled_features(docs, labels, rows).toArrow()
-    words, counts = ([np.frombuffer(x, t) for x in found[c].to_pylist()] for c, t in (("words", np.uint64), ("counts", np.int32)))
-    return fit(found["toxic"].to_numpy(), words, counts)
+def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, levels: int = 3) -> Model:
+    """A model of labels (doc_id, toxic), fitted on at most `rows` documents. Unlabelled and null ones take no part.
+
+    Spark counts the words and chooses those that tell toxic from clean; only where these occur comes to the driver.
+    """
+    labelled = labelled_words(docs, labels, rows)
+    n, positive = labelled.agg(F.count("*"), F.count_if(F.col("toxic") > 0)).first()
+    if positive and positive < n:
+        words, _ = telling_words(labelled, n, positive)
+        if len(words):
+            toxic, mark, row, column, tf = hits(labelled, words)
+            x = 1 + np.log(tf)
+            grade = grades_of(toxic, mark & 1, row, column, x, len(words), levels)
+            return Model(words, *descend(grade, row, column, x, len(words), levels))
+    return Model(np.zeros(0, np.uint64), np.zeros(0), np.linspace(3.0, 6.0, levels))
 
 
 def severity(docs: DataFrame, model: Model) -> DataFrame:
