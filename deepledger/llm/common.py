@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel works on at once; bounds its memory, not what it reads.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -90,10 +90,12 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base and of its inverse modulo 2**64."""
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        _POWERS["up"], _POWERS["down"] = _odd_powers(_BASE, size), _odd_powers(pow(_BASE, -1, 1 << 64), size)
+    """The first n powers of an odd base and of its inverse modulo 2**64; those of a longer text than a chunk are not kept."""
+    make = lambda size: (_odd_powers(_BASE, size), _odd_powers(pow(_BASE, -1, 1 << 64), size))
+    if n > CHUNK_BYTES + 1:
+        return make(n)
+    if not _POWERS:
+        _POWERS["up"], _POWERS["down"] = make(CHUNK_BYTES + 1)
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
