@@ -37,6 +37,17 @@ def sphere_destination(lat: Column, lon: Column, bearing: Column, distance: Colu
     return F.struct(F.degrees(out_lat).alias("lat"), wrap_longitude(F.degrees(out_lon)).alias("lon"))
 
 
+def towfish(lat: Column, lon: Column, bearing: Column, forward: Column, starboard: Column) -> Column:
+    """struct(lat, lon) of a towed body from the vessel's: `forward` metres along the heading, then `starboard` metres to its right.
+
+    Null without a heading or with neither offset; a missing one of the two counts as none.
+    """
+    moved = lambda at, angle, by: F.when(F.coalesce(by, F.lit(0.0)) != 0, sphere_destination(at["lat"], at["lon"], angle, by)).otherwise(at)
+    ahead = moved(F.struct(lat.alias("lat"), lon.alias("lon")), bearing, forward)
+    aside = moved(ahead, F.pmod(bearing + 90.0, F.lit(360.0)), starboard)
+    return F.when(bearing.isNotNull() & (forward.isNotNull() | starboard.isNotNull()), aside)
+
+
 def geodesic_destination(lat: Column, lon: Column, bearing: Column, distance: Column, steps: int = 6) -> Column:
     """struct(lat, lon) reached on the WGS84 ellipsoid (direct solution of Vincenty), with the start for distances not above 0.
 

@@ -54,3 +54,16 @@ def safe_name(text: Column) -> Column:
 def site_key(stem: Column) -> Column:
     """A file's stem without a trailing _number."""
     return F.regexp_replace(stem, r"_\d+$", "")
+
+
+#: States of a location, and what older names of them mean.
+LOCATION_STATUSES = ("VERIFIED", "DERIVED", "MANUAL", "VESSEL_ONLY", "UNAVAILABLE", "INVALID")
+OLDER_STATUSES = {"approximate": "DERIVED", "known": "VERIFIED", "unknown": "UNAVAILABLE"}
+
+
+def location_status(status: Column) -> Column:
+    """One of LOCATION_STATUSES for its name in any case or an older name; UNAVAILABLE for anything else and null."""
+    older = F.lit("UNAVAILABLE")
+    for name, state in OLDER_STATUSES.items():
+        older = F.when(F.lower(status) == name, state).otherwise(older)
+    return F.when(F.upper(status).isin(*LOCATION_STATUSES), F.upper(status)).otherwise(older)

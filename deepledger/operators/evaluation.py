@@ -143,7 +143,7 @@ def split_report(split: DataFrame) -> DataFrame:
 
 def label_lines(boxes: DataFrame, width: float, height: float) -> DataFrame:
     """A text of normalised `class cx cy w h` lines for each image, six decimals."""
-    number = lambda x: F.format_string("%.6f", x)
+    number = lambda x: F.format_string("%.6f", F.bround(x, 6))  # noqa: E731  ties to even, as C prints them
     line = F.concat_ws(" ", F.col("class_id").cast("string"), number((F.col("x") + F.col("w") / 2) / width), number((F.col("y") + F.col("h") / 2) / height), number(F.col("w") / width), number(F.col("h") / height))
     return boxes.groupBy("image_id").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("lines"), F.count("*").alias("boxes"))
 

@@ -33,21 +33,44 @@ def survey_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def explorer_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.explore(A.detections(spark, sf_dir), status="review", class_name="wreck", text="FRAME_1").select("survey_id", "detection_id", "status", "tier", "priority")
+    return D.explore(A.detections(spark, sf_dir), status="review", class_name="wreck", search=" FRAME_1 ").select("survey_id", "detection_id", "status", "tier", "priority")
 
 
 def class_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.detections(spark, sf_dir).select("class_name").distinct()
 
 
+def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections with the state and source of their location, some under older names, and sizes."""
+    state = F.when(F.col("lat").isNull(), "unknown").when(F.col("h") == 14, "Manual").when(F.col("h") == 20, "known").when(F.col("h") == 26, "elsewhere").otherwise("approximate")
+    return A.detections(spark, sf_dir).withColumns({
+        "location_status": state, "nav_source": F.when(F.col("h") == 32, "csv").when(F.col("h") == 20, ""), "provenance_source": F.when(F.col("lat").isNotNull(), "sonar_geometry"),
+        "width_m": F.col("w") / 4, "length_m": F.col("h") / 4, "shadow_valid": F.col("shadow") > 0.6, "height_estimate_m": F.when(F.col("shadow") > 0.7, F.col("shadow") * 3), "image_height": F.lit(A.IMAGE_HEIGHT),
+    })
+
+
 def csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.detection_report(A.detections(spark, sf_dir), A.frames(spark, sf_dir))
+    return D.detection_report(_reported(spark, sf_dir), A.frames(spark, sf_dir))
+
+
+def physics_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = A.frames(spark, sf_dir).select("image_id", F.when(F.col("range_m") != 40, F.col("range_m")).alias("range_m"), F.when(F.col("altitude_m") != 3, F.col("altitude_m")).alias("altitude_m"))
+    return D.physics_records(_reported(spark, sf_dir).join(frames, "image_id"))
 
 
 def geojson_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = D.geojson_features(A.detections(spark, sf_dir))
+    rows = D.geojson_features(D.scored(_reported(spark, sf_dir)))
     read = lambda path: F.get_json_object("feature", path)
-    return rows.select("survey_id", "detection_id", read("$.geometry.type").alias("kind"), F.round(read("$.geometry.coordinates[0]").cast("double"), 5).alias("lon"), F.round(read("$.geometry.coordinates[1]").cast("double"), 5).alias("lat"), read("$.properties.class").alias("class_name"))
+    return rows.select(
+        "survey_id", "detection_id", read("$.geometry.type").alias("kind"), F.round(read("$.geometry.coordinates[0]").cast("double"), 5).alias("lon"), F.round(read("$.geometry.coordinates[1]").cast("double"), 5).alias("lat"),
+        read("$.properties.class").alias("class_name"), read("$.properties.note").alias("note"), read("$.properties.priority_score").cast("double").alias("priority"), read("$.properties.dimensions_m.width_m").cast("double").alias("width_m"),
+    )
+
+
+def track_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = D.track_features(A.navigation(spark, sf_dir))
+    line = F.from_json(F.get_json_object("feature", "$.geometry.coordinates"), "array<array<double>>")
+    return rows.select("survey_id", F.get_json_object("feature", "$.geometry.type").alias("kind"), F.size(line).cast("long").alias("places"), F.round(F.element_at(line, 1)[0], 6).alias("first_lon"), F.round(F.element_at(line, -1)[1], 6).alias("last_lat"))
 
 
 def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +144,7 @@ def track_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        hazard_ranking, fusion_breakdown, detection_counts, class_shares, survey_summary, explorer_filter, class_list, csv_report, geojson_report, json_report, dashboard_recent, survey_cards,
+        hazard_ranking, fusion_breakdown, detection_counts, class_shares, survey_summary, explorer_filter, class_list, csv_report, physics_records, geojson_report, track_lines, json_report, dashboard_recent, survey_cards,
         upsert_detections, replace_navigation, nav_validation, nav_reject_reasons, track_diagnostics, track_stats, frame_sync, nav_sessions, track_coordinates,
     )
 }
@@ -134,6 +157,8 @@ _STEPS = _VALID + f""", steps as (
   flags as (select *, coalesce(dt_s <= 0 and same, false) as duplicate, coalesce(dt_s > 0 and step_m / nullif(dt_s, 0) > 15 and step_m > 50, false) as jump from steps),
   diagnosed as (select *, case when duplicate then 'duplicate timestamp' when jump or coalesce(lead(jump) over (partition by survey_id order by ts, fix_id), false) then 'impossible jump' end as invalid from flags)"""
 
+_REPORTED = S.SCORED + ", reported as (select *, shadow > 0.6::double as shadow_valid, case when shadow > 0.7::double then shadow * 3 end as height_estimate_m from scored)"
+
 ORACLES = {
     "hazard_ranking": f"with {S.SCORED} select survey_id, detection_id, class_name, fusion, status, priority, tier, row_number() over (partition by survey_id order by priority desc, detection_id) as hazard_rank from scored",
     "fusion_breakdown": f"with {A.DETECTIONS} select detection_id, {S.FUSION} as fusion, " + ", ".join(f"round({v} * {K.FUSION_WEIGHTS[k]}::double / {S.USED}, 4) as part_{k}" for k, v in S.SIGNALS.items()) + " from detections",
@@ -143,9 +168,20 @@ ORACLES = {
         count(*) filter (tier = 'high') as high, count(*) filter (tier = 'critical') as critical, count(lat) as located, round(max(priority), 1) as top_priority from scored group by 1""",
     "explorer_filter": f"with {S.SCORED} select survey_id, detection_id, status, tier, priority from scored where status = 'review' and class_name = 'wreck' and contains(lower('frame_' || image_id || '.png ' || class_name || ' ' || detection_id), 'frame_1')",
     "class_list": f"with {A.DETECTIONS} select distinct class_name from detections",
-    "csv_report": f"""with {S.SCORED} select s.survey_id, detection_id, s.image_id, strftime(f.captured_at, '%Y-%m-%dT%H:%M:%SZ') as "timestamp", class_name, class_confidence, status, tier, priority, fusion,
-        round(lat, 6) as latitude, round(lon, 6) as longitude, uncertainty_m, case when lat is not null then 'sonar_geometry' end as position_source, null::varchar as evidence_anomaly, f.side from scored s left join frames f using (image_id)""",
-    "geojson_report": f"with {A.DETECTIONS} select survey_id, detection_id, case when lat is not null then 'Point' end as kind, round(lon, 5) as lon, round(lat, 5) as lat, class_name from detections",
+    "csv_report": f"""with {_REPORTED} select detection_id, r.survey_id, 'frame_' || image_id || '.png' as image, class_name as class, class_confidence, status, fusion as fusion_confidence, x as box_x, y as box_y, w as box_w, h as box_h, mask_frac as mask_area_frac,
+        class_confidence as evidence_detection, {S.BELL} as evidence_segmentation, natural_ as evidence_natural, shadow as evidence_shadow, physics as evidence_physics, null::double as evidence_consistency, anomaly as evidence_anomaly, shadow_valid,
+        height_estimate_m, lat is not null as geo_known, lat, lon, uncertainty_m, case when lat is null or h = 26 then 'UNAVAILABLE' when h = 14 then 'MANUAL' when h = 20 then 'VERIFIED' else 'DERIVED' end as location_status,
+        case when lat is not null and h = 14 then 'user_supplied' when h = 32 then 'csv' when lat is not null then 'sonar_geometry' end as position_source, strftime(f.captured_at, '%Y-%m-%dT%H:%M:%SZ') as "timestamp", null::double as geo_bearing_deg,
+        null::double as geo_ground_range_m, w / 4 as width_m, h / 4 as length_m, null::double as height_m, priority as priority_score, tier as priority_tier from reported r left join frames f using (image_id)""",
+    "physics_records": f"""with {_REPORTED}, g as (select r.*, nullif(f.range_m, 40) as range_m, nullif(f.altitude_m, 3) as altitude_m from reported r join frames f using (image_id)),
+        a as (select *, range_m * greatest(0, least(1, (y + h / 2) / 511)) as slant from g), b as (select *, case when altitude_m > 0 and slant >= altitude_m then round(degrees(asin(altitude_m / slant)), 1) end as angle from a),
+        c as (select *, coalesce(range_m > 0 and altitude_m > 0 and shadow_valid and height_estimate_m is not null, false) as enough from b)
+        select detection_id, enough as metadata_sufficient, angle as grazing_angle_deg, case when enough then round(height_estimate_m, 2) end as estimated_height_m,
+            round(case when angle < 8 then greatest(0.0::double, 1 - (8 - angle) / 4) when angle > 65 then greatest(0.0::double, 1 - (angle - 65) / 32.5::double) when angle is not null then 1 end, 3) as geometry_score,
+            coalesce(nullif(concat_ws('; ', case when range_m is null then 'sonar range missing' end, case when altitude_m is null or altitude_m <= 0 then 'sonar altitude missing' end, case when not coalesce(shadow_valid, false) then 'no valid acoustic shadow — height not estimable' end,
+                case when angle is not null then 'grazing ' || round_even(angle, 0)::bigint || '°' || case when enough then ' within shadow window [8°, 65°] — flat-seabed similar-triangles estimate' else ' outside/edge of shadow window — treat height with caution' end end), ''), 'sonar geometry not assessable') as note from c""",
+    "geojson_report": f"with {_REPORTED} select survey_id, detection_id, case when lat is not null then 'Point' end as kind, round(lon, 5) as lon, round(lat, 5) as lat, class_name, case when lat is null then 'geolocation unavailable' end as note, priority, w / 4 as width_m from reported",
+    "track_lines": f"with {A.NAVIGATION} select survey_id, 'LineString' as kind, count(*) as places, round(arg_min(lon, (ts, fix_id)), 6) as first_lon, round(arg_max(lat, (ts, fix_id)), 6) as last_lat from navigation where lat is not null and lon is not null group by 1 having count(*) >= 2",
     "json_report": f"with {S.SCORED}, r as (select *, row_number() over (partition by survey_id order by priority desc, detection_id) as k from scored) select survey_id, count(*) as n, count(lat) as located, max(case when k = 1 then detection_id end) as first_id, max(case when k = 1 then priority end) as first_priority from r group by 1",
     "dashboard_recent": "select o_custkey as survey_id, count(*) as frames, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as job_id, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) as job_status from orders group by 1 order by max((o_orderdate, o_orderkey)) desc limit 6",
     "survey_cards": "select c_custkey as survey_id, c_name as name, n_name as area, count(o_orderkey) as frames, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) as job_status from customer join nation on c_nationkey = n_nationkey left join orders on o_custkey = c_custkey group by 1, 2, 3",

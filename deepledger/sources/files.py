@@ -10,16 +10,30 @@ from deepledger.functions.text import number, timestamp, unix_timestamp
 
 #: Names under which a field may appear, best first.
 ALIASES = {
-    "ts": ("timestamp", "time", "datetime", "date_time", "utc"), "latitude": ("latitude", "lat", "y"), "longitude": ("longitude", "lon", "lng", "long", "x"),
-    "heading_deg": ("heading_deg", "heading", "hdg", "course", "cog"), "altitude_m": ("altitude_m", "altitude", "alt", "depth_altitude"), "accuracy_m": ("accuracy_m", "accuracy", "gps_accuracy", "hdop_m"),
-    "roll": ("roll", "roll_deg"), "pitch": ("pitch", "pitch_deg"), "heave": ("heave",), "layback": ("layback", "layback_m"), "crs": ("crs", "epsg"),
-}
+    "ts": ("timestamp", "time", "utc", "iso_time", "datetime", "gps_time"),
+    "latitude": ("lat", "latitude", "lat_deg", "y"),
+    "longitude": ("lon", "lng", "long", "longitude", "lon_deg", "x"),
+    "heading_deg": ("heading", "hdg", "course", "cog", "heading_deg", "true_heading"),
+    "altitude_m": ("altitude", "alt", "altitude_m", "depth", "sonar_depth", "fish_depth"),
+    "accuracy_m": ("accuracy", "accuracy_m", "gps_accuracy", "hdop"),
+    "source": ("source", "gps_source", "receiver"),
+    "roll": ("roll", "roll_deg"),
+    "pitch": ("pitch", "pitch_deg"),
+    "heave": ("heave", "heave_m"),
+    "towfish_x": ("towfish_x", "fish_x", "offset_x"),
+    "towfish_y": ("towfish_y", "fish_y", "offset_y"),
+    "towfish_z": ("towfish_z", "fish_z", "offset_z"),
+    "layback": ("layback", "layback_m"),
+}
+#: Columns that name the projection of a file's coordinates.
+CRS = ("crs", "epsg")
+NUMBERS = ("heading_deg", "altitude_m", "accuracy_m", "roll", "pitch", "heave", "towfish_x", "towfish_y", "towfish_z", "layback")
 
 
 def aliased(columns: list[str]) -> dict[str, str]:
     """Which column holds each field: the first alias that a column's trimmed lower-case name equals."""
     names = {c.strip().lower().lstrip("﻿"): c for c in reversed(columns)}
-    return {field: names[a] for field, options in ALIASES.items() for a in [next((o for o in options if o in names), None)] if a}
+    return {field: names[a] for field, options in {**ALIASES, "crs": CRS}.items() for a in [next((o for o in options if o in names), None)] if a}
 
 
 def to_wgs84(x: Column, y: Column, crs: Column) -> Column:
@@ -37,7 +51,7 @@ def _record(rows: DataFrame, fields: dict[str, Column]) -> DataFrame:
     get = lambda k: fields.get(k, F.lit(None).cast("string"))
     spot = to_wgs84(number(get("longitude")), number(get("latitude")), get("crs"))
     when = fields.get("ts_value", F.lit(None).cast("timestamp"))
-    return rows.select(F.coalesce(when, timestamp(get("ts"))).alias("ts"), spot["lat"].alias("latitude"), spot["lon"].alias("longitude"), *[number(get(k)).alias(k) for k in ("heading_deg", "altitude_m", "accuracy_m", "roll", "pitch", "heave", "layback")])
+    return rows.select(F.coalesce(when, timestamp(get("ts"))).alias("ts"), spot["lat"].alias("latitude"), spot["lon"].alias("longitude"), *[number(get(k)).alias(k) for k in NUMBERS], F.nullif(F.trim(get("source")), F.lit("")).alias("source"))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -57,7 +71,7 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     rows = docs.select(F.col("crs.properties.name").alias("crs"), F.explode(F.coalesce("features", F.array(single))).alias("f"))
     rows = rows.where((F.col("f.geometry.type") == "Point") & (F.size("f.geometry.coordinates") >= 2)).withColumn("p", F.transform_keys(F.coalesce("f.properties", F.create_map().cast("map<string,string>")), lambda k, _: F.lower(k)))
     prop = lambda k: F.coalesce(*[F.try_element_at("p", F.lit(a)) for a in ALIASES[k]])
-    fields = {k: prop(k) for k in ALIASES if k not in ("latitude", "longitude", "crs")}
+    fields = {k: prop(k) for k in ALIASES if k not in ("latitude", "longitude")}
     fields["ts_value"] = unix_timestamp(number(fields["ts"]))
     fields |= {"longitude": F.col("f.geometry.coordinates")[0].cast("string"), "latitude": F.col("f.geometry.coordinates")[1].cast("string"), "crs": F.col("crs")}
     return _record(rows, fields)
