@@ -13,9 +13,12 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from deepledger.functions import constants as K
 
-DECISION = "survey_id long, detection_id string, target_id string, decision string, score double"
+SIGNALS = ("class", "geographic", "frame", "spatial")
+DECISION = "survey_id long, detection_id string, target_id string, decision string, score double, " + ", ".join(f"{k}_score double" for k in SIGNALS)
 FIELDS = ["survey_id", "image_id", "frame_index", "detection_id", "class_name", "lat", "lon", "x", "y", "w", "h"]
 STATE = "target_id string, class_name string, lat double, lon double, box_id string, x double, y double, w double, h double, last_frame double"
+_NAMES = [c.split()[0] for c in STATE.split(", ")]
+_OUT = [c.split()[0] for c in DECISION.split(", ")]
 
 
 def new_id(survey: object, detection: object) -> str:
@@ -28,102 +31,149 @@ def _ramp(x: np.ndarray, full: float, none: float) -> np.ndarray:
 
 
 class Fold:
-    """Live targets of one survey as columns; each detection is scored against all of them at once.
+    """Live targets of one survey as growing arrays; each detection is scored against all of them at once.
 
     Null frame index, position or box make a signal unavailable. An accepted detection with a position overwrites its target's.
-    A target's box is that of its linked detection with the smallest id.
+    A target's box is that of its linked detection with the smallest id. Ties of score go to the smaller target id.
     """
 
     NUMBERS = ("lat", "lon", "x", "y", "w", "h", "last_frame")
 
     def __init__(self, targets: pd.DataFrame | None = None):
-        rows = targets if targets is not None else pd.DataFrame(columns=[c.split()[0] for c in STATE.split(", ")])
-        rows = rows.sort_values("target_id")
-        self.ids, self.classes, self.box_ids = list(rows["target_id"]), list(rows["class_name"]), list(rows["box_id"])
-        self.numbers = {c: list(rows[c].astype(float)) for c in self.NUMBERS}
+        self.ids: list[str] = []
+        self.box_ids: list[str] = []
+        self.codes: dict[str, int] = {}
+        self.class_of = np.zeros(16, np.int64)
+        self.values = np.full((len(self.NUMBERS), 16), np.nan)
+        for row in targets[_NAMES].itertuples(index=False) if targets is not None else ():
+            self.add(row.target_id, row.class_name, row.box_id, [getattr(row, c) for c in self.NUMBERS])
+
+    def add(self, target: str, name: str, box_id: str, numbers: list[float]) -> None:
+        n = len(self.ids)
+        if n == len(self.class_of):
+            self.class_of, self.values = np.concatenate([self.class_of, self.class_of]), np.concatenate([self.values, self.values], axis=1)
+        self.ids.append(target)
+        self.box_ids.append(box_id)
+        self.class_of[n] = self.codes.setdefault(name, len(self.codes))
+        self.values[:, n] = numbers
 
     def frame(self) -> pd.DataFrame:
-        return pd.DataFrame({"target_id": self.ids, "class_name": self.classes, "box_id": self.box_ids, **self.numbers})[[c.split()[0] for c in STATE.split(", ")]]
-
-    def scores(self, d: dict) -> np.ndarray:
-        t = {k: np.array(v) for k, v in self.numbers.items()}
-        same = np.array([c == d["class_name"] for c in self.classes])
-        half = np.radians(t["lat"] - d["lat"]) / 2, np.radians(t["lon"] - d["lon"]) / 2
-        a = np.sin(half[0]) ** 2 + np.cos(np.radians(d["lat"])) * np.cos(np.radians(t["lat"])) * np.sin(half[1]) ** 2
+        n, names = len(self.ids), {v: k for k, v in self.codes.items()}
+        numbers = dict(zip(self.NUMBERS, self.values[:, :n]))
+        return pd.DataFrame({"target_id": self.ids, "class_name": [names[c] for c in self.class_of[:n]], "box_id": self.box_ids, **numbers})[_NAMES]
+
+    def scores(self, name: str, numbers: tuple[float, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The score of each live target, and its four signals, null (nan) where not available."""
+        n = len(self.ids)
+        lat, lon, x, y, w, h, last = self.values[:, :n]
+        own_lat, own_lon, own_x, own_y, own_w, own_h, own_frame = numbers
+        same = self.class_of[:n] == self.codes.get(name, -1)
+        rad = np.pi / 180
+        a = np.sin((lat - own_lat) * (rad / 2)) ** 2 + np.cos(own_lat * rad) * np.cos(lat * rad) * np.sin((lon - own_lon) * (rad / 2)) ** 2
         distance = 2 * K.EARTH_RADIUS_M * np.arcsin(np.sqrt(np.minimum(1.0, a)))
-        gap = np.abs(t["last_frame"] - d["frame_index"])
-        wide = np.minimum(t["x"] + t["w"], d["x"] + d["w"]) - np.maximum(t["x"], d["x"])
-        tall = np.minimum(t["y"] + t["h"], d["y"] + d["h"]) - np.maximum(t["y"], d["y"])
+        gap = np.abs(last - own_frame)
+        wide = np.minimum(x + w, own_x + own_w) - np.maximum(x, own_x)
+        tall = np.minimum(y + h, own_y + own_h) - np.maximum(y, own_y)
         inner = np.maximum(0, wide) * np.maximum(0, tall)
-        union = t["w"] * t["h"] + d["w"] * d["h"] - inner
+        union = w * h + own_w * own_h - inner
         overlap = np.where(union > 0, inner / np.where(union > 0, union, 1), np.where(np.isnan(union), np.nan, 0.0))
-        signals = (same.astype(float), _ramp(distance, *K.DISTANCE_RAMP), _ramp(gap, *K.FRAME_RAMP), _ramp(1 - overlap, *K.OVERLAP_RAMP))
-        total, used = np.zeros(len(same)), np.zeros(len(same))
+        signals = [same.astype(float), _ramp(distance, *K.DISTANCE_RAMP), _ramp(gap, *K.FRAME_RAMP), _ramp(1 - overlap, *K.OVERLAP_RAMP)]
+        total, used = np.zeros(n), np.zeros(n)
         for value, weight in zip(signals, K.ASSOCIATION_WEIGHTS.values()):
-            total += np.where(np.isnan(value), 0.0, value * weight)
-            used += np.where(np.isnan(value), 0.0, weight)
+            there = value == value
+            total += np.where(there, value, 0.0) * weight
+            used += there * weight
         score = total / used * np.where(same, 1.0, K.CLASS_PENALTY)
-        score *= np.where(np.nan_to_num(np.round(distance, 1)) > K.DISTANCE_RAMP[1], K.GEO_PENALTY, 1.0)
-        apart = (np.nan_to_num(np.round(overlap, 3), nan=1.0) <= 0) & (np.nan_to_num(gap, nan=9.0) <= 1)
-        return np.round(score * np.where(apart, K.SPATIAL_PENALTY, 1.0), 4)
-
-    def take(self, d: dict) -> tuple[str | None, str, float | None]:
-        """(target, decision, score) of one detection, which may found a target."""
-        best, score = None, None
+        score *= np.where(np.round(distance, 1) > K.DISTANCE_RAMP[1], K.GEO_PENALTY, 1.0)
+        apart = (np.round(overlap, 3) <= 0) & (gap <= 1)
+        return np.round(score * np.where(apart, K.SPATIAL_PENALTY, 1.0), 4), signals
+
+    def take(self, survey: object, detection: str, name: str, numbers: tuple[float, ...], linked: str | None = None) -> tuple:
+        """(target, decision, score, signals) of one detection, which may found a target. One that is linked already keeps its target."""
+        none = (None,) * len(SIGNALS)
+        if linked is not None:
+            return linked, "reused", None, *none
+        score, signals = None, none
         if self.ids:
-            scores = self.scores(d)
-            order = np.argsort(-scores, kind="stable")
-            best, score = int(order[0]), float(scores[order[0]])
+            scores, each = self.scores(name, numbers)
+            score = float(scores.max())
+            top = np.flatnonzero(scores == score)
+            best = int(top[0]) if len(top) == 1 else min(top.tolist(), key=self.ids.__getitem__)
+            signals = tuple(round(float(v[best]), 3) if v[best] == v[best] else None for v in each)
             if score >= K.ACCEPT:
-                if len(order) > 1 and round(score - float(scores[order[1]]), 4) < K.AMBIGUITY:
-                    return None, "ambiguous", score
-                self._update(best, d)
-                return self.ids[best], "accepted", score
-        target = new_id(d["survey_id"], d["detection_id"])
-        at = int(np.searchsorted(np.array(self.ids, object), target)) if self.ids else 0
-        self.ids.insert(at, target)
-        self.classes.insert(at, d["class_name"])
-        self.box_ids.insert(at, d["detection_id"])
-        for c in self.NUMBERS:
-            self.numbers[c].insert(at, d["frame_index"] if c == "last_frame" else d[c])
-        return target, "new_target", score
-
-    def _update(self, i: int, d: dict) -> None:
-        n = self.numbers
-        if not np.isnan(d["lat"]):
-            n["lat"][i], n["lon"][i] = d["lat"], d["lon"]
-        if d["detection_id"] < self.box_ids[i]:
-            self.box_ids[i] = d["detection_id"]
-            for c in ("x", "y", "w", "h"):
-                n[c][i] = d[c]
-        n["last_frame"][i] = np.nanmax([n["last_frame"][i], d["frame_index"]]) if not np.isnan([n["last_frame"][i], d["frame_index"]]).all() else np.nan
+                second = score if len(top) > 1 else float(np.delete(scores, best).max()) if len(scores) > 1 else -1.0
+                if round(score - second, 4) < K.AMBIGUITY:
+                    return None, "ambiguous", score, *signals
+                self._update(best, detection, numbers)
+                return self.ids[best], "accepted", score, *signals
+        target = new_id(survey, detection)
+        self.add(target, name, detection, list(numbers))
+        return target, "new_target", score, *signals
+
+    def _update(self, i: int, detection: str, numbers: tuple[float, ...]) -> None:
+        if numbers[0] == numbers[0]:
+            self.values[:2, i] = numbers[:2]
+        if detection < self.box_ids[i]:
+            self.box_ids[i] = detection
+            self.values[2:6, i] = numbers[2:6]
+        self.values[6, i] = np.fmax(self.values[6, i], numbers[6])
 
     def run(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """The decisions of one survey's rows, whatever their order."""
         rows = rows.assign(_o=rows["frame_index"].fillna(1e9)).sort_values(["_o", "image_id", "detection_id"])
-        for c in ("frame_index", "lat", "lon", "x", "y", "w", "h"):
-            rows[c] = rows[c].astype(float)
-        out = [(d["survey_id"], d["detection_id"], *self.take(d)) for d in rows.to_dict("records")]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in DECISION.split(", ")])
+        return pd.DataFrame([(r[0], r[1], *self.take(*r)) for r in _records(rows)], columns=_OUT)
+
+
+def _records(rows: pd.DataFrame) -> Iterator[tuple]:
+    """(survey, detection, class, numbers in the order of Fold.NUMBERS, linked target) of each row."""
+    numbers = rows[["lat", "lon", "x", "y", "w", "h", "frame_index"]].astype(float).itertuples(index=False, name=None)
+    links = [None if pd.isna(t) else t for t in rows["target_id"]] if "target_id" in rows else [None] * len(rows)
+    return zip(rows["survey_id"], rows["detection_id"], rows["class_name"], numbers, links)
+
+
+def known_targets(detections: DataFrame, targets: DataFrame) -> DataFrame:
+    """The state of each of targets (survey_id, target_id, class_name, lat, lon) by the detections linked to it: the box of the smallest id, the last frame."""
+    box = F.min_by(F.struct("detection_id", "x", "y", "w", "h"), "detection_id").alias("box")
+    linked = detections.where("target_id is not null").groupBy("survey_id", "target_id").agg(box, F.max("frame_index").alias("last_frame"))
+    rows = targets.select("survey_id", "target_id", "class_name", "lat", "lon").join(linked, ["survey_id", "target_id"], "left")
+    return rows.select("survey_id", "target_id", "class_name", "lat", "lon", F.col("box.detection_id").alias("detection_id"), *[F.col(f"box.{c}").alias(c) for c in "xywh"], F.col("last_frame").alias("frame_index"))
+
 
+def associate(detections: DataFrame, targets: DataFrame | None = None, frames: DataFrame | None = None) -> DataFrame:
+    """(survey_id, detection_id, target_id, decision, score, signals of the best candidate) of all detections.
 
-def associate(detections: DataFrame) -> DataFrame:
-    """(survey_id, detection_id, target_id, decision, score) of all detections.
+    targets: those of earlier runs; detections with a target_id are linked to them and reused, so that a second run changes nothing.
+    Without the argument, and the column, everything is decided anew. frames: (survey_id, width, height); boxes count only in surveys
+    whose frames are all of one size. Null survey: a survey of its own. No rows: no rows.
 
     A survey is folded in one task, since each decision depends on those before it; its rows stream through in order, so that the
-    task holds a batch of them and the live targets. Null survey: a survey of its own. No rows: no rows.
+    task holds a batch of them and the live targets.
     """
-    order = F.coalesce(F.nanvl(F.col("frame_index").cast("double"), F.lit(1e9)), F.lit(1e9)).alias("_o")
-    rows = detections.select(*FIELDS, F.col("survey_id").cast("string").alias("_survey"), order).repartition("survey_id")
-    ordered = rows.sortWithinPartitions(F.asc_nulls_last("_survey"), "_o", F.asc_nulls_last("image_id"), F.asc_nulls_last("detection_id"))
+    linked = F.col("target_id") if "target_id" in detections.columns else F.lit(None).cast("string")
+    rows = detections.select(*FIELDS, linked.alias("target_id"), F.lit(1).alias("_kind"))
+    if targets is not None:
+        state = known_targets(rows, targets).withColumns({"image_id": F.lit(None).cast(rows.schema["image_id"].dataType), "_kind": F.lit(0)})
+        rows = rows.unionByName(state.select(*rows.columns))
+    if frames is not None:
+        mixed = frames.groupBy("survey_id").agg(F.count_distinct(F.struct("width", "height")).alias("_sizes")).where("_sizes > 1")
+        rows = rows.join(mixed, "survey_id", "left").withColumns({c: F.when(F.col("_sizes").isNull(), F.col(c)) for c in "xywh"}).drop("_sizes")
+    order = F.coalesce(F.nanvl(F.col("frame_index").cast("double"), F.lit(1e9)), F.lit(1e9))
+    rows = rows.withColumns({"_survey": F.col("survey_id").cast("string"), "_o": F.when(F.col("_kind") == 1, order).otherwise(-1.0)}).repartition("survey_id")
+    ordered = rows.sortWithinPartitions(F.asc_nulls_last("_survey"), "_kind", "_o", F.asc_nulls_last("image_id"), F.asc_nulls_last("detection_id"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fold, survey = None, None
         for batch in batches:
-            for name, own in batch.groupby("_survey", sort=False, dropna=False):
-                name = None if pd.isna(name) else name
+            out = []
+            names = [None if pd.isna(x) else x for x in batch["_survey"]]
+            for name, kind, (number, detection, label, numbers, link) in zip(names, batch["_kind"], _records(batch)):
                 if fold is None or name != survey:
                     fold, survey = Fold(), name
-                yield fold.run(own.assign(survey_id=np.nan if name is None else int(name)))
+                if kind:
+                    out.append((number, detection, *fold.take(np.nan if name is None else int(name), detection, label, numbers, link)))
+                else:
+                    fold.add(link, label, detection or "", list(numbers))
+            yield pd.DataFrame(out, columns=_OUT)
 
     return ordered.mapInPandas(work, DECISION)
 
@@ -136,7 +186,7 @@ class FoldProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         known = [tuple(r) for r in self.targets.get()] if self.targets.exists() else []
-        fold = Fold(pd.DataFrame(known, columns=[c.split()[0] for c in STATE.split(", ")]) if known else None)
+        fold = Fold(pd.DataFrame(known, columns=_NAMES) if known else None)
         out = fold.run(pd.concat(list(rows), ignore_index=True))
         self.targets.put([tuple(None if isinstance(v, float) and np.isnan(v) else v for v in r) for r in fold.frame().itertuples(index=False)])
         yield out
@@ -154,5 +204,5 @@ def summary(decisions: DataFrame) -> DataFrame:
     """Counts of each survey's decisions."""
     return decisions.groupBy("survey_id").agg(
         F.count("*").alias("detections"), F.count_distinct("target_id").alias("targets"), F.count_if(F.col("decision") == "accepted").alias("accepted"),
-        F.count_if(F.col("decision") == "ambiguous").alias("ambiguous"), F.count_if(F.col("decision") == "new_target").alias("founded"),
+        F.count_if(F.col("decision") == "ambiguous").alias("ambiguous"), F.count_if(F.col("decision") == "new_target").alias("founded"), F.count_if(F.col("decision") == "reused").alias("reused"),
     )
