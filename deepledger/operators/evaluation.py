@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -21,34 +23,54 @@ def box_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return inner / np.maximum((a[:, 2] * a[:, 3])[:, None] + b[:, 2] * b[:, 3] - inner, 1e-9)
 
 
-def _boxes(rows: pd.DataFrame) -> np.ndarray:
-    return rows[["x", "y", "w", "h"]].to_numpy(dtype=float)
-
-
 def _by_image(rows: DataFrame, tag: int) -> DataFrame:
-    """rows as one kind of record, dealt to groups of many images each: a group for each image would cost more than its work."""
     id_, score = ("detection_id", F.col("score")) if tag == 0 else ("truth_id", F.lit(0.0))
-    return rows.select(F.pmod(F.xxhash64("image_id"), F.lit(256)).alias("part"), "image_id", F.col(id_).alias("id"), *[F.col(c).cast("double").alias(c) for c in "xywh"], score.cast("double").alias("score"), F.lit(tag).alias("tag"))
+    return rows.where("image_id is not null").select("image_id", F.col(id_).alias("id"), *[F.col(c).cast("double").alias(c) for c in "xywh"], score.cast("double").alias("score"), F.lit(tag).alias("tag"))
+
+
+def _streamed(rows: DataFrame) -> DataFrame:
+    """rows with those of an image next to each other, by tag, descending score and id: a task sorts, and spills, but holds only an image at a time."""
+    return rows.repartition("image_id").sortWithinPartitions("image_id", "tag", F.desc("score"), "id")
+
+
+def _images(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple[int, slice, pd.DataFrame, np.ndarray]]]:
+    """The images (id, their rows in a batch, the batch, boxes) that end in each batch of `_streamed`, an image that goes on in the next one being kept for it."""
+    rest: list[pd.DataFrame] = []
+    for batch in batches:
+        ids = batch["image_id"].to_numpy()
+        if not len(ids):
+            continue
+        if rest and ids[0] == rest[0]["image_id"].iat[0] and ids[-1] == ids[0]:
+            rest.append(batch)
+            continue
+        batch = pd.concat([*rest, batch], ignore_index=True)
+        ids, boxes = batch["image_id"].to_numpy(), batch[["x", "y", "w", "h"]].to_numpy(dtype=float)
+        at = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist()]
+        yield [(ids[i], slice(i, j), batch, boxes[i:j]) for i, j in zip(at, at[1:])]
+        rest = [batch.iloc[at[-1] :]]
+    if rest:
+        batch = pd.concat(rest, ignore_index=True)
+        yield [(batch["image_id"].iat[0], slice(0, len(batch)), batch, batch[["x", "y", "w", "h"]].to_numpy(dtype=float))]
 
 
 def greedy_match(detections: DataFrame, truths: DataFrame, least: float = 0.5) -> DataFrame:
-    """(image_id, tp, fp, fn): detections by descending score (ties by id) each take the unused truth they overlap most."""
+    """(image_id, tp, fp, fn): detections by descending score (ties by id) each take the unused truth they overlap most. Rows of null image take no part."""
 
-    def match(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for image, own in rows.sort_values(["image_id", "tag", "score", "id"], ascending=[True, True, False, True]).groupby("image_id", sort=False):
-            boxes, tag = _boxes(own), own["tag"].to_numpy()
-            overlap, used = box_iou(boxes[tag == 0], boxes[tag == 1]), np.zeros(int((tag == 1).sum()), bool)
-            for row in overlap:
-                free = np.where(used, -1.0, row)
-                if len(free) and free.max() >= least:
-                    used[free.argmax()] = True
-            tp = int(used.sum())
-            out.append((image, tp, len(overlap) - tp, len(used) - tp))
-        return pd.DataFrame(out, columns=["image_id", "tp", "fp", "fn"])
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for images in _images(batches):
+            out = []
+            for image, place, batch, boxes in images:
+                found = int((batch["tag"].to_numpy()[place] == 0).sum())
+                used = np.zeros(len(boxes) - found, bool)
+                for i in range(found if len(used) else 0):
+                    free = np.where(used, -1.0, box_iou(boxes[i : i + 1], boxes[found:])[0])
+                    if free.max() >= least:
+                        used[free.argmax()] = True
+                tp = int(used.sum())
+                out.append((image, tp, found - tp, len(used) - tp))
+            yield pd.DataFrame(out, columns=["image_id", "tp", "fp", "fn"])
 
-    both = _by_image(detections, 0).unionByName(_by_image(truths, 1))
-    return both.groupBy("part").applyInPandas(match, "image_id long, tp long, fp long, fn long")
+    return _streamed(_by_image(detections, 0).unionByName(_by_image(truths, 1))).mapInPandas(match, "image_id long, tp long, fp long, fn long")
 
 
 def precision_recall(matches: DataFrame) -> DataFrame:
@@ -59,21 +81,21 @@ def precision_recall(matches: DataFrame) -> DataFrame:
 
 
 def suppress(detections: DataFrame, most: float = 0.45) -> DataFrame:
-    """(image_id, detection_id) that no better one of their image (score, then id) which is kept overlaps by more than `most`, whatever the class."""
+    """(image_id, detection_id) that no better one of their image (score, then id) which is kept overlaps by more than `most`, whatever the class. Rows of null image take no part."""
 
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, own in rows.sort_values(["image_id", "score", "id"], ascending=[True, False, True]).groupby("image_id", sort=False):
-            boxes = _boxes(own)
-            live = np.ones(len(own), bool)
-            close = box_iou(boxes, boxes) > most
-            for i in range(len(own)):
-                if live[i]:
-                    live[i + 1 :] &= ~close[i, i + 1 :]
-            out.append(own[live])
-        return pd.concat(out)[["image_id", "id"]].rename(columns={"id": "detection_id"})
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for images in _images(batches):
+            out = []
+            for image, place, batch, boxes in images:
+                live, names = np.ones(len(boxes), bool), batch["id"].to_numpy()[place]
+                for i in range(len(boxes)):
+                    if live[i]:
+                        out.append((image, names[i]))
+                        if i + 1 < len(boxes):
+                            live[i + 1 :] &= box_iou(boxes[i : i + 1], boxes[i + 1 :])[0] <= most
+            yield pd.DataFrame(out, columns=["image_id", "detection_id"])
 
-    return _by_image(detections, 0).groupBy("part").applyInPandas(keep, "image_id long, detection_id string")
+    return _streamed(_by_image(detections, 0)).mapInPandas(keep, "image_id long, detection_id string")
 
 
 def calibration_bins(scored: DataFrame, bins: int = 10) -> DataFrame:
@@ -88,12 +110,19 @@ def calibration_error(scored: DataFrame, bins: int = 10) -> DataFrame:
     return rows.agg(F.sum("n").alias("n"), F.round(F.sum(F.col("gap") * F.col("n")) / F.sum("n"), 5).alias("ece"))
 
 
-def roc_auc(scored: DataFrame) -> DataFrame:
-    """Area under the ROC curve, ties counted half, from counts per distinct score: the window runs over distinct scores only."""
-    steps = scored.groupBy("confidence").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
-    # sums of lower scores' negatives; one partition of distinct scores, not of rows
-    below = F.coalesce(F.sum("q").over(Window.orderBy("confidence").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = steps.withColumn("below", below)
+def roc_auc(scored: DataFrame, ranges: int = 256) -> DataFrame:
+    """Area under the ROC curve, ties counted half, from counts per distinct score.
+
+    The distinct scores are cut into ranges at their approximate quantiles; a window runs within each range and another over the
+    sums of the ranges, a row each, so that no task holds more than about one range.
+    """
+    steps = scored.where("confidence is not null").groupBy("confidence").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
+    edges = sorted(set(steps.agg(F.percentile_approx("confidence", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or ()))
+    part = F.size(F.filter(F.array(*map(F.lit, edges)) if edges else F.array().cast("array<double>"), lambda e: e < F.col("confidence")))
+    steps = steps.withColumn("part", part)
+    before = lambda window: F.coalesce(F.sum("q").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lower = steps.groupBy("part").agg(F.sum("q").alias("q")).select("part", before(Window.orderBy("part")).alias("lower"))  # a row for each range
+    rows = steps.join(F.broadcast(lower), "part").withColumn("below", F.col("lower") + before(Window.partitionBy("part").orderBy("confidence")))
     return rows.agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"), F.round(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)), F.sum("p") * F.sum("q")), 6).alias("auc"))
 
 
