@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from deepledger.llm.common import cut
 
 #: Vectors of a block, blocks of a shard and queries of a batch: what one step scores and what one task holds.
-BLOCK, SHARD_BLOCKS, BATCH = 256, 64, 512
+BLOCK, SHARD_BLOCKS, BATCH = 256, 64, 4096
 SCHEMA = "query_id long, vec_id long, score long"
 
 
