@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deepledger.functions.constants import DEGREE_M, EARTH_RADIUS_M, WGS84_A, WGS84_F
@@ -48,43 +48,40 @@ def towfish(lat: Column, lon: Column, bearing: Column, forward: Column, starboar
     return F.when(bearing.isNotNull() & (forward.isNotNull() | starboard.isNotNull()), aside)
 
 
-def geodesic_destination(lat: Column, lon: Column, bearing: Column, distance: Column, steps: int = 6) -> Column:
-    """struct(lat, lon) reached on the WGS84 ellipsoid (direct solution of Vincenty), with the start for distances not above 0.
+def geodesic(rows: DataFrame, name: str, lat: Column, lon: Column, bearing: Column, distance: Column) -> DataFrame:
+    """rows with `name`: struct(lat, lon) reached on the WGS84 ellipsoid, with the start for distances not above 0.
 
-    The arc length is refined in a fixed number of steps, which an aggregate over a constant array keeps to one copy of the
-    step; six leave errors far below a millimetre up to hundreds of kilometres.
+    The arc comes from the distance by the reverted series of the geodesic to the fourth order, so nothing is iterated; errors
+    are far below a millimetre. Each step is a projection of its own: a value that the next uses many times is computed once,
+    and all of it stays in generated code. Columns whose names begin with `name` between underscores are taken.
     """
+    p = f"_{name}_"
+    c = lambda x: F.col(p + x)
+    step = lambda r, **values: r.withColumns({p + k: v for k, v in values.items()})
     b = WGS84_A * (1 - WGS84_F)
-    azimuth = F.radians(bearing)
-    u = F.atan((1 - WGS84_F) * F.tan(F.radians(lat)))
-    start_arc = F.atan2(F.tan(u), F.cos(azimuth))
-    sin_alpha = F.cos(u) * F.sin(azimuth)
-    cos2_alpha = 1 - sin_alpha * sin_alpha
-    square = cos2_alpha * (WGS84_A**2 - b**2) / b**2
-    big_a = 1 + square / 16384 * (4096 + square * (-768 + square * (320 - 175 * square)))
-    big_b = square / 1024 * (256 + square * (-128 + square * (74 - 47 * square)))
-    state = F.struct((distance / (b * big_a)).alias("first"), big_b.alias("b"), start_arc.alias("arc"), (distance / (b * big_a)).alias("sigma"))
-
-    def refine(s: Column, _: Column) -> Column:
-        middle = F.cos(2 * s["arc"] + s["sigma"])
-        sine, cosine = F.sin(s["sigma"]), F.cos(s["sigma"])
-        curve = cosine * (2 * middle * middle - 1) - s["b"] / 6 * middle * (4 * sine * sine - 3) * (4 * middle * middle - 3)
-        sigma = s["first"] + s["b"] * sine * (middle + s["b"] / 4 * curve)
-        return F.struct(s["first"].alias("first"), s["b"].alias("b"), s["arc"].alias("arc"), sigma.alias("sigma"))
-
-    def finish(s: Column) -> Column:
-        sigma = s["sigma"]
-        middle = F.cos(2 * s["arc"] + sigma)
-        x = F.sin(u) * F.sin(sigma) - F.cos(u) * F.cos(sigma) * F.cos(azimuth)
-        out_lat = F.atan2(F.sin(u) * F.cos(sigma) + F.cos(u) * F.sin(sigma) * F.cos(azimuth), (1 - WGS84_F) * F.sqrt(sin_alpha * sin_alpha + x * x))
-        turn = F.atan2(F.sin(sigma) * F.sin(azimuth), F.cos(u) * F.cos(sigma) - F.sin(u) * F.sin(sigma) * F.cos(azimuth))
-        c = WGS84_F / 16 * cos2_alpha * (4 + WGS84_F * (4 - 3 * cos2_alpha))
-        lost = (1 - c) * WGS84_F * sin_alpha * (sigma + c * F.sin(sigma) * (middle + c * F.cos(sigma) * (2 * middle * middle - 1)))
-        return F.struct(F.degrees(out_lat).alias("lat"), wrap_longitude(lon + F.degrees(turn - lost)).alias("lon"))
-
-    moved = F.aggregate(F.array(*[F.lit(i) for i in range(steps)]), state, refine, finish)
-    known = lat.isNotNull() & lon.isNotNull() & bearing.isNotNull() & distance.isNotNull()
-    return F.when(known & (distance <= 0), F.struct(lat.alias("lat"), lon.alias("lon"))).when(known, moved)
+    r = step(rows, lat=lat, lon=lon, way=distance, turn=F.radians(bearing))
+    r = step(r, u=F.atan((1 - WGS84_F) * F.tan(F.radians(c("lat")))))
+    r = step(r, su=F.sin(c("u")), cu=F.cos(c("u")), st=F.sin(c("turn")), ct=F.cos(c("turn")))
+    r = step(r, sine=c("cu") * c("st"), start=F.atan2(c("su"), c("cu") * c("ct")))
+    r = step(r, square=1 - c("sine") * c("sine"))
+    r = step(r, root=F.sqrt(1 + WGS84_F * (2 - WGS84_F) / (1 - WGS84_F) ** 2 * c("square")))
+    r = step(r, e=(c("root") - 1) / (c("root") + 1))
+    r = step(r, e2=c("e") * c("e"))
+    e, e2, start, tau = c("e"), c("e2"), c("start"), c("tau")
+    to = (e * (-0.5 + 3 / 16 * e2), e2 * (-1 / 16 + e2 / 32), -e * e2 / 48, -5 / 512 * e2 * e2)
+    back = (e * (0.5 - 9 / 32 * e2), e2 * (5 / 16 - 37 / 96 * e2), 29 / 96 * e * e2, 539 / 1536 * e2 * e2)
+    series = lambda x, terms: sum((t * F.sin(2 * i * x) for i, t in enumerate(terms, 1)), x)
+    r = step(r, tau=series(start, to) + c("way") * (1 - e) / (b * (1 + e2 / 4 + e2 * e2 / 64)))
+    r = step(r, arc=series(tau, back) - start)
+    r = step(r, sa=F.sin(c("arc")), ca=F.cos(c("arc")), middle=F.cos(2 * start + c("arc")), k=WGS84_F / 16 * c("square") * (4 + WGS84_F * (4 - 3 * c("square"))))
+    r = step(r, x=c("su") * c("sa") - c("cu") * c("ca") * c("ct"), y=c("su") * c("ca") + c("cu") * c("sa") * c("ct"))
+    turned = F.atan2(c("sa") * c("st"), c("cu") * c("ca") - c("su") * c("sa") * c("ct"))
+    lost = (1 - c("k")) * WGS84_F * c("sine") * (c("arc") + c("k") * c("sa") * (c("middle") + c("k") * c("ca") * (2 * c("middle") * c("middle") - 1)))
+    out_lat = F.degrees(F.atan2(c("y"), (1 - WGS84_F) * F.sqrt(c("sine") * c("sine") + c("x") * c("x"))))
+    moved = F.struct(out_lat.alias("lat"), wrap_longitude(c("lon") + F.degrees(turned - lost)).alias("lon"))
+    known = c("lat").isNotNull() & c("lon").isNotNull() & c("turn").isNotNull() & c("way").isNotNull()
+    r = r.withColumn(name, F.when(known & (c("way") <= 0), F.struct(c("lat").alias("lat"), c("lon").alias("lon"))).when(known, moved))
+    return r.drop(*[x for x in r.columns if x.startswith(p)])
 
 
 def ground_range(slant: Column, altitude: Column) -> Column:

@@ -45,17 +45,18 @@ def located(rows: DataFrame, image_height: int) -> DataFrame:
     r = checked(rows)
     r = r.withColumn("slant_m", geo.row_slant(F.col("y") + F.col("h") / 2, F.lit(image_height), F.col("ok_range")))
     back = F.pmod(F.col("ok_heading") + 180, F.lit(360.0))
-    sensor = F.when(F.col("ok_layback") > 0, geo.geodesic_destination(F.col("ok_lat"), F.col("ok_lon"), back, F.col("ok_layback"))).otherwise(F.struct(F.col("ok_lat").alias("lat"), F.col("ok_lon").alias("lon")))
+    r = geo.geodesic(r, "behind", F.col("ok_lat"), F.col("ok_lon"), back, F.col("ok_layback"))
+    sensor = F.when(F.col("ok_layback") > 0, F.col("behind")).otherwise(F.struct(F.col("ok_lat").alias("lat"), F.col("ok_lon").alias("lon")))
     effective = F.when(F.abs("ok_roll") > 0.01, F.greatest(F.lit(0.1), F.col("ok_altitude") * F.cos(F.radians("ok_roll")))).otherwise(F.col("ok_altitude"))
     along = F.coalesce(F.when(F.abs("ok_pitch") > 0.01, F.col("ok_altitude") * F.tan(F.radians("ok_pitch"))), F.lit(0.0))
-    r = r.withColumns({"sensor": sensor, "effective_m": effective, "along_m": along})
+    r = r.withColumns({"sensor": sensor, "effective_m": effective, "along_m": along}).drop("behind")
     ready = F.col("ok_lat").isNotNull() & F.col("ok_heading").isNotNull() & F.col("ok_side").isNotNull() & (F.col("slant_m") > 0) & (F.col("slant_m") > F.col("effective_m"))
     r = r.withColumn("ready", F.coalesce(ready, F.lit(False)))
     r = r.withColumns({"ground_m": F.when(F.col("ready"), geo.ground_range(F.col("slant_m"), F.col("effective_m"))), "bearing_deg": F.when(F.col("ready"), F.pmod(F.col("ok_heading") + F.when(F.col("ok_side") == "starboard", 90.0).otherwise(-90.0), F.lit(360.0)))})
-    r = r.withColumn("abeam", geo.geodesic_destination(F.col("sensor.lat"), F.col("sensor.lon"), F.col("bearing_deg"), F.col("ground_m")))
+    r = geo.geodesic(r, "abeam", F.col("sensor.lat"), F.col("sensor.lon"), F.col("bearing_deg"), F.col("ground_m"))
     ahead = F.when(F.col("along_m") > 0, F.col("ok_heading")).otherwise(back)
-    spot = F.when(F.abs("along_m") > 0.01, geo.geodesic_destination(F.col("abeam.lat"), F.col("abeam.lon"), ahead, F.abs("along_m"))).otherwise(F.col("abeam"))
-    r = r.withColumn("spot", F.when(F.col("ready"), spot))
+    r = geo.geodesic(r, "moved", F.col("abeam.lat"), F.col("abeam.lon"), ahead, F.abs("along_m"))
+    r = r.withColumn("spot", F.when(F.col("ready"), F.when(F.abs("along_m") > 0.01, F.col("moved")).otherwise(F.col("abeam")))).drop("moved")
     bad = F.col("vessel_lat").isNotNull() & F.col("vessel_lon").isNotNull() & F.col("ok_lat").isNull()
     state = F.when(F.col("ready"), "DERIVED").when(bad, "INVALID").when(F.col("ok_lat").isNotNull(), "VESSEL_ONLY").otherwise("UNAVAILABLE")
     return r.withColumns({"det_lat": F.col("spot.lat"), "det_lon": F.col("spot.lon"), "location_status": state})

@@ -34,9 +34,8 @@ def geodesy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def geodesic_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = A.frames(spark, sf_dir)
-    end = geo.geodesic_destination(F.col("vessel_lat"), F.col("vessel_lon"), F.col("heading_deg"), F.col("range_m") * 100)
-    return f.select("image_id", F.round(end["lat"], 7).alias("lat"), F.round(end["lon"], 7).alias("lon"))
+    f = geo.geodesic(A.frames(spark, sf_dir), "end", F.col("vessel_lat"), F.col("vessel_lon"), F.col("heading_deg"), F.col("range_m") * 100)
+    return f.select("image_id", F.round("end.lat", 7).alias("lat"), F.round("end.lon", 7).alias("lon"))
 
 
 def dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:

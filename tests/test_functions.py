@@ -11,6 +11,10 @@ def value(spark, column):
     return spark.range(1).select(column.alias("v")).first()["v"]
 
 
+def geodesic(spark, *where):
+    return geo.geodesic(spark.range(1), "v", *where).first()["v"]
+
+
 def lit(*xs):
     return [F.lit(float(x)) for x in xs]
 
@@ -18,14 +22,19 @@ def lit(*xs):
 @pytest.mark.parametrize("bearing, lat, lon", [(0, 1, 0), (90, 0, 1), (270, 0, -1)])
 def test_destinations(spark, bearing, lat, lon):
     arc = math.pi / 180 * 6371008.8
-    for way in (geo.sphere_destination, geo.geodesic_destination):
-        end = value(spark, way(*lit(0, 0, bearing, arc)))
+    for end in (value(spark, geo.sphere_destination(*lit(0, 0, bearing, arc))), geodesic(spark, *lit(0, 0, bearing, arc))):
         assert end["lat"] == pytest.approx(lat, abs=1e-2) and end["lon"] == pytest.approx(lon, abs=1e-2)
 
 
 def test_geodesic_of_no_length_and_unknown(spark):
-    assert tuple(value(spark, geo.geodesic_destination(*lit(1, 2, 3, 0)))) == (1.0, 2.0)
-    assert value(spark, geo.geodesic_destination(F.lit(None).cast("double"), *lit(2, 3, 5))) is None
+    assert tuple(geodesic(spark, *lit(1, 2, 3, 0))) == (1.0, 2.0)
+    assert geodesic(spark, F.lit(None).cast("double"), *lit(2, 3, 5)) is None
+
+
+def test_geodesic_of_a_published_line(spark):
+    degrees = lambda d, m, s: math.copysign(abs(d) + m / 60 + s / 3600, d)
+    end = geodesic(spark, *lit(degrees(-37, 57, 3.7203), degrees(144, 25, 29.5244), degrees(306, 52, 5.37), 54972.271))
+    assert end["lat"] == pytest.approx(degrees(-37, 39, 10.1561), abs=1e-8) and end["lon"] == pytest.approx(degrees(143, 55, 35.3839), abs=1e-8)
 
 
 def test_ranges_and_headings(spark):
