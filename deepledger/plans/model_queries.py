@@ -150,7 +150,7 @@ QUERIES = {
 }
 
 _CID = "case class_name when 'wreck' then 0 when 'debris' then 1 when 'structure' then 2 else 3 end"
-_PIXELS = """raw as (select vec_id, unnest(embedding) as x, unnest(range(0, len(embedding))) as i from embeddings),
+PIXELS = """raw as (select vec_id, unnest(embedding) as x, unnest(range(0, len(embedding))) as i from embeddings),
     pixels as (select vec_id // 8 as image_id, vec_id % 8 as "row", i as col, greatest(0, least(255, floor(128 + x::double * 32)))::int as v from raw)"""
 _SPLIT = SCORED_LABELS + """, sites as (select distinct site from labelled), ranked as (select site, row_number() over (order by md5('0|' || site), site) as k, count(*) over () as n from sites),
     parts as (select site, case when k <= greatest(1, floor(0.2 * n + 0.5)) then 'val' else 'train' end as split from ranked), divided as (select * from labelled join parts using (site))"""
@@ -163,7 +163,7 @@ ORACLES = {
         select sum(label)::bigint as positives, sum(1 - label)::bigint as negatives, round((select u from p) / (sum(label) * sum(1 - label)), 6) as auc from labelled""",
     "threshold_sweep": f"""with {SCORED_LABELS}, t as (select unnest(range(0, 21)) as k), c as (select k, count(*) filter (least(20, floor(confidence * 20)) >= k and label = 1) as tp, count(*) filter (least(20, floor(confidence * 20)) >= k and label = 0) as fp, sum(label)::bigint as p, sum(1 - label)::bigint as q from t, labelled group by k)
         select round(k / 20, 4) as threshold, tp, fp, p - tp as fn, round(2 * tp / nullif(tp + fp + p, 0), 6) as f1, round((tp + q - fp) / (p + q), 6) as accuracy, round((tp / p + (q - fp) / q) / 2, 6) as balanced from c""",
-    "dice_scores": f"""with {_PIXELS}, m as (select image_id, (v > 128)::int as p, (v + "row" > 131)::int as t from pixels), s as (select image_id, sum(p * t) as i, sum(p) as p, sum(t) as t from m group by 1)
+    "dice_scores": f"""with {PIXELS}, m as (select image_id, (v > 128)::int as p, (v + "row" > 131)::int as t from pixels), s as (select image_id, sum(p * t) as i, sum(p) as p, sum(t) as t from m group by 1)
         select round(2 * sum(i) / (sum(p) + sum(t)), 6) as pooled_dice, round(sum(i) / (sum(p) + sum(t) - sum(i)), 6) as pooled_iou, round(avg(case when p + t = 0 then 1 else 2 * i / (p + t) end), 6) as mean_dice, count(*) as images from s""",
     "site_split": f"with {_SPLIT} select image_id, site, split from divided",
     "split_report": f"with {_SPLIT} select split, count(*) as n, sum(label)::bigint as positives, count(distinct site) as sites, round((count(*) - sum(label)) / sum(label), 6) as positive_weight from divided group by 1",
@@ -173,17 +173,17 @@ ORACLES = {
     "label_purity": f"""with {A.DETECTIONS}, f as (select case when {_CID} + case when x > 390 then 2 else 0 end > 3 then 'class id' when greatest(x, y, w, h) / 400 > 1 then 'coordinate range' end as fault from detections) select fault, count(*) as n from f where fault is not null group by 1""",
     "label_image_check": """with l as (select distinct l_orderkey as image_id from lineitem where l_linenumber <> 3) select o_orderkey as image_id, 'no label' as what from orders where o_orderkey not in (select image_id from l)
         union all select image_id, 'no frame' from l where image_id not in (select o_orderkey from orders)""",
-    "image_quality": f"""with {_PIXELS}, {A.FRAMES}, s as (select *, abs(v - lag(v) over (partition by image_id, "row" order by col)) as step from pixels),
+    "image_quality": f"""with {PIXELS}, {A.FRAMES}, s as (select *, abs(v - lag(v) over (partition by image_id, "row" order by col)) as step from pixels),
         a as (select image_id, avg(v) as mean, stddev_pop(v) as sd, (quantile_cont(v, 0.98) - quantile_cont(v, 0.02)) / 256 as contrast, avg(step) + 1e-6 as noise, avg((v < 24)::int) as dark, avg((v > 232)::int) as bright, count(*) as n from s group by 1),
         b as (select image_id, v // 4 as bin, count(*) as k from pixels group by all), e as (select image_id, -sum(k / n * log2(k / n)) as entropy from b join a using (image_id) group by 1),
         c as (select image_id, ((vessel_lat is not null and vessel_lon is not null)::int + (heading_deg is not null)::int + (altitude_m is not null)::int + (range_m is not null)::int + (side in ('port', 'starboard'))::int) / 5 as complete from frames)
         select image_id, round(mean, 2) as mean, round(sd, 2) as sd, round(contrast, 4) as contrast, round(noise, 3) as noise, round(entropy, 3) as entropy, round(dark, 4) as dark, round(bright, 4) as bright,
             array_to_string(list_filter([case when contrast < 0.08 then 'low_contrast' end, case when noise > 40 then 'high_noise' end, case when dark > 0.9 then 'all_dark' end, case when bright > 0.9 then 'all_bright' end, case when mean < 5 or mean > 250 then 'degenerate_range' end], lambda x: x is not null), ',') as flags,
             round(20.0::double * case when dark > 0.9 or bright > 0.9 then 0 else 1 end + 30 * least(1.0::double, contrast / 0.35::double) + 20 * greatest(0.0::double, 1 - noise / 60) + 30 * coalesce(complete, 0), 1) as score from a join e using (image_id) left join c using (image_id)""",
-    "shadow_run": f"""with {_PIXELS}, m as (select image_id, avg(v) as m, stddev_pop(v) as s from pixels group by 1), p as (select image_id, "row", avg(v) as p from pixels group by all),
+    "shadow_run": f"""with {PIXELS}, m as (select image_id, avg(v) as m, stddev_pop(v) as s from pixels group by 1), p as (select image_id, "row", avg(v) as p from pixels group by all),
         d as (select image_id, "row", "row" - row_number() over (partition by image_id order by "row") as island from p join m using (image_id) where p < m - 1.5::double * s), r as (select image_id, island, min("row") as start_row, count(*) as length from d group by all)
         select image_id, min(start_row) as start_row, arg_min(length, start_row) as length from r group by 1""",
-    "sparse_bright": f"""with {_PIXELS}, m as (select image_id, median(v) as med from pixels group by 1), o as (select p.*, med, abs(v - med) as off from pixels p join m using (image_id)), d as (select image_id, greatest(4.0::double, 1.4826::double * median(off)) as mad, count(*) as n from o group by 1)
+    "sparse_bright": f"""with {PIXELS}, m as (select image_id, median(v) as med from pixels group by 1), o as (select p.*, med, abs(v - med) as off from pixels p join m using (image_id)), d as (select image_id, greatest(4.0::double, 1.4826::double * median(off)) as mad, count(*) as n from o group by 1)
         select image_id, round(avg((n >= 200 and v > med + 3 * mad)::int), 6) as bright_share from o join d using (image_id) group by 1""",
     "anomaly_score": """with x as (select vec_id, label, unnest(embedding)::double as x, unnest(range(0, len(embedding))) as i from embeddings), c as (select i, avg(x) as c from x where label = 0 group by 1),
         d as (select vec_id, label, sqrt(sum(pow(x - c, 2))) as d from x join c using (i) group by 1, 2), b as (select median(d) as b from d where label = 0)
