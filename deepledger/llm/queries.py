@@ -187,16 +187,16 @@ ORACLES = {
             from (select doc_id, classes[k] / word_chars as x, q from f join chars using (lang) where word_chars > 0) group by doc_id),
         u as (select doc_id, lang, unnest(list_transform(ws, lambda x: lower(x))) as w from f),
         v as (select lang, w, count(*) as n from u group by all),
-        b as (select lang, n, sum(count(*)) over (partition by lang order by n desc) as above from v group by lang, n),
-        l as (select lang, min(case when above <= 100 then n end) as least from b group by lang),
+        b as (select *, row_number() over (partition by lang order by n desc) as place from v),
+        l as (select lang, max(case when place = 51 then n end) as next from b group by lang),
         totals as (select lang, sum(n) as total from v group by lang),
-        top as (select lang, w, n / total as q from v join l using (lang) join totals using (lang) where n >= least),
+        top as (select lang, w, n / total as q from v join l using (lang) join totals using (lang) where next is null or n > next),
         ref as (select * from top union all select lang, null, 1 - coalesce((select sum(q) from top where top.lang = l.lang), 0) from l),
         x as (select doc_id, u.lang, top.w, count(*) / any_value(n_words) as x from u join f using (doc_id) left join top on top.lang = u.lang and top.w = u.w group by all),
         word_js as (
             select doc_id, sum((case when coalesce(x, 0) > 0 then x * log2(2 * x / (x + q)) else 0 end + case when q > 0 then q * log2(2 * q / (coalesce(x, 0) + q)) else 0 end) / 2) as js, sum(least(q / 2, 1 / (8 * n_words * ln(2)))) as noise
             from (select f.doc_id, f.n_words, q, x from f join ref on ref.lang = f.lang left join x on x.doc_id = f.doc_id and x.w is not distinct from ref.w where n_words > 0) group by doc_id)
         select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-            not base_failed and not coalesce(n_words >= 50 and word_js.js - noise > 0.1, false) and not coalesce(word_chars >= 300 and char_js.js > 0.35 * 0.35, false) as kept
+            not base_failed and not coalesce(n_words >= 50 and word_js.js - noise > 0.08, false) and not coalesce(word_chars >= 300 and char_js.js > 0.35 * 0.35, false) as kept
         from f left join char_js using (doc_id) left join word_js using (doc_id)""",
 }

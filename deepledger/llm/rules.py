@@ -14,13 +14,13 @@ from deepledger.llm.common import BROADCAST_ROWS, clean_name, cut, join_counted
 
 BLANK = r"[\x20\x09-\x0D]+"
 #: Words in a window, and common words of a language at most.
-WINDOW, COMMON = 5, 100
+WINDOW, COMMON = 5, 50
 #: Fewest words, and most per cent of words in repeated windows.
 MIN_WORDS, MAX_REPEAT = 10, 20
 #: Words and characters from which a document's histograms are judged.
 JUDGED_WORDS, JUDGED_CHARS = 50, 300
 #: Largest divergence of words beyond that of as many words drawn from the reference, and largest distance of character classes.
-WORD_EXCESS, CHAR_DISTANCE = 0.1, 0.35
+WORD_EXCESS, CHAR_DISTANCE = 0.08, 0.35
 #: Characters that are not removed are counted: upper-case letters, digits, symbols.
 RARE = {"upper": r"[^\p{Lu}]+", "digit": r"[^0-9]+", "n_symbols": r"[^#*$%&|<>]+"}
 CLASSES = ("upper", "letter", "digit", "n_symbols", "rest")
@@ -77,43 +77,30 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 def _lower_words(docs: DataFrame, *kept: Column) -> DataFrame:
     """A row for each word: _w, the hash of the language and the lower-case word, and the columns to keep."""
-    language = F.coalesce("lang", F.lit(""))
-    return docs.select(language.alias("_lang"), *kept, F.explode(_words(F.lower("text"))).alias("_word")).withColumn("_w", F.xxhash64("_lang", "_word")).drop("_word")
+    rows = docs.select(F.coalesce("lang", F.lit("")).alias("_lang"), *kept, _words(F.lower("text")).alias("_words"))
+    return rows.withColumn("_words", F.explode("_words")).withColumn("_w", F.xxhash64("_lang", "_words")).drop("_words")
 
 
 def word_reference(docs: DataFrame, common: int = COMMON) -> DataFrame:
-    """(_lang, _w, q): the share of each common word in all words of a language, and of all other words (_w null).
+    """(_lang, _w, bin, n): the common words of each language, numbered, and their counts in all documents.
 
-    Common are the words of so high a count that no more than `common` words have as high a one. Words are counted by a hash of
-    language and word; the cut is found from the number of words of each count.
+    Common are the words that are more frequent than the one of place `common` + 1. Words are counted by a hash of language and
+    word; each task gives that many of a language to its ranking.
     """
-    words = cut(_lower_words(docs).groupBy("_lang", "_w").agg(F.count("*").alias("n")))
-    by_count = words.groupBy("_lang", "n").agg(F.count("*").alias("words"))
+    words = _lower_words(docs).groupBy("_lang", "_w").agg(F.count("*").alias("n"))
     own = Window.partitionBy("_lang")
-    sums = by_count.withColumns({"above": F.sum("words").over(own.orderBy(F.col("n").desc())), "total": F.sum(F.col("n") * F.col("words")).over(own)})
-    limits = sums.groupBy("_lang").agg(F.min(F.when(F.col("above") <= common, F.col("n"))).alias("least"), F.first("total").alias("total"))
-    top = join_counted(words, limits, ["_lang"], "inner").where("n >= least").select("_lang", "_w", (F.col("n") / F.col("total")).alias("q"))
-    held = top.groupBy("_lang").agg(F.sum("q").alias("held"))
-    other = limits.join(held, "_lang", "left").select("_lang", F.lit(None).cast("long").alias("_w"), (1 - F.coalesce("held", F.lit(0.0))).alias("q"))
-    return cut(top.unionByName(other))
+    first = words.withColumn("bin", F.row_number().over(own.orderBy(F.col("n").desc(), "_w")) - 1).where(F.col("bin") <= common)
+    next_count = F.max(F.when(F.col("bin") == common, F.col("n"))).over(own)
+    return cut(first.withColumn("next", next_count).where("next is null or n > next").drop("next"))
 
 
-def word_divergence(docs: DataFrame, reference: DataFrame, keys: list[Column]) -> DataFrame:
-    """(k0, k1, word_js): the Jensen-Shannon divergence in bits between common words and those of the reference, for the rows of each value of two keys.
-
-    Rows of one value of the keys have the same language and text, so that together they have the shares of one.
-    """
-    common = reference.where("_w is not null").select("_w", "q")
-    small = common.count() <= BROADCAST_ROWS
-    words = _lower_words(docs, *[k.alias(f"k{i}") for i, k in enumerate(keys)])
-    binned = words.join(F.broadcast(common) if small else common, "_w", "left").withColumn("_w", F.when(F.col("q").isNotNull(), F.col("_w")))
-    counts = binned.groupBy("k0", "k1", "_lang", "_w", "q").agg(F.count("*").alias("c"))
-    each = counts.groupBy("k0", "k1", "_lang").agg(F.sum("c").alias("n"), F.collect_list(F.struct("c", "q")).alias("bins"))  # a bin for each common word at most
-    each = join_counted(each, reference.where("_w is null").select("_lang", F.col("q").alias("other")), ["_lang"], "inner")
-    q_of = lambda x: F.coalesce(x["q"], F.col("other"))
-    # an absent bin adds half its share: all shares' halves, and for a bin that is present what it adds beyond its own
-    present = F.aggregate("bins", F.lit(0.5), lambda s, x: s + _part(x["c"] / F.col("n"), q_of(x)) - q_of(x) / 2)
-    return each.select("k0", "k1", present.alias("word_js"))
+def bin_counts(docs: DataFrame, reference: DataFrame, keys: list[Column], common: int = COMMON) -> DataFrame:
+    """(k0, k1, n, counts): all words, and those of each common word of the language, for the rows of each value of two keys."""
+    bins = reference.select("_w", "bin")
+    small = bins.count() <= BROADCAST_ROWS
+    words = _lower_words(docs, *[k.alias(f"k{i}") for i, k in enumerate(keys)]).drop("_lang")
+    binned = words.join(F.broadcast(bins) if small else bins, "_w", "left")
+    return binned.groupBy("k0", "k1").agg(F.count("*").alias("n"), F.array(*[F.count_if(F.col("bin") == i) for i in range(common)]).alias("counts"))
 
 
 def drawn_divergence(n: Column, shares: Column) -> Column:
@@ -143,9 +130,16 @@ def quality_rules(docs: DataFrame, word_excess: float = WORD_EXCESS, char_distan
     char_js = sum((_part(F.col(c) / F.col("word_chars"), F.col(f"all_{c}") / F.col("all")) for c in CLASSES), F.lit(0.0))
     facts = facts.withColumn("char_js", F.when(F.col("word_chars") > 0, char_js)).drop("all", *[f"all_{c}" for c in CLASSES])
     reference = word_reference(docs)
-    facts = join_counted(facts, reference.groupBy("_lang").agg(F.collect_list("q").alias("shares")), ["_lang"])
-    facts = facts.withColumn("word_noise", F.when(F.col("n_words") > 0, drawn_divergence(F.col("n_words"), F.col("shares")))).drop("shares")
-    out = facts.join(word_divergence(docs, reference, keys), ["k0", "k1"], "left")
+    held = reference.groupBy("_lang").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("held"))
+    shares = facts.groupBy("_lang").agg(F.sum("n_words").alias("all")).where("all > 0").join(held, "_lang", "left")
+    shares = shares.select("_lang", F.array(*[F.coalesce(F.try_element_at("held", F.lit(i)) / F.col("all"), F.lit(0.0)) for i in range(COMMON)]).alias("shares"))
+    shares = shares.withColumn("shares", F.concat("shares", F.array(1 - F.aggregate("shares", F.lit(0.0), lambda s, q: s + q))))
+    facts = join_counted(facts, shares, ["_lang"])
+    # rows of one value of the keys have the same language and text, so that together they have the shares of one
+    out = facts.join(bin_counts(docs, reference, keys), ["k0", "k1"], "left")
+    every = F.concat("counts", F.array(F.col("n") - F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)))
+    word_js = F.aggregate(F.zip_with(every, "shares", lambda c, q: _part(c / F.col("n"), q)), F.lit(0.0), lambda s, x: s + x)
+    out = out.withColumns({"word_js": word_js, "word_noise": F.when(F.col("n_words") > 0, drawn_divergence(F.col("n_words"), F.col("shares")))})
     odd_words = (F.col("n_words") >= JUDGED_WORDS) & (F.col("word_js") - F.col("word_noise") > word_excess)
     odd_chars = (F.col("word_chars") >= JUDGED_CHARS) & (F.col("char_js") > char_distance**2)
     kept = ~F.col("base_failed") & ~F.coalesce(odd_words, F.lit(False)) & ~F.coalesce(odd_chars, F.lit(False))
