@@ -6,8 +6,6 @@ import hashlib
 import json
 import os
 import re
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +20,11 @@ from deepledger.llm.common import cut, join_counted, scratch, slices
 _BREAK = re.compile(r"(?<=[!-~]) (?=[!-~])")
 _PLAIN = re.compile(r"[!-~](.*[!-~])?", re.DOTALL)
 #: Characters of the segments that a task remembers, how many it remembers, and characters of the segments coded in one call.
-SHORT, KEPT, RUN = 64, 200_000, 1 << 16
+SHORT, KEPT, RUN = 64, 400_000, 1 << 16
+#: ASCII and Latin letters, of which all libraries know the same classes.
+_LATIN = re.compile("[\x00-\x7f\xc0-\u024f]*")
+#: Fixed value: the pattern of byte-level tokens.
+_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _CODERS: dict[tuple[str, str], Coders] = {}
 
 
@@ -54,74 +56,71 @@ class Coders:
         byte_level = json.loads(self.a.to_str())
         ordinary = byte_level["normalizer"] is None and (byte_level["pre_tokenizer"] or {}).items() >= {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}.items()
         self.splits = ordinary and not any(re.search("[^▁]▁", p) for p in pieces) and self.b.normalize("a  b ") == "▁a▁▁b▁"
+        self.ranks = self._ranked(byte_level["model"]) if ordinary else None
+        self.a_text, self.b_text = ([str(i) for i in range(len(every))] for every in (self.a_bytes, self.b_bytes))
         self.known: dict[str, tuple | None] = {}
 
+    def _ranked(self, model: dict):
+        """A faster coder of the same vocabulary, if its ids are the ranks of its merges; for Latin text only, where both cut words alike."""
+        import tiktoken
+
+        merged = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        vocabulary = model["vocab"]
+        if any(vocabulary.get(a + b) != 256 + i for i, (a, b) in enumerate(merged)) or any(len(x) > 1 for x in self.a_bytes[:256]):
+            return None
+        return tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks={self.a_bytes[i]: i for i in range(256 + len(merged))}, special_tokens={})
+
     def segments(self, text: str) -> list[str]:
         return _BREAK.split(text) if self.splits else [text]
 
-    def _ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """A's and B's ids of a blank and the text, or None if their bytes are not those."""
-        a, b, raw = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text), b" " + text.encode()
-        if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
-            return None
-        return np.array(a, np.int64), np.array(b, np.int64)
+    def a_ids(self, text: str) -> list[int]:
+        if self.ranks is not None and _LATIN.fullmatch(text):
+            return self.ranks.encode_ordinary(text)
+        return self.a.encode(text, add_special_tokens=False).ids
 
     def _cut(self, segments: list[str]) -> list[tuple | None]:
-        """For each segment (n_a, n_b, text of its groups, their keys), or None if it has no tokens. Several: plain ones only."""
-        ids = self._ids(" ".join(segments))
-        if ids is None:
+        """For each segment (n_a, n_b, text of its groups), or None if it has no tokens. Several: plain ones only."""
+        text = " ".join(segments)
+        a, b, raw = self.a_ids(" " + text), self.b.encode(text), b" " + text.encode()
+        if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
             return [None] if len(segments) == 1 else [x for s in segments for x in self._cut([s])]
-        a_ends, b_ends = np.cumsum(self.a_size[ids[0]]), np.cumsum(self.b_size[ids[1]])
+        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         both = np.intersect1d(a_ends, b_ends)
         a_at, b_at = ([0, *np.searchsorted(ends, both, "right").tolist()] for ends in (a_ends, b_ends))
-        last = np.searchsorted(both, np.cumsum([len(s.encode()) + 1 for s in segments])) + 1
-        a, b, out, begin = ids[0].tolist(), ids[1].tolist(), [], 0
-        for end in last.tolist():
-            texts, keys = [], []
-            for k in range(begin, end):
-                own_a, own_b = a[a_at[k] : a_at[k + 1]], b[b_at[k] : b_at[k + 1]]
-                texts.append(",".join(map(str, own_a)) + "|" + ",".join(map(str, own_b)))
-                keys.append(array("I", [len(own_a), *own_a, *own_b]).tobytes())
-            out.append((a_at[end] - a_at[begin], b_at[end] - b_at[begin], ";".join(texts), keys))
-            begin = end
-        return out
-
-    def groups(self, segments: list[str]) -> dict[str, tuple | None]:
-        """`_cut` of all distinct segments; plain ones that are not yet known are coded many at a time."""
-        found, run, size = {}, [], 0
+        a, b = [self.a_text[i] for i in a], [self.b_text[i] for i in b]
+        groups = [",".join(a[i:j]) + "|" + ",".join(b[k:n]) for i, j, k, n in zip(a_at, a_at[1:], b_at, b_at[1:])]
+        ends = (np.searchsorted(both, np.cumsum([len(s.encode()) + 1 for s in segments])) + 1).tolist()
+        return [(a_at[j] - a_at[i], b_at[j] - b_at[i], ";".join(groups[i:j])) for i, j in zip([0, *ends], ends)]
+
+    def groups(self, segments: list[str]) -> list[tuple | None]:
+        """`_cut` of distinct segments; plain ones that are not yet known are coded many at a time."""
         if len(self.known) > KEPT:
             self.known.clear()
-
-        def code() -> None:
-            for s, x in zip(run, self._cut(run)):
-                found[s] = x
-                if len(s) <= SHORT:
-                    self.known[s] = x
-
+        runs, size, long = {True: [[]], False: [[]]}, {True: 0, False: 0}, {}
         for s in segments:
             if s in self.known:
-                found[s] = self.known[s]
-            elif len(s) <= SHORT and _PLAIN.fullmatch(s):
-                run.append(s)
-                size += len(s) + 1
-                if size > RUN:
-                    code()
-                    run, size = [], 0
-            else:
-                found[s] = self._cut([s])[0]
-        if run:
-            code()
-        return found
-
-    def links(self, key: bytes) -> list[tuple[int, int]]:
+                continue
+            if len(s) > SHORT or not _PLAIN.fullmatch(s):
+                long[s] = self._cut([s])[0]
+                continue
+            latin = _LATIN.fullmatch(s) is not None
+            runs[latin][-1].append(s)
+            size[latin] += len(s)
+            if size[latin] > RUN:
+                runs[latin].append([])
+                size[latin] = 0
+        for run in (r for every in runs.values() for r in every if r):
+            self.known.update(zip(run, self._cut(run)))
+        return [long[s] if s in long else self.known[s] for s in segments]
+
+    def links(self, group: str) -> list[tuple[int, int]]:
         """The pairs of an A and a B token of a group that end at the same byte."""
-        n, *ids = array("I", key)
-        if len(ids) == 2:
-            return [(ids[0], ids[1])]
-        a, b = np.array(ids[:n]), np.array(ids[n:])
+        a, b = ([int(x) for x in side.split(",")] for side in group.split("|"))
+        if len(a) == len(b) == 1:
+            return [(a[0], b[0])]
         a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         low, high = (np.searchsorted(b_ends, a_ends, side).tolist() for side in ("left", "right"))
-        return [(ids[i], ids[n + j]) for i in range(n) for j in range(low[i], high[i])]
+        return [(a[i], b[j]) for i in range(len(a)) for j in range(low[i], high[i])]
 
 
 def coders(a_path: str, b_path: str) -> Coders:
@@ -140,7 +139,50 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"u{data[0]}", offset=1).astype(np.int64)
 
 
-_ROW = "chunk long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, groups string, own binary, times binary, number long, key binary, n long, docs long"
+_ROW = "chunk long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, groups string, own binary, times binary, number long, key string, n long, docs long"
+
+
+def _repeated(at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ranges given by their starts and sizes, end to end: the range of each place, and the place."""
+    owner = np.repeat(np.arange(len(at)), sizes)
+    return owner, at[owner] + np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner]
+
+
+def _chunk(coder: Coders, texts: list[str | None]) -> tuple[list[tuple], list[str], np.ndarray, np.ndarray]:
+    """(n_a, n_b, n_groups, text, own groups, times of each) of each text, and the chunk's distinct groups with their occurrences and documents."""
+    segmented = [coder.segments(t) if t else [] for t in texts]
+    index = {s: i for i, s in enumerate(dict.fromkeys(s for segments in segmented for s in segments))}
+    known = coder.groups(list(index))
+    numbers: dict[str, int] = {}
+    own, sizes = [], []
+    for x in known:
+        groups = x[2].split(";") if x else []
+        own.extend([numbers.setdefault(g, len(numbers)) for g in groups])
+        sizes.append(len(groups))
+    own, sizes = np.array(own, np.int64), np.array(sizes, np.int64)
+    counts, bad = np.array([x[:2] if x else (0, 0) for x in known], np.int64).reshape(-1, 2), np.array([x is None for x in known], bool)
+    places = [np.array([index[s] for s in segments], np.int64) for segments in segmented]
+    good = np.array([len(p) > 0 and not bad[p].any() for p in places], bool)
+    lengths = np.array([len(p) if ok else 0 for p, ok in zip(places, good)], np.int64)
+    flat = np.concatenate([np.zeros(0, np.int64), *[p for p, ok in zip(places, good) if ok]])
+    # distinct segments of each text, then its distinct groups
+    pairs, times = np.unique(np.repeat(np.arange(len(texts)), lengths) * len(index) + flat, return_counts=True)
+    doc, segment = pairs // max(1, len(index)), pairs % max(1, len(index))
+    owner, place = _repeated((np.cumsum(sizes) - sizes)[segment], sizes[segment])
+    pairs, back = np.unique(doc[owner] * max(1, len(numbers)) + own[place], return_inverse=True)
+    n = np.zeros(len(pairs), np.int64)
+    np.add.at(n, back, times[owner])
+    group, of = pairs % max(1, len(numbers)), pairs // max(1, len(numbers))
+    totals = np.zeros((len(texts), 3), np.int64)
+    np.add.at(totals, doc, np.concatenate([counts, sizes[:, None]], axis=1)[segment] * times[:, None])
+    borders, out = np.searchsorted(of, np.arange(len(texts) + 1)).tolist(), []
+    for i, p in enumerate(places):
+        text = ";".join([known[k][2] for k in p.tolist()]) if good[i] else ""
+        out.append((*totals[i].tolist(), text, group[borders[i] : borders[i + 1]], n[borders[i] : borders[i + 1]]))
+    every, held = np.zeros((2, len(numbers)), np.int64)
+    np.add.at(every, group, n)
+    np.add.at(held, group, 1)
+    return out, list(numbers), every, held
 
 
 def aligned_groups(docs: DataFrame, a_path: str, b_path: str, keep_groups: bool = False) -> DataFrame:
@@ -148,44 +190,29 @@ def aligned_groups(docs: DataFrame, a_path: str, b_path: str, keep_groups: bool
 
     Rows of documents: chunk, doc_id, n_a, n_b, n_groups, groups_sha256, groups (the text of the groups, only if kept), own and
     times: the numbers of its distinct groups in the chunk and how often each occurs. Rows of distinct groups: chunk, number, key
-    (the count of A ids, the A ids and the B ids, unsigned 32-bit), n (occurrences) and docs (documents that hold it).
+    (its A ids and B ids as text), n (occurrences) and docs (documents that hold it).
     """
     names = [f.split()[0] for f in _ROW.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, chunk = coders(a_path, b_path), TaskContext.get().partitionId() << 32
-        types = [pa.int64()] * 5 + [pa.string(), pa.large_string(), pa.large_binary(), pa.large_binary(), pa.int64(), pa.large_binary(), pa.int64(), pa.int64()]
+        types = dict(zip(names, [pa.int64()] * 5 + [pa.string(), pa.large_string(), pa.large_binary(), pa.large_binary(), pa.int64(), pa.large_string(), pa.int64(), pa.int64()]))
+
+        def rows(size: int, **columns: object) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in types.items()], names=names)
+
         for batch in batches:
             for lo, hi in slices(batch["text"]):
                 part = batch.slice(lo, hi - lo)
-                segmented = [coder.segments(t) if t else [] for t in part["text"].to_pylist()]
-                known = coder.groups(list(dict.fromkeys(s for segments in segmented for s in segments)))
-                numbers, n, held, rows = {}, [], [], []
-                for doc, segments in zip(part["doc_id"].to_pylist(), segmented):
-                    times = Counter(segments)
-                    if not segments or any(known[s] is None for s in times):
-                        rows.append((chunk, doc, 0, 0, 0, "", "" if keep_groups else None, b"\x01", b"\x01", None, None, None, None))
-                        continue
-                    n_a = n_b = 0
-                    own = {}
-                    for s, k in times.items():
-                        a, b, _, keys = known[s]
-                        n_a, n_b = n_a + k * a, n_b + k * b
-                        for key in keys:
-                            i = numbers.setdefault(key, len(numbers))
-                            own[i] = own.get(i, 0) + k
-                    n.extend([0] * (len(numbers) - len(n)))
-                    held.extend([0] * (len(numbers) - len(held)))
-                    for i, k in own.items():
-                        n[i] += k
-                        held[i] += 1
-                    text = ";".join([known[s][2] for s in segments])
-                    packed = (_packed(np.fromiter(x, np.int64, len(own))) for x in (own.keys(), own.values()))
-                    rows.append((chunk, doc, n_a, n_b, sum(own.values()), hashlib.sha256(text.encode()).hexdigest(), text if keep_groups else None, *packed, None, None, None, None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-                if numbers:
-                    columns = {"chunk": [chunk] * len(n), "number": range(len(n)), "key": list(numbers), "n": n, "docs": held}
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(len(n), t) for c, t in zip(names, types)], names=names)
+                found, groups, n, held = _chunk(coder, part["text"].to_pylist())
+                texts = [x[3] for x in found]
+                hashes = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts]
+                own, times = ([_packed(x[i]) for x in found] for i in (4, 5))
+                counts = {c: [x[i] for x in found] for i, c in enumerate(("n_a", "n_b", "n_groups"))}
+                kept = {"groups": texts} if keep_groups else {}
+                yield rows(len(found), chunk=[chunk] * len(found), doc_id=part["doc_id"].to_pylist(), groups_sha256=hashes, own=own, times=times, **counts, **kept)
+                if groups:
+                    yield rows(len(n), chunk=[chunk] * len(n), number=range(len(n)), key=groups, n=n, docs=held)
                 chunk += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, _ROW)
@@ -202,10 +229,10 @@ def dictionary_links(groups: DataFrame, a_path: str, b_path: str, by: str = "n")
         for batch in batches:
             rows = [(k, a, b, t) for k, t in zip(batch["key"].to_pylist(), batch["times"].to_pylist()) for a, b in coder.links(k)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.large_binary(), pa.int64(), pa.int64(), pa.int64()))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.large_string(), pa.int64(), pa.int64(), pa.int64()))], names=names)
 
     distinct = groups.where("key is not null").groupBy("key").agg(F.sum(by).alias("times"))
-    return distinct.mapInArrow(expand, "key binary, a long, b long, times long")
+    return distinct.mapInArrow(expand, "key string, a long, b long, times long")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:

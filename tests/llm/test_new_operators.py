@@ -66,7 +66,7 @@ def plain_groups(coder, text):
 def segment_groups(coder, text):
     segments = coder.segments(text)
     known = coder.groups(segments)
-    return None if any(known[s] is None for s in segments) else ";".join(known[s][2] for s in segments)
+    return None if None in known else ";".join(x[2] for x in known)
 
 
 def as_text(groups):
