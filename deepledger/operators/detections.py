@@ -9,16 +9,17 @@ from deepledger.functions import constants as K
 from deepledger.functions import geo, scores, text
 
 
-def signals() -> dict[str, Column]:
+def signals(rows: DataFrame) -> dict[str, Column]:
+    """The six signals of fusion. Consistency is that of other frames if rows have it (consistency.with_consistency), else not available."""
     return {
         "detection": F.col("class_confidence"), "segmentation": scores.bell(F.col("mask_frac")), "natural": F.col("natural"),
-        "shadow": F.col("shadow"), "physics": F.col("physics"), "consistency": F.lit(None).cast("double"),
+        "shadow": F.col("shadow"), "physics": F.col("physics"), "consistency": _optional(rows, "consistency", "double"),
     }
 
 
 def scored(detections: DataFrame) -> DataFrame:
     """detections with fusion, status, priority and tier. Null signals are left out of the fusion."""
-    out = detections.withColumn("fusion", scores.fuse(signals()))
+    out = detections.withColumn("fusion", scores.fuse(signals(detections)))
     out = out.withColumns({"status": scores.status(F.col("fusion"), F.col("anomaly"), F.col("class_confidence")), "size_factor": scores.size_factor(F.col("w") / 4, F.col("h") / 4)})
     out = out.withColumn("priority", scores.priority(F.col("class_name"), F.col("fusion"), F.col("size_factor")))
     return out.withColumn("tier", scores.tier(F.col("priority")))
@@ -31,7 +32,7 @@ def hazard_ranking(detections: DataFrame) -> DataFrame:
 
 
 def fusion_breakdown(detections: DataFrame) -> DataFrame:
-    return detections.select("detection_id", scores.fuse(signals()).alias("fusion"), *[v.alias(f"part_{k}") for k, v in scores.fusion_parts(signals()).items()])
+    return detections.select("detection_id", scores.fuse(signals(detections)).alias("fusion"), *[v.alias(f"part_{k}") for k, v in scores.fusion_parts(signals(detections)).items()])
 
 
 def counts_by(detections: DataFrame) -> DataFrame:
@@ -94,7 +95,7 @@ def detection_report(detections: DataFrame, frames: DataFrame) -> DataFrame:
     known = F.col("lat").isNotNull() & F.col("lon").isNotNull()
     named = {
         "image": F.coalesce(get("image_filename", "string"), F.concat(F.lit("frame_"), F.col("image_id"), F.lit(".png"))), "class": F.col("class_name"), "fusion_confidence": F.col("fusion"),
-        **{f"box_{c}": F.col(c) for c in "xywh"}, "mask_area_frac": F.col("mask_frac"), **{f"evidence_{k}": v for k, v in signals().items()}, "evidence_anomaly": F.col("anomaly"),
+        **{f"box_{c}": F.col(c) for c in "xywh"}, "mask_area_frac": F.col("mask_frac"), **{f"evidence_{k}": v for k, v in signals(rows).items()}, "evidence_anomaly": F.lit(None).cast("double"),
         "shadow_valid": get("shadow_valid", "boolean"), "geo_known": known, "location_status": where, "position_source": source,
         "timestamp": F.date_format("captured_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "priority_score": F.col("priority"), "priority_tier": F.col("tier"),
     }

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deepledger.functions import constants as K
@@ -69,31 +69,29 @@ def draws() -> tuple[np.ndarray, ...]:
     return heading, gps[:, 0], gps[:, 1], rng.normal(size=K.DRAWS), rng.normal(size=K.DRAWS)
 
 
+def draw_table(spark: SparkSession) -> DataFrame:
+    """The draws as K.DRAWS rows of (zh, ze, zn, zr, za)."""
+    return spark.createDataFrame([tuple(map(float, row)) for row in zip(*draws())], "zh double, ze double, zn double, zr double, za double")
+
+
 def uncertainty(points: DataFrame, key: str) -> DataFrame:
     """(key, radius_m, semi_major_m, semi_minor_m, rotation_deg) of two-sigma ellipses for rows with slant_m, effective_m, ok_heading, ok_side and accuracy_m.
 
-    Every row meets the 300 fixed draws; a pandas batch does so as one matrix, where an expression over 300 structs is far slower.
+    key: unique and not null. Every row meets the fixed draws, a broadcast table of K.DRAWS rows; their covariance, summed up within
+    the task that reads the row, has the ellipse's axes in closed form.
     """
-
-    def ellipses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        zh, ze, zn, zr, za = draws()
-        for rows in batches:
-            column = lambda c: rows[c].to_numpy(dtype=float)[:, None]
-            accuracy = column("accuracy_m")
-            gps = np.maximum(K.GPS_SIGMA_MIN, np.where(accuracy > 0, accuracy, K.GPS_SIGMA))
-            slant, alt = column("slant_m") * (1 + zr * K.RANGE_SIGMA), column("effective_m") * (1 + za * K.ALTITUDE_SIGMA)
-            ground = np.sqrt(np.clip(slant**2 - alt**2, 0, None))
-            bearing = np.radians(column("ok_heading") + zh * K.HEADING_SIGMA + np.where(rows["ok_side"] == "starboard", 90.0, -90.0)[:, None])
-            e, n = ground * np.sin(bearing) + gps * ze, ground * np.cos(bearing) + gps * zn
-            e, n = e - e.mean(1, keepdims=True), n - n.mean(1, keepdims=True)
-            ee, nn, en = ((a * b).sum(1) / (K.DRAWS - 1) for a, b in ((e, e), (n, n), (e, n)))
-            middle, spread = (ee + nn) / 2, np.hypot((ee - nn) / 2, en)
-            major, minor = 2 * np.sqrt(middle + spread), 2 * np.sqrt(np.clip(middle - spread, 0, None))
-            yield pd.DataFrame({key: rows[key], "radius_m": np.round(np.sqrt(major * minor), 1), "semi_major_m": np.round(major, 1), "semi_minor_m": np.round(minor, 1), "rotation_deg": np.round(np.degrees(np.arctan2(2 * en, ee - nn) / 2), 1)})
-
-    kind = points.schema[key].dataType.simpleString()
-    rows = points.select(key, "slant_m", "effective_m", "ok_heading", "ok_side", "accuracy_m")
-    return rows.mapInPandas(ellipses, f"{key} {kind}, radius_m double, semi_major_m double, semi_minor_m double, rotation_deg double")
+    accuracy = F.greatest(F.lit(K.GPS_SIGMA_MIN), F.when(F.col("accuracy_m") > 0, F.col("accuracy_m")).otherwise(K.GPS_SIGMA))
+    rows = points.select(key, "slant_m", "effective_m", accuracy.alias("gps"), (F.col("ok_heading") + F.when(F.col("ok_side") == "starboard", 90.0).otherwise(-90.0)).alias("abeam"))
+    # dealt out before the rows become K.DRAWS times as many, to as many tasks as any shuffle, and summed up where they are
+    rows = rows.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    drawn = rows.crossJoin(F.broadcast(draw_table(points.sparkSession)))
+    slant, alt = F.col("slant_m") * (1 + F.col("zr") * K.RANGE_SIGMA), F.col("effective_m") * (1 + F.col("za") * K.ALTITUDE_SIGMA)
+    drawn = drawn.withColumns({"ground": F.sqrt(F.greatest(F.lit(0.0), slant * slant - alt * alt)), "bearing": F.radians(F.col("abeam") + F.col("zh") * K.HEADING_SIGMA)})
+    drawn = drawn.select(key, (F.col("ground") * F.sin("bearing") + F.col("gps") * F.col("ze")).alias("e"), (F.col("ground") * F.cos("bearing") + F.col("gps") * F.col("zn")).alias("n"))
+    sums = drawn.groupBy(key).agg(F.var_samp("e").alias("ee"), F.var_samp("n").alias("nn"), F.covar_samp("e", "n").alias("en"))
+    middle, spread = (F.col("ee") + F.col("nn")) / 2, F.hypot((F.col("ee") - F.col("nn")) / 2, F.col("en"))
+    axes = sums.withColumns({"major": 2 * F.sqrt(middle + spread), "minor": 2 * F.sqrt(F.greatest(F.lit(0.0), middle - spread)), "turn": F.degrees(F.atan2(2 * F.col("en"), F.col("ee") - F.col("nn")) / 2)})
+    return axes.select(key, F.round(F.sqrt(F.col("major") * F.col("minor")), 1).alias("radius_m"), F.round("major", 1).alias("semi_major_m"), F.round("minor", 1).alias("semi_minor_m"), F.round("turn", 1).alias("rotation_deg"))
 
 
 def target_states(linked: DataFrame) -> DataFrame:
@@ -115,18 +113,86 @@ def target_states(linked: DataFrame) -> DataFrame:
         F.when(has, "representative").when(F.col("other.lat").isNotNull(), "lowest_uncertainty").otherwise("unknown").alias("location_from"))
 
 
-def location_consistency(linked: DataFrame) -> DataFrame:
-    """A row for each target with two located detections or more: largest distance between any two, threshold, score, status.
+def hull(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    """Which places are corners of the convex hull of all, in the plane of latitude and longitude around the first."""
+    if len(lat) < 4:
+        return np.arange(len(lat))
+    x, y = (lon - lon[0] + 180) % 360 - 180, lat
+    order = np.lexsort((y, x)).tolist()
+    px, py = x.tolist(), y.tolist()
+
+    def side(places: list[int]) -> list[int]:
+        out: list[int] = []
+        for i in places:
+            while len(out) > 1 and (px[out[-1]] - px[out[-2]]) * (py[i] - py[out[-2]]) - (py[out[-1]] - py[out[-2]]) * (px[i] - px[out[-2]]) <= 0:
+                out.pop()
+            out.append(i)
+        return out
+
+    return np.array(sorted({*side(order), *side(order[::-1])}))
+
+
+def _farthest(lat: np.ndarray, lon: np.ndarray) -> float:
+    """The largest distance between two of the places, corner by corner."""
+    a, b, out = np.radians(lat), np.radians(lon), 0.0
+    for i in range(1, len(a)):
+        v = np.sin((a[:i] - a[i]) / 2) ** 2 + np.cos(a[i]) * np.cos(a[:i]) * np.sin((b[:i] - b[i]) / 2) ** 2
+        out = max(out, float(v.max()))
+    return 2 * K.EARTH_RADIUS_M * float(np.arcsin(np.sqrt(min(1.0, out))))
+
+
+#: Places of a target that a task gathers before it keeps their corners alone.
+CORNERS = 1_000
 
-    Equal positions meet once, so pairs are those of distinct places of one target.
+
+def dispersions(places: DataFrame) -> DataFrame:
+    """(target_id, d): the largest distance between any two places of each target of (target_id, lat, lon), none of them null.
+
+    The two farthest places are corners of the convex hull, and the hull of a target's places is that of the hulls of their parts. So
+    each task keeps the corners of what it reads, only these are shuffled, and a task gathers at most about CORNERS places of a
+    target beyond its corners. Places of a target are to lie well within half of the globe.
     """
-    seen = linked.where("lat is not null and lon is not null")
+    kind = places.schema["target_id"].dataType.simpleString()
+
+    def runs(pdf: pd.DataFrame) -> Iterator[tuple[object, np.ndarray, np.ndarray]]:
+        names, lat, lon = pdf["target_id"].to_numpy(), pdf["lat"].to_numpy(), pdf["lon"].to_numpy()
+        cuts = np.flatnonzero(names[1:] != names[:-1]) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(names)]):
+            yield names[i], lat[i:j], lon[i:j]
+
+    def corners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf.drop_duplicates().sort_values("target_id", kind="stable")
+            kept = [(name, lat[at], lon[at]) for name, lat, lon in runs(pdf) for at in (hull(lat, lon),)] if len(pdf) else []
+            if kept:
+                yield pd.DataFrame({"target_id": np.repeat([k[0] for k in kept], [len(k[1]) for k in kept]), "lat": np.concatenate([k[1] for k in kept]), "lon": np.concatenate([k[2] for k in kept])})
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, lat, lon = None, np.zeros(0), np.zeros(0)
+        for pdf in batches:
+            out = []
+            for own, y, x in runs(pdf) if len(pdf) else ():
+                if own != name and len(lat):
+                    out.append((name, _farthest(*(v[hull(lat, lon)] for v in (lat, lon)))))
+                    lat = lon = np.zeros(0)
+                name, lat, lon = own, np.concatenate([lat, y]), np.concatenate([lon, x])
+                if len(lat) > CORNERS:
+                    at = hull(lat, lon)
+                    lat, lon = lat[at], lon[at]
+            yield pd.DataFrame(out, columns=["target_id", "d"])
+        if len(lat):
+            yield pd.DataFrame([(name, _farthest(*(v[hull(lat, lon)] for v in (lat, lon))))], columns=["target_id", "d"])
+
+    kept = places.select("target_id", "lat", "lon").mapInPandas(corners, f"target_id {kind}, lat double, lon double")
+    return kept.repartition("target_id").sortWithinPartitions("target_id").mapInPandas(measure, f"target_id {kind}, d double")
+
+
+def location_consistency(linked: DataFrame) -> DataFrame:
+    """A row for each target with two located detections or more: largest distance between any two, threshold, score, status."""
+    seen = linked.where("target_id is not null and lat is not null and lon is not null")
     sums = seen.groupBy("target_id").agg(F.count("*").alias("n"), F.avg("uncertainty_m").alias("u")).where("n > 1")
-    places = seen.select("target_id", "lat", "lon").distinct()
-    pairs = places.alias("a").join(places.alias("b"), (F.col("a.target_id") == F.col("b.target_id")) & (F.struct("a.lat", "a.lon") < F.struct("b.lat", "b.lon")))
-    far = pairs.groupBy(F.col("a.target_id").alias("target_id")).agg(F.max(geo.haversine(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))).alias("d"))
     d, limit = F.coalesce("d", F.lit(0.0)), F.greatest(F.coalesce(2 * F.col("u"), F.lit(0.0)), F.lit(K.LOCATION_FLOOR_M))
-    return sums.join(far, "target_id", "left").select("target_id", "n", F.round(d, 1).alias("dispersion_m"), F.round(limit, 1).alias("threshold_m"), F.round(F.greatest(F.lit(0.0), 1 - d / limit), 3).alias("score"), F.when(d <= limit, "consistent").otherwise("inconsistent").alias("status"))
+    return sums.join(dispersions(seen), "target_id", "left").select("target_id", "n", F.round(d, 1).alias("dispersion_m"), F.round(limit, 1).alias("threshold_m"), F.round(F.greatest(F.lit(0.0), 1 - d / limit), 3).alias("score"), F.when(d <= limit, "consistent").otherwise("inconsistent").alias("status"))
 
 
 def fused_locations(linked: DataFrame) -> DataFrame:
@@ -139,41 +205,6 @@ def fused_locations(linked: DataFrame) -> DataFrame:
         F.when(~one, F.round(F.greatest(unc * 1.2, F.lit(0.5)), 1)).alias("semi_major_m"), F.when(~one, F.round(F.greatest(unc * 0.8, F.lit(0.3)), 1)).alias("semi_minor_m"))
 
 
-def consistency(detections: DataFrame) -> DataFrame:
-    """Views of other frames of the same survey within 25 m of each detection, and the evidence they give.
-
-    Detections meet by survey and latitude band of 25 m, each in its own band against the band's and both neighbours', so pairs
-    are those of near latitudes. Equal places of one image count together, as a number, so copies are not paired.
-    """
-    seen = detections.where("lat is not null and lon is not null")
-    band = F.floor(F.col("lat") * K.DEGREE_M / (K.CONSISTENCY_M * 1.01))
-    spots = seen.groupBy("survey_id", "image_id", "lat", "lon").agg(F.count("*").alias("k")).withColumn("band", band)
-    near = spots.select("survey_id", F.col("image_id").alias("image2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("k").alias("k2"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    close = geo.haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) <= K.CONSISTENCY_M
-    views = spots.join(near, ["survey_id", "band"]).where((F.col("image_id") != F.col("image2")) & close).groupBy("survey_id", "image_id", "lat", "lon").agg(F.sum("k2").alias("views"))
-    frames = detections.groupBy("survey_id").agg(F.count_distinct("image_id").alias("frames"))
-    rows = detections.join(frames, "survey_id").join(views, ["survey_id", "image_id", "lat", "lon"], "left")
-    n = F.coalesce("views", F.lit(0))
-    several = F.col("frames") > 1
-    return rows.select("survey_id", "detection_id", n.cast("long").alias("views"), several.alias("available"), F.when(several, F.round(F.least(F.lit(1.0), n / 2), 3)).alias("evidence"))
-
-
-def overlap_pairs(detections: DataFrame, least: float = K.CONSISTENCY_OVERLAP) -> DataFrame:
-    """Pairs of boxes of different frames of one survey, one without a position, that overlap enough; boxes meet by grid cells of their size."""
-    from deepledger.functions.scores import iou
-
-    cell = 64
-    grid = lambda a, s: F.sequence(F.floor(F.col(a) / cell).cast("int"), F.floor((F.col(a) + F.col(s)) / cell).cast("int"))
-    boxes = detections.select("survey_id", "image_id", "detection_id", "x", "y", "w", "h", F.col("lat").isNull().alias("lost")).withColumn("gx", F.explode(grid("x", "w"))).withColumn("gy", F.explode(grid("y", "h")))
-    a, b = boxes.alias("a"), boxes.alias("b")
-    meet = (F.col("a.survey_id") == F.col("b.survey_id")) & (F.col("a.gx") == F.col("b.gx")) & (F.col("a.gy") == F.col("b.gy"))
-    # two boxes share several cells; the one of the upper left corner of what they share counts
-    corner = (F.floor(F.greatest("a.x", "b.x") / cell) == F.col("a.gx")) & (F.floor(F.greatest("a.y", "b.y") / cell) == F.col("a.gy"))
-    value = iou(tuple(F.col(f"a.{c}") for c in "xywh"), tuple(F.col(f"b.{c}") for c in "xywh"))
-    pairs = a.join(b, meet & corner & (F.col("a.image_id") != F.col("b.image_id")) & (F.col("a.detection_id") < F.col("b.detection_id")) & (F.col("a.lost") | F.col("b.lost")))
-    return pairs.select(F.col("a.survey_id").alias("survey_id"), F.col("a.detection_id").alias("first_id"), F.col("b.detection_id").alias("second_id"), F.round(value, 4).alias("overlap")).where(F.col("overlap") >= least)
-
-
 def bounds(frames: DataFrame, detections: DataFrame) -> DataFrame:
     """Least and greatest coordinates of each survey's frames and located detections."""
     points = frames.select("survey_id", F.col("vessel_lat").alias("lat"), F.col("vessel_lon").alias("lon")).union(detections.select("survey_id", "lat", "lon")).where("lat is not null and lon is not null")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deepledger.functions import constants as K
 from deepledger.functions import geo, scores
+from deepledger.operators import consistency as C
 from deepledger.operators import detections as D
 from deepledger.operators import location as L
 from deepledger.plans import oracles as S
@@ -105,11 +107,12 @@ def map_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def consistency_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.consistency(A.detections(spark, sf_dir))
+    """Evidence of each detection from other frames: places near its own, and boxes where a place is not known."""
+    return C.corroboration(A.detections(spark, sf_dir), A.frame_sizes(spark, sf_dir))
 
 
 def box_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.overlap_pairs(A.detections(spark, sf_dir))
+    return C.overlap_pairs(A.detections(spark, sf_dir), A.frame_sizes(spark, sf_dir))
 
 
 def spatial_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,8 +159,6 @@ _LOCATED = (
     + S.geodesic("abeam", "spot", "abeam_lat", "abeam_lon", f"case when along_m > 0 then heading_deg else {S.pmod360('heading_deg + 180')} end", "case when ready then case when abs(along_m) > 0.01 then abs(along_m) else 0 end end")
     + """, located as (select *, case when ready then 'DERIVED' when fix then 'VESSEL_ONLY' else 'UNAVAILABLE' end as location_status from spot)"""
 )
-_VIEWS = f"""spots as (select survey_id, image_id, lat, lon, count(*) as k from detections where lat is not null group by all),
-    views as (select a.survey_id, a.image_id, a.lat, a.lon, sum(b.k) as views from spots a join spots b on a.survey_id = b.survey_id and a.image_id <> b.image_id where {S.haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 25 group by all)"""
 _UNC = "coalesce(case when uncertainty_m > 0 then uncertainty_m end, 10)"
 
 ORACLES = {
@@ -177,6 +178,13 @@ ORACLES = {
     "geolocation_diagnostics": f"""with {A.FRAMES} select survey_id, count(*) as frames, count(vessel_lat) as with_fix, case when bool_or(heading_deg is not null) then 'ok' else 'missing' end as heading, case when bool_or(altitude_m > 0) then 'ok' else 'missing' end as altitude,
         case when bool_or(side <> 'unknown') then 'ok' else 'missing' end as side, case when bool_or(layback_m is not null) then 'ok' else 'missing' end as layback,
         sum((vessel_lat is null)::bigint + (altitude_m <= 0)::bigint + (side = 'unknown')::bigint)::bigint as issues from frames group by 1""",
+    "uncertainty_ellipse": f"""with {_LOCATED}, draws(zh, ze, zn, zr, za) as (values {", ".join(str(tuple(f"{float(v)!r}::double" for v in row)).replace("'", "") for row in zip(*L.draws()))}),
+        drawn as (select detection_id, sqrt(greatest(0.0::double, pow(slant_m * (1 + zr * {K.RANGE_SIGMA}::double), 2) - pow(effective_m * (1 + za * {K.ALTITUDE_SIGMA}::double), 2))) as ground,
+            radians(heading_deg + case when ok_side = 'starboard' then 90 else -90 end + zh * {K.HEADING_SIGMA}::double) as bearing, greatest({K.GPS_SIGMA_MIN}::double, case when uncertainty_m > 0 then uncertainty_m else {K.GPS_SIGMA}::double end) as gps, ze, zn
+            from located, draws where location_status = 'DERIVED'),
+        c as (select detection_id, var_samp(e) as ee, var_samp(n) as nn, covar_samp(e, n) as en from (select detection_id, ground * sin(bearing) + gps * ze as e, ground * cos(bearing) + gps * zn as n from drawn) group by 1),
+        axes as (select *, (ee + nn) / 2 as mid, sqrt(pow((ee - nn) / 2, 2) + en * en) as spread from c), x as (select *, 2 * sqrt(mid + spread) as major, 2 * sqrt(greatest(0.0::double, mid - spread)) as minor from axes)
+        select detection_id, round(sqrt(major * minor), 1) as radius_m, round(major, 1) as semi_major_m, round(minor, 1) as semi_minor_m, round(degrees(atan2(2 * en, ee - nn) / 2), 1) as rotation_deg from x""",
     "ellipse_polygon": "with " + A.FRAMES + " select image_id, 37 as points, " + ", ".join(
         f"round(round({'vessel_lon' if n == 'lon' else 'vessel_lat'} + ({e}) / ({'111320.0::double * cos(radians(vessel_lat))' if n == 'lon' else '111320.0::double'}), 7), 6) as {n}{i}"
         for i in (0, 9, 18) for n, e in (("lon", f"range_m * cos(radians({i * 10})) * cos(radians(heading_deg)) - range_m / 2 * sin(radians({i * 10})) * sin(radians(heading_deg))"), ("lat", f"range_m * cos(radians({i * 10})) * sin(radians(heading_deg)) + range_m / 2 * sin(radians({i * 10})) * cos(radians(heading_deg))"))
@@ -195,10 +203,8 @@ ORACLES = {
     "target_history": f"with {_LINKED} select target_id, detection_id, row_number() over (partition by target_id order by frame_index, image_id, detection_id) as step, fusion, row_number() over (partition by target_id order by fusion desc, frame_index, image_id, detection_id) = 1 as is_representative from linked",
     "map_filter": f"""with {_LINKED}, r as (select *, row_number() over (partition by target_id order by fusion desc, frame_index, image_id, detection_id) as b from linked)
         select target_id, count(*) as n, case when max(case when b = 1 then lat end) is not null then 'representative' else 'lowest_uncertainty' end as location_from from r where class_name = 'tire' group by 1 having max(lat) is not null""",
-    "consistency_views": f"""with {A.DETECTIONS}, {_VIEWS}, f as (select survey_id, count(distinct image_id) as frames from detections group by 1)
-        select survey_id, detection_id, coalesce(views, 0)::bigint as views, frames > 1 as available, case when frames > 1 then round(least(1.0::double, coalesce(views, 0) / 2), 3) end as evidence from detections join f using (survey_id) left join views using (survey_id, image_id, lat, lon)""",
-    "box_overlap_pairs": f"""with {A.DETECTIONS} select a.survey_id, a.detection_id as first_id, b.detection_id as second_id, round({S.iou('a', 'b')}, 4) as overlap from detections a join detections b on a.survey_id = b.survey_id and a.image_id <> b.image_id and a.detection_id < b.detection_id
-        where (a.lat is null or b.lat is null) and round({S.iou('a', 'b')}, 4) >= 0.55""",
+    "consistency_views": f"with {S.CONSISTENT} select survey_id, detection_id, views, available, consistency as evidence from consistent",
+    "box_overlap_pairs": f"with {S.OVERLAPS} select survey_id, first_id, second_id, overlap from overlapping",
     "spatial_summary": f"""with {A.DETECTIONS}, p as (select survey_id, vessel_lat as lat, vessel_lon as lon from frames union all select survey_id, lat, lon from detections)
         select survey_id, count(*) as points, round(min(lat), 6) as min_lat, round(max(lat), 6) as max_lat, round(min(lon), 6) as min_lon, round(max(lon), 6) as max_lon from p where lat is not null group by 1""",
     "association_snapshot": f"""with {A.DETECTIONS}, c as (select a.survey_id, a.detection_id, b.detection_id as candidate_id, a.class_name = b.class_name as same, case when a.lat is not null and b.lat is not null then {S.haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} end as dist, {S.iou('a', 'b')} as ov

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deepledger.functions import constants as K
+from deepledger.operators import consistency as C
 from deepledger.operators import detections as D
 from deepledger.operators import navigation as N
 from deepledger.plans import oracles as S
@@ -17,7 +18,8 @@ def hazard_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fusion_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.fusion_breakdown(A.detections(spark, sf_dir))
+    """Fusion and what each signal adds to it, evidence from other frames included."""
+    return D.fusion_breakdown(C.with_consistency(A.detections(spark, sf_dir), A.frame_sizes(spark, sf_dir)))
 
 
 def detection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +52,8 @@ def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.detection_report(_reported(spark, sf_dir), A.frames(spark, sf_dir))
+    """The flat report after the survey's pass over all frames."""
+    return D.detection_report(C.with_consistency(_reported(spark, sf_dir), A.frame_sizes(spark, sf_dir)), A.frames(spark, sf_dir))
 
 
 def physics_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,19 +160,21 @@ _STEPS = _VALID + f""", steps as (
   flags as (select *, coalesce(dt_s <= 0 and same, false) as duplicate, coalesce(dt_s > 0 and step_m / nullif(dt_s, 0) > 15 and step_m > 50, false) as jump from steps),
   diagnosed as (select *, case when duplicate then 'duplicate timestamp' when jump or coalesce(lead(jump) over (partition by survey_id order by ts, fix_id), false) then 'impossible jump' end as invalid from flags)"""
 
-_REPORTED = S.SCORED + ", reported as (select *, shadow > 0.6::double as shadow_valid, case when shadow > 0.7::double then shadow * 3 end as height_estimate_m from scored)"
+_ALL = S.SIGNALS | {"consistency": "consistency"}
+_REPORTS = ", reported as (select *, shadow > 0.6::double as shadow_valid, case when shadow > 0.7::double then shadow * 3 end as height_estimate_m from scored)"
+_REPORTED = S.SCORED + _REPORTS
 
 ORACLES = {
     "hazard_ranking": f"with {S.SCORED} select survey_id, detection_id, class_name, fusion, status, priority, tier, row_number() over (partition by survey_id order by priority desc, detection_id) as hazard_rank from scored",
-    "fusion_breakdown": f"with {A.DETECTIONS} select detection_id, {S.FUSION} as fusion, " + ", ".join(f"round({v} * {K.FUSION_WEIGHTS[k]}::double / {S.USED}, 4) as part_{k}" for k, v in S.SIGNALS.items()) + " from detections",
+    "fusion_breakdown": f"with {S.CONSISTENT} select detection_id, {S.fusion_of(_ALL)} as fusion, " + ", ".join(f"round({v} * {K.FUSION_WEIGHTS[k]}::double / {S.used_of(_ALL)}, 4) as part_{k}" for k, v in _ALL.items()) + " from consistent",
     "detection_counts": f"with {S.SCORED} select case when grouping(class_name) = 0 then 'class' when grouping(status) = 0 then 'status' else 'tier' end as kind, coalesce(class_name, status, tier) as \"value\", count(*) as n from scored group by grouping sets ((class_name), (status), (tier))",
     "class_shares": f"with {A.DETECTIONS}, n as (select class_name, count(*) as n from detections group by 1) select class_name, n, round(n / sum(n) over (), 6) as of_total, round(n / max(n) over (), 6) as of_largest from n",
     "survey_summary": f"""with {S.SCORED} select survey_id, count(*) as n, count(*) filter (status = 'confirmed') as confirmed, count(*) filter (status in ('review', 'human_review_required')) as in_review,
         count(*) filter (tier = 'high') as high, count(*) filter (tier = 'critical') as critical, count(lat) as located, round(max(priority), 1) as top_priority from scored group by 1""",
     "explorer_filter": f"with {S.SCORED} select survey_id, detection_id, status, tier, priority from scored where status = 'review' and class_name = 'wreck' and contains(lower('frame_' || image_id || '.png ' || class_name || ' ' || detection_id), 'frame_1')",
     "class_list": f"with {A.DETECTIONS} select distinct class_name from detections",
-    "csv_report": f"""with {_REPORTED} select detection_id, r.survey_id, 'frame_' || image_id || '.png' as image, class_name as class, class_confidence, status, fusion as fusion_confidence, x as box_x, y as box_y, w as box_w, h as box_h, mask_frac as mask_area_frac,
-        class_confidence as evidence_detection, {S.BELL} as evidence_segmentation, natural_ as evidence_natural, shadow as evidence_shadow, physics as evidence_physics, null::double as evidence_consistency, anomaly as evidence_anomaly, shadow_valid,
+    "csv_report": f"""with {S.SCORED_CONSISTENT + _REPORTS} select detection_id, r.survey_id, 'frame_' || image_id || '.png' as image, class_name as class, class_confidence, status, fusion as fusion_confidence, x as box_x, y as box_y, w as box_w, h as box_h, mask_frac as mask_area_frac,
+        class_confidence as evidence_detection, {S.BELL} as evidence_segmentation, natural_ as evidence_natural, shadow as evidence_shadow, physics as evidence_physics, consistency as evidence_consistency, null::double as evidence_anomaly, shadow_valid,
         height_estimate_m, lat is not null as geo_known, lat, lon, uncertainty_m, case when lat is null or h = 26 then 'UNAVAILABLE' when h = 14 then 'MANUAL' when h = 20 then 'VERIFIED' else 'DERIVED' end as location_status,
         case when lat is not null and h = 14 then 'user_supplied' when h = 32 then 'csv' when lat is not null then 'sonar_geometry' end as position_source, strftime(f.captured_at, '%Y-%m-%dT%H:%M:%SZ') as "timestamp", null::double as geo_bearing_deg,
         null::double as geo_ground_range_m, w / 4 as width_m, h / 4 as length_m, null::double as height_m, priority as priority_score, tier as priority_tier from reported r left join frames f using (image_id)""",

@@ -38,6 +38,15 @@ FRAMES = """frames as (
     from orders)"""
 
 
+def frame_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Width and height of each frame's picture; some are not known."""
+    key = F.col("o_orderkey")
+    return read(spark, sf_dir, "orders").select(key.alias("image_id"), F.when(key % 23 != 0, 640 + 384 * (key % 2)).alias("width"), F.when(key % 23 != 0, F.lit(IMAGE_HEIGHT)).alias("height"))
+
+
+FRAME_SIZES = f"""sizes as (select o_orderkey as image_id, case when o_orderkey % 23 <> 0 then 640 + 384 * (o_orderkey % 2) end as width, case when o_orderkey % 23 <> 0 then {IMAGE_HEIGHT} end as height from orders)"""
+
+
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One detection per line item, with its frame's survey and index. Positions and two signals are null for some."""
     line = read(spark, sf_dir, "lineitem").select(

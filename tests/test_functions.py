@@ -129,12 +129,6 @@ def test_uncertainty_matches_sample_covariance(spark):
     assert got[1]["semi_major_m"] == pytest.approx(2 * values[1] ** 0.5, abs=0.06) and got[1]["semi_minor_m"] == pytest.approx(2 * values[0] ** 0.5, abs=0.06)
 
 
-def test_consistency_counts_other_frames(spark):
-    rows = spark.createDataFrame([(1, 1, "a", 54.0, 10.0), (1, 2, "b", 54.0001, 10.0), (1, 2, "c", None, None), (2, 3, "d", 54.0, 10.0)], "survey_id long, image_id long, detection_id string, lat double, lon double")
-    got = {r["detection_id"]: (r["views"], r["available"], r["evidence"]) for r in location.consistency(rows).collect()}
-    assert got == {"a": (1, True, 0.5), "b": (1, True, 0.5), "c": (0, True, 0.0), "d": (0, False, None)}
-
-
 def test_matching_and_suppression(spark):
     d = spark.createDataFrame([(1, "a", 0.0, 0.0, 10.0, 10.0, 0.9), (1, "b", 1.0, 0.0, 10.0, 10.0, 0.8), (1, "c", 50.0, 50.0, 5.0, 5.0, 0.7), (2, "d", 0.0, 0.0, 5.0, 5.0, 0.5)], "image_id long, detection_id string, x double, y double, w double, h double, score double")
     t = spark.createDataFrame([(1, "t", 0.0, 0.0, 10.0, 10.0), (3, "u", 0.0, 0.0, 9.0, 9.0)], "image_id long, truth_id string, x double, y double, w double, h double")
