@@ -32,7 +32,7 @@ def public_detections(detections: DataFrame) -> DataFrame:
     own = F.when(F.col("location_status").isNotNull(), location_status(F.col("location_status"))) if "location_status" in rows.columns else F.lit(None).cast("string")
     return rows.select(
         F.col("detection_id").alias("id"), F.coalesce("class_name", F.lit("debris")).alias("class"), *[F.round(c, 1).alias(f"bbox_{c}") for c in "xywh"],
-        F.round("class_confidence", 3).alias("detector_confidence"), F.round(scores.bell(F.col("mask_frac")), 3).alias("segmentation_score"), F.round(F.coalesce("natural", F.lit(0.5)), 3).alias("artificial_probability"),
+        F.round("class_confidence", 3).alias("yolo_confidence"), F.round(scores.bell(F.col("mask_frac")), 3).alias("segmentation_score"), F.round(F.coalesce("natural", F.lit(0.5)), 3).alias("artificial_probability"),
         F.col("shadow").alias("shadow_score"), F.col("physics").alias("geometry_score"), F.col("fusion").alias("final_confidence"), F.col("status").alias("decision"),
         known.alias("known"), F.coalesce(own, F.when(known, "approximate").otherwise("unknown")).alias("location"), "lat", "lon", "uncertainty_m", "priority", "tier",
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deepledger.functions import constants as K
 from deepledger.functions import text as T
 from deepledger.operators import association as X
 from deepledger.operators import detections as D
@@ -156,7 +157,56 @@ _SPLIT = SCORED_LABELS + """, sites as (select distinct site from labelled), ran
     parts as (select site, case when k <= greatest(1, floor(0.2 * n + 0.5)) then 'val' else 'train' end as split from ranked), divided as (select * from labelled join parts using (site))"""
 _BINS = SCORED_LABELS + ", bins as (select greatest(0, ceil(confidence * 10) - 1)::int as bin, count(*) as n, avg(confidence) as c, avg(label) as a from labelled group by 1)"
 
+def _iou(a: str, b: str) -> str:
+    """Overlap of two boxes, structs x, y, w, h."""
+    inner = f"(greatest(0, least({a}.x + {a}.w, {b}.x + {b}.w) - greatest({a}.x, {b}.x)) * greatest(0, least({a}.y + {a}.h, {b}.y + {b}.h) - greatest({a}.y, {b}.y)))"
+    return f"({inner} / greatest({a}.w * {a}.h + {b}.w * {b}.h - {inner}, 1e-9::double))"
+
+
+#: Detections of an image by descending score, one at each step.
+_RANKED = f"""recursive {A.DETECTIONS}, found as (
+    select image_id, detection_id, {{'x': x, 'y': y, 'w': w, 'h': h}} as box, row_number() over (partition by image_id order by class_confidence desc, detection_id) as k from detections)"""
+_NMS = f"""{_RANKED}, steps as (
+    select image_id, 0::bigint as k, []::struct(id varchar, box struct(x double, y double, w double, h double))[] as kept from (select distinct image_id from found)
+    union all
+    select s.image_id, f.k, case when coalesce(list_bool_or(list_transform(kept, lambda b: {_iou('b.box', 'f.box')} > 0.45::double)), false) then kept else list_append(kept, {{'id': f.detection_id, 'box': f.box}}) end
+    from steps s join found f on f.image_id = s.image_id and f.k = s.k + 1)"""
+_MATCHED = f"""{_RANKED}, truths as (select image_id, list({{'x': x + x % 5, 'y': y, 'w': w, 'h': h}} order by detection_id) as boxes from detections where y % 2 = 0 group by 1),
+    steps as (
+        select image_id, 0::bigint as k, coalesce(boxes, []) as boxes, []::bigint[] as used from (select distinct image_id from found) left join truths using (image_id)
+        union all
+        select image_id, k, boxes, case when list_max(free) >= 0.5::double then list_append(used, list_position(free, list_max(free))) else used end from (
+            select s.image_id, f.k, boxes, used, list_transform(boxes, lambda b, i: case when list_contains(used, i) then -1::double else {_iou('f.box', 'b')} end) as free
+            from steps s join found f on f.image_id = s.image_id and f.k = s.k + 1)),
+    ends as (select image_id, arg_max(len(used), k) as tp, max(k) as n, any_value(len(boxes)) as truths from steps group by 1)"""
+_W, _ONE = K.ASSOCIATION_WEIGHTS, "1.0::double"
+#: The fold of each survey in frame order, a detection at each step, with the live targets as a list.
+_FOLDED = f"""recursive {A.DETECTIONS}, ordered as (select *, row_number() over (partition by survey_id order by frame_index, image_id, detection_id) as k from detections),
+    folded as (
+        select survey_id, 0::bigint as k, null::varchar as detection_id, null::varchar as target_id, null::varchar as decision, null::double as score, {{'id': null::varchar, 'score': null::double, 'c': null::double, 'g': null::double, 'f': null::double, 's': null::double}} as best,
+            []::struct(id varchar, cls varchar, lat double, lon double, own varchar, x double, y double, w double, h double, "last" double)[] as live from (select distinct survey_id from ordered)
+        union all
+        select survey_id, k, detection_id, case decision when 'accepted' then best.id when 'new_target' then fresh end, decision, best.score, best,
+            case decision when 'ambiguous' then live when 'new_target' then list_append(live, {{'id': fresh, 'cls': class_name, 'lat': lat, 'lon': lon, 'own': detection_id, 'x': x, 'y': y, 'w': w, 'h': h, 'last': frame_index::double}})
+                else list_transform(live, lambda t: case when t.id <> best.id then t else {{'id': t.id, 'cls': t.cls, 'lat': case when lat is null then t.lat else lat end, 'lon': case when lat is null then t.lon else lon end, 'own': least(t.own, detection_id),
+                    'x': case when detection_id < t.own then x else t.x end, 'y': case when detection_id < t.own then y else t.y end, 'w': case when detection_id < t.own then w else t.w end, 'h': case when detection_id < t.own then h else t.h end, 'last': greatest(t.last, frame_index::double)}} end) end
+        from (select *, 'tgt_' || substr(sha256(survey_id || '|' || detection_id), 1, 12) as fresh, case when coalesce(best.score, 0) < {K.ACCEPT} then 'new_target' when round(best.score - coalesce(second, -1), 4) < {K.AMBIGUITY} then 'ambiguous' else 'accepted' end as decision
+            from (select *, list_max(list_transform(list_filter(scored, lambda t: t.id <> best.id), lambda t: t.score)) as second
+                from (select *, list_reduce(list_append(scored, {{'id': null::varchar, 'score': null::double, 'c': null::double, 'g': null::double, 'f': null::double, 's': null::double}}), lambda a, b: case when b.score > a.score or b.score = a.score and b.id < a.id then b else a end) as best
+                    from (select * exclude (near), list_transform(near, lambda t: {{'id': t.id, 'score': round(({_W['class']}::double * t.same + {_W['geographic']}::double * coalesce({S.ramp('t.dist', *K.DISTANCE_RAMP)}, 0) + {_W['frame']}::double * {S.ramp('t.gap', *K.FRAME_RAMP)} + {_W['spatial']}::double * {S.ramp('1 - t.ov', *K.OVERLAP_RAMP)})
+                                / ({_W['class']}::double + case when t.dist is null then 0 else {_W['geographic']}::double end + {_W['frame']}::double + {_W['spatial']}::double)
+                                * case when t.same = 1 then {_ONE} else {K.CLASS_PENALTY}::double end * case when round(t.dist, 1) > {K.DISTANCE_RAMP[1]} then {K.GEO_PENALTY}::double else {_ONE} end * case when round(t.ov, 3) <= 0 and t.gap <= 1 then {K.SPATIAL_PENALTY}::double else {_ONE} end, 4),
+                            'c': t.same::double, 'g': {S.ramp('t.dist', *K.DISTANCE_RAMP)}, 'f': {S.ramp('t.gap', *K.FRAME_RAMP)}, 's': {S.ramp('1 - t.ov', *K.OVERLAP_RAMP)}}}) as scored
+                        from (select o.*, live, list_transform(live, lambda t: {{'id': t.id, 'same': (t.cls = o.class_name)::int, 'dist': case when t.lat is not null and o.lat is not null then {S.haversine('t.lat', 't.lon', 'o.lat', 'o.lon')} end, 'gap': abs(t.last - o.frame_index), 'ov': {_iou('t', 'o')}}}) as near
+                            from folded f join ordered o on o.survey_id = f.survey_id and o.k = f.k + 1))))))"""
+
 ORACLES = {
+    "nms": f"with {_NMS}, ends as (select image_id, arg_max(kept, k) as kept from steps group by 1) select image_id, unnest(list_transform(kept, lambda b: b.id)) as detection_id from ends",
+    "greedy_match_prf": f"""with {_MATCHED}, t as (select sum(tp)::bigint as tp, sum(n - tp)::bigint as fp, sum(truths - tp)::bigint as fn, count(*) as images, count(*) filter (n > tp) as images_with_fp from ends), r as (select *, tp / nullif(tp + fp, 0) as p, tp / nullif(tp + fn, 0) as q from t)
+        select tp, fp, fn, images, images_with_fp, round(coalesce(p, 0), 4) as precision, round(coalesce(q, 0), 4) as recall, round(coalesce(2 * p * q / nullif(p + q, 0), 0), 4) as f1, round(fp / images, 4) as fp_per_image from r""",
+    "association_fold": f"with {_FOLDED} select survey_id, detection_id, target_id, decision, score, round(best.c, 3) as class_score, round(best.g, 3) as geographic_score, round(best.f, 3) as frame_score, round(best.s, 3) as spatial_score from folded where k > 0",
+    "association_summary": f"""with {_FOLDED} select survey_id, count(*) as detections, count(distinct target_id) as targets, count(*) filter (decision = 'accepted') as accepted, count(*) filter (decision = 'ambiguous') as ambiguous,
+        count(*) filter (decision = 'new_target') as founded, 0::bigint as reused from folded where k > 0 group by 1""",
     "calibration_bins": f"with {_BINS} select bin, n, round(c, 6) as confidence, round(a, 6) as accuracy, round(abs(c - a), 6) as gap from bins",
     "expected_calibration_error": f"with {_BINS} select sum(n)::bigint as n, round(sum(round(abs(c - a), 6) * n) / sum(n), 5) as ece from bins",
     "roc_auc": f"""with {SCORED_LABELS}, p as (select sum(case when a.confidence > b.confidence then 1.0::double when a.confidence = b.confidence then 0.5::double else 0 end) as u from labelled a, labelled b where a.label = 1 and b.label = 0)

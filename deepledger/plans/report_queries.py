@@ -128,7 +128,7 @@ _FAULTS = ", ".join((
 ))
 
 ORACLES = {
-    "public_detections": f"""with {S.SCORED} select detection_id as id, class_name, round(x, 1) as bbox_x, round(y, 1) as bbox_y, round(w, 1) as bbox_w, round(h, 1) as bbox_h, round(class_confidence, 3) as detector_confidence,
+    "public_detections": f"""with {S.SCORED} select detection_id as id, class_name, round(x, 1) as bbox_x, round(y, 1) as bbox_y, round(w, 1) as bbox_w, round(h, 1) as bbox_h, round(class_confidence, 3) as yolo_confidence,
         round({S.BELL}, 3) as segmentation_score, round(coalesce(natural_, 0.5::double), 3) as artificial_probability, shadow as shadow_score, physics as geometry_score, fusion as final_confidence, status as decision,
         lat is not null as known, case when lat is not null then 'approximate' else 'unknown' end as location, lat, lon, uncertainty_m, priority, tier from scored""",
     "report_parts": f"""with {_TARGETS}, {_NAMED.removeprefix(A.FRAMES + ", ")}

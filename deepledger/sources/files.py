@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,15 +27,15 @@ ALIASES = {
     "towfish_z": ("towfish_z", "fish_z", "offset_z"),
     "layback": ("layback", "layback_m"),
 }
-#: Columns that name the projection of a file's coordinates.
-CRS = ("crs", "epsg")
 NUMBERS = ("heading_deg", "altitude_m", "accuracy_m", "roll", "pitch", "heave", "towfish_x", "towfish_y", "towfish_z", "layback")
 
 
 def aliased(columns: list[str]) -> dict[str, str]:
-    """Which column holds each field: the first alias that a column's trimmed lower-case name equals."""
+    """Which column holds each field: the first alias that a column's trimmed lower-case name equals. The projection is in the first column of the name crs or ending in .crs."""
     names = {c.strip().lower().lstrip("﻿"): c for c in reversed(columns)}
-    return {field: names[a] for field, options in {**ALIASES, "crs": CRS}.items() for a in [next((o for o in options if o in names), None)] if a}
+    found = {field: names[a] for field, options in ALIASES.items() for a in [next((o for o in options if o in names), None)] if a}
+    crs = next((c for c in columns if re.fullmatch(r"(.*\.)?crs", c.strip().lower().lstrip("﻿"))), None)
+    return found | ({"crs": crs} if crs is not None else {})
 
 
 def to_wgs84(x: Column, y: Column, crs: Column) -> Column:

@@ -145,3 +145,12 @@ def test_fold_streams_a_survey_in_batches(spark):
         assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_projection_of_a_named_column(spark, tmp_path):
+    from deepledger.sources import files
+
+    (tmp_path / "geo.csv").write_text("lat,lon,geometry.crs,epsg\n1928000,443000,EPSG:32644,4326\n")
+    row = files.read_csv(spark, str(tmp_path / "geo.csv")).first()
+    assert (round(row["latitude"], 1), round(row["longitude"], 1)) == (17.4, 80.5)
+    assert files.aliased(["lat", "crs", "a.crs"])["crs"] == "crs" and "crs" not in files.aliased(["lat", "epsg", "acrs"])
