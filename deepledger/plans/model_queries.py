@@ -193,7 +193,7 @@ _FOLDED = f"""recursive {A.DETECTIONS}, ordered as (select *, row_number() over
         from (select *, 'tgt_' || substr(sha256(survey_id || '|' || detection_id), 1, 12) as fresh, case when coalesce(best.score, 0) < {K.ACCEPT} then 'new_target' when round(best.score - coalesce(second, -1), 4) < {K.AMBIGUITY} then 'ambiguous' else 'accepted' end as decision
             from (select *, list_max(list_transform(list_filter(scored, lambda t: t.id <> best.id), lambda t: t.score)) as second
                 from (select *, list_reduce(list_append(scored, {{'id': null::varchar, 'score': null::double, 'c': null::double, 'g': null::double, 'f': null::double, 's': null::double}}), lambda a, b: case when b.score > a.score or b.score = a.score and b.id < a.id then b else a end) as best
-                    from (select * exclude (near), list_transform(near, lambda t: {{'id': t.id, 'score': round(({_W['class']}::double * t.same + {_W['geographic']}::double * coalesce({S.ramp('t.dist', *K.DISTANCE_RAMP)}, 0) + {_W['frame']}::double * {S.ramp('t.gap', *K.FRAME_RAMP)} + {_W['spatial']}::double * {S.ramp('1 - t.ov', *K.OVERLAP_RAMP)})
+                    from (select * exclude (near), list_transform(near, lambda t: {{'id': t.id, 'score': round_even(({_W['class']}::double * t.same + {_W['geographic']}::double * coalesce({S.ramp('t.dist', *K.DISTANCE_RAMP)}, 0) + {_W['frame']}::double * {S.ramp('t.gap', *K.FRAME_RAMP)} + {_W['spatial']}::double * {S.ramp('1 - t.ov', *K.OVERLAP_RAMP)})
                                 / ({_W['class']}::double + case when t.dist is null then 0 else {_W['geographic']}::double end + {_W['frame']}::double + {_W['spatial']}::double)
                                 * case when t.same = 1 then {_ONE} else {K.CLASS_PENALTY}::double end * case when round(t.dist, 1) > {K.DISTANCE_RAMP[1]} then {K.GEO_PENALTY}::double else {_ONE} end * case when round(t.ov, 3) <= 0 and t.gap <= 1 then {K.SPATIAL_PENALTY}::double else {_ONE} end, 4),
                             'c': t.same::double, 'g': {S.ramp('t.dist', *K.DISTANCE_RAMP)}, 'f': {S.ramp('t.gap', *K.FRAME_RAMP)}, 's': {S.ramp('1 - t.ov', *K.OVERLAP_RAMP)}}}) as scored
