@@ -80,6 +80,28 @@ def precision_recall(matches: DataFrame) -> DataFrame:
     return rows.select("*", F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(ratio(2 * p * r, p + r), 4).alias("f1"), F.round(F.col("fp") / F.col("images"), 4).alias("fp_per_image"))
 
 
+#: The fields of one set in an evaluation document, in order.
+SET_FIELDS = ("manifest", "images", "gt_objects", "tp", "fp", "fn", "precision", "recall", "f1", "false_alarms_per_image", "images_with_false_alarms")
+
+
+def metrics_documents(matches: DataFrame, sets: DataFrame) -> DataFrame:
+    """(part, manifest, body): the JSON documents of an evaluation, one for each set of images and one of all together.
+
+    matches: those of greedy_match; sets: (image_id, manifest). An image without detections and truths counts as one of its set; one of
+    no set counts for all together alone. Part is `sets` or, with null manifest, `combined`.
+    """
+    rows = sets.dropDuplicates(["image_id"]).join(matches, "image_id", "full_outer").select("manifest", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("tp", "fp", "fn")])
+    counts = [F.sum(c).alias(c) for c in ("tp", "fp", "fn")]
+    each = rows.where("manifest is not null").groupBy("manifest").agg(*counts, F.count("*").alias("images"), F.count_if(F.col("fp") > 0).alias("images_with_false_alarms"))
+    p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
+    each = each.withColumns({
+        "gt_objects": F.col("tp") + F.col("fn"), "precision": F.round(p, 4), "recall": F.round(r, 4), "f1": F.round(ratio(2 * p * r, p + r), 4), "false_alarms_per_image": F.round(F.col("fp") / F.col("images"), 3),
+    })
+    sets_of = each.select(F.lit("sets").alias("part"), "manifest", F.to_json(F.struct(*SET_FIELDS)).alias("body"))
+    total = rows.agg(*[F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in ("tp", "fp", "fn")])
+    return sets_of.unionByName(total.select(F.lit("combined").alias("part"), F.lit(None).cast("string").alias("manifest"), F.to_json(F.struct("tp", "fp", "fn"), {"ignoreNullFields": "false"}).alias("body")))
+
+
 def suppress(detections: DataFrame, most: float = 0.45) -> DataFrame:
     """(image_id, detection_id) that no better one of their image (score, then id) which is kept overlaps by more than `most`, whatever the class. Rows of null image take no part."""
 

@@ -33,7 +33,7 @@ def association_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.summary(X.associate(A.detections(spark, sf_dir)))
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Detections with a score, and as truths their copies shifted by a few pixels where a part's number is even."""
     d = A.detections(spark, sf_dir)
     found = d.select("image_id", "detection_id", "x", "y", "w", "h", F.col("class_confidence").alias("score"))
@@ -43,11 +43,11 @@ def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def greedy_match_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.precision_recall(E.greedy_match(*_pairs(spark, sf_dir)))
+    return E.precision_recall(E.greedy_match(*pairs(spark, sf_dir)))
 
 
 def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.suppress(_pairs(spark, sf_dir)[0])
+    return E.suppress(pairs(spark, sf_dir)[0])
 
 
 def calibration_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +171,7 @@ _NMS = f"""{_RANKED}, steps as (
     union all
     select s.image_id, f.k, case when coalesce(list_bool_or(list_transform(kept, lambda b: {_iou('b.box', 'f.box')} > 0.45::double)), false) then kept else list_append(kept, {{'id': f.detection_id, 'box': f.box}}) end
     from steps s join found f on f.image_id = s.image_id and f.k = s.k + 1)"""
-_MATCHED = f"""{_RANKED}, truths as (select image_id, list({{'x': x + x % 5, 'y': y, 'w': w, 'h': h}} order by detection_id) as boxes from detections where y % 2 = 0 group by 1),
+MATCHED = f"""{_RANKED}, truths as (select image_id, list({{'x': x + x % 5, 'y': y, 'w': w, 'h': h}} order by detection_id) as boxes from detections where y % 2 = 0 group by 1),
     steps as (
         select image_id, 0::bigint as k, coalesce(boxes, []) as boxes, []::bigint[] as used from (select distinct image_id from found) left join truths using (image_id)
         union all
@@ -202,7 +202,7 @@ _FOLDED = f"""recursive {A.DETECTIONS}, ordered as (select *, row_number() over
 
 ORACLES = {
     "nms": f"with {_NMS}, ends as (select image_id, arg_max(kept, k) as kept from steps group by 1) select image_id, unnest(list_transform(kept, lambda b: b.id)) as detection_id from ends",
-    "greedy_match_prf": f"""with {_MATCHED}, t as (select sum(tp)::bigint as tp, sum(n - tp)::bigint as fp, sum(truths - tp)::bigint as fn, count(*) as images, count(*) filter (n > tp) as images_with_fp from ends), r as (select *, tp / nullif(tp + fp, 0) as p, tp / nullif(tp + fn, 0) as q from t)
+    "greedy_match_prf": f"""with {MATCHED}, t as (select sum(tp)::bigint as tp, sum(n - tp)::bigint as fp, sum(truths - tp)::bigint as fn, count(*) as images, count(*) filter (n > tp) as images_with_fp from ends), r as (select *, tp / nullif(tp + fp, 0) as p, tp / nullif(tp + fn, 0) as q from t)
         select tp, fp, fn, images, images_with_fp, round(coalesce(p, 0), 4) as precision, round(coalesce(q, 0), 4) as recall, round(coalesce(2 * p * q / nullif(p + q, 0), 0), 4) as f1, round(fp / images, 4) as fp_per_image from r""",
     "association_fold": f"with {_FOLDED} select survey_id, detection_id, target_id, decision, score, round(best.c, 3) as class_score, round(best.g, 3) as geographic_score, round(best.f, 3) as frame_score, round(best.s, 3) as spatial_score from folded where k > 0",
     "association_summary": f"""with {_FOLDED} select survey_id, count(*) as detections, count(distinct target_id) as targets, count(*) filter (decision = 'accepted') as accepted, count(*) filter (decision = 'ambiguous') as ambiguous,

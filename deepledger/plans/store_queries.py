@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deepledger.operators import evaluation as E
+from deepledger.plans import model_queries as M
 from deepledger.sources import adapters as A
+from deepledger.sources.sinks import write_documents
 from deepledger.sources.store import Change, Store, shared_folder
 
 
@@ -41,7 +44,17 @@ def updated_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read("detections").select("detection_id", "target_id", "class_confidence")
 
 
-QUERIES = {f.__name__: f for f in (published_surveys, updated_links)}
+def evaluation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics of three sets of images and of all, written as JSON documents and read back."""
+    matches = E.greedy_match(*M.pairs(spark, sf_dir))
+    sets = A.frames(spark, sf_dir).select("image_id", F.concat(F.lit("set_"), F.col("image_id") % 3).alias("manifest")).where("image_id % 7 != 0")
+    path = shared_folder(spark, "metrics")
+    write_documents(E.metrics_documents(matches, sets), path, "body")
+    kinds = {"manifest": "string", "precision": "double", "recall": "double", "f1": "double", "false_alarms_per_image": "double"}
+    return spark.read.schema(", ".join(f"{c} {kinds.get(c, 'long')}" for c in E.SET_FIELDS)).json(path)
+
+
+QUERIES = {f.__name__: f for f in (published_surveys, updated_links, evaluation_documents)}
 
 ORACLES = {
     "published_surveys": f"""with {A.DETECTIONS}, {A.NAVIGATION},
@@ -50,4 +63,10 @@ ORACLES = {
         f as (select survey_id, count(*) as before, count(*) filter (survey_id % 2 = 0 or altitude_m > 20) as n, round(sum(altitude_m) filter (survey_id % 2 = 0 or altitude_m > 20), 3) as total from navigation group by 1)
         select 'detections' as kind, * from d union all select 'fixes', * from f""",
     "updated_links": f"with {A.DETECTIONS} select detection_id, frame_index + case when x < 48 then 1000 else 0 end as target_id, class_confidence from detections",
+    "evaluation_documents": f"""with {M.MATCHED}, parts as (select tp, n - tp as fp, truths - tp as fn, image_id from ends),
+        own as (select 'set_' || o_orderkey % 3 as manifest, coalesce(tp, 0) as tp, coalesce(fp, 0) as fp, coalesce(fn, 0) as fn from orders left join parts on image_id = o_orderkey where o_orderkey % 7 <> 0),
+        t as (select manifest, count(*) as images, sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn, count(*) filter (fp > 0) as images_with_false_alarms from own group by 1),
+        r as (select *, coalesce(tp / nullif(tp + fp, 0), 0) as p, coalesce(tp / nullif(tp + fn, 0), 0) as q from t)
+        select manifest, images, tp + fn as gt_objects, tp, fp, fn, round(p, 4) as precision, round(q, 4) as recall, round(coalesce(2 * p * q / nullif(p + q, 0), 0), 4) as f1, round(fp / images, 3) as false_alarms_per_image, images_with_false_alarms from r
+        union all select null, null, null, sum(tp)::bigint, sum(fp)::bigint, sum(fn)::bigint, null, null, null, null, null from parts""",
 }

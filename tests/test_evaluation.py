@@ -59,3 +59,19 @@ def test_auc_of_many_scores(spark):
     df = spark.createDataFrame(rows, "confidence double, label int")
     assert E.roc_auc(df, ranges=16).first()["auc"] == pytest.approx(want, abs=1e-6) == E.roc_auc(df, ranges=2).first()["auc"]
     assert E.roc_auc(df.limit(0)).first()["auc"] is None
+
+
+def test_metrics_documents_of_sets_and_of_all(spark):
+    import json
+
+    from deepledger.operators import evaluation
+
+    matches = spark.createDataFrame([(1, 1, 1, 0), (2, 0, 2, 1), (9, 3, 0, 0)], "image_id long, tp long, fp long, fn long")
+    sets = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "b")], "image_id long, manifest string")
+    got = {r["manifest"]: json.loads(r["body"]) for r in evaluation.metrics_documents(matches, sets).collect()}
+    assert got[None] == {"tp": 4, "fp": 3, "fn": 1}
+    assert tuple(got["a"]) == evaluation.SET_FIELDS
+    assert got["a"] == {"manifest": "a", "images": 3, "gt_objects": 2, "tp": 1, "fp": 3, "fn": 1, "precision": 0.25, "recall": 0.5, "f1": 0.3333, "false_alarms_per_image": 1.0, "images_with_false_alarms": 2}
+    assert (got["b"]["images"], got["b"]["precision"], got["b"]["false_alarms_per_image"]) == (1, 0.0, 0.0)
+    empty = evaluation.metrics_documents(matches.limit(0), sets.limit(0)).collect()
+    assert [json.loads(r["body"]) for r in empty] == [{"tp": 0, "fp": 0, "fn": 0}]
