@@ -21,8 +21,6 @@ MIN_WORDS, MAX_REPEAT = 10, 20
 JUDGED_WORDS, JUDGED_CHARS = 50, 300
 #: Largest divergence of words beyond that of as many words drawn from the reference, and largest distance of character classes.
 WORD_EXCESS, CHAR_DISTANCE = 0.08, 0.35
-#: Characters that are not removed are counted: upper-case letters, digits, symbols.
-RARE = {"upper": r"[^\p{Lu}]+", "digit": r"[^0-9]+", "n_symbols": r"[^#*$%&|<>]+"}
 CLASSES = ("upper", "letter", "digit", "n_symbols", "rest")
 
 
@@ -63,12 +61,15 @@ def repeated_words(rows: DataFrame, hashes: str, out: str) -> DataFrame:
 def base_counts(docs: DataFrame) -> DataFrame:
     """docs (with text) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the characters of the classes upper, digit, letter and rest; in one pass over the text."""
     text = F.coalesce("text", F.lit(""))
-    hashes, lines = clean_name(docs, "_hashes"), clean_name(docs, "_lines")
+    hashes, lines, plain = (clean_name(docs, c) for c in ("_hashes", "_lines", "_plain"))
     rows = docs.withColumns({
         hashes: F.transform(_words(text), lambda w: F.xxhash64(w)),
         lines: F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-        "word_chars": _length(text, BLANK), **{c: _length(text, p) for c, p in RARE.items()}, "letter": F.char_length(text) - _length(text, r"\p{L}+"),
+        plain: F.regexp_replace(text, r"\p{L}+", ""), "upper": _length(text, r"[^\p{Lu}]+"), "letter": F.char_length(text).cast("long"),
     })
+    # what is no letter is short, and blanks, digits and symbols are counted in it
+    blanks = F.char_length(plain) - _length(F.col(plain), BLANK)
+    rows = rows.withColumns({"word_chars": F.col("letter") - blanks, "digit": _length(F.col(plain), r"[^0-9]+"), "n_symbols": _length(F.col(plain), r"[^#*$%&|<>]+"), "letter": F.col("letter") - F.char_length(plain)}).drop(plain)
     rows = rows.withColumns({"n_words": F.size(hashes).cast("long"), "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")}).drop(lines)
     rows = repeated_words(rows, hashes, "n_repeat_words").drop(hashes)
     rows = rows.withColumn("letter", F.col("letter") - F.col("upper"))
