@@ -169,10 +169,6 @@ def bounds(runs: list[tuple[int, int, int]]) -> tuple[int, int, int, int, int]:
     return x, y, max(b for _, _, b in runs) - x, runs[-1][0] - y + 1, sum(b - a for _, a, b in runs)
 
 
-def components(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    return [bounds(r) for r in regions(mask)]
-
-
 def hull_area(runs: list[tuple[int, int, int]]) -> float:
     """Area of the convex hull of a region's pixel centres."""
     points = sorted({(x, y) for y, a, b in runs for x in (a, b - 1)})
@@ -215,55 +211,6 @@ def detect(image: np.ndarray) -> list[tuple[int, int, int, int, float]]:
     return out
 
 
-def shadow_of(image: np.ndarray, box: tuple[float, float, float, float]) -> tuple[bool, int, int, float | None]:
-    """(valid, first row, row after the last, evidence) of the shadow below a box; evidence null where none can be assessed.
-
-    The background is what lies outside a margin around the box, or all but that if it has fewer than 200 pixels. Below the box, over
-    at most four heights, the shadow begins where a row falls below mean - 0.75 deviations and lasts while rows stay below mean - 1.5.
-    """
-    height, width = image.shape
-    x, y, w, h = map(int, box)
-    x0, x1, y0, y1 = max(0, x), min(width, x + w), max(0, y), min(height, y + h)
-    if x1 <= x0 or y1 <= y0:
-        return False, 0, 0, None
-    pad = max(4, int(0.5 * max(w, h)))
-    outside = np.ones(image.shape, bool)
-    outside[max(0, y0 - pad) : min(height, y1 + pad), max(0, x0 - pad) : min(width, x1 + pad)] = False
-    back = image[outside] if outside.sum() >= 200 else image[~outside]
-    mean, sd = float(back.mean()), float(back.std()) + 1e-6
-    top = min(height, y + h)
-    below = image[top : min(height, top + max(8, int(4 * h))), x0:x1]
-    if not below.size:
-        return False, 0, 0, None
-    profile = below.mean(1)
-    start = next((i for i, v in enumerate(profile) if v < mean - SHADOW_START_FACTOR * sd), len(profile))
-    end = next((i for i in range(start, len(profile)) if profile[i] >= mean - SHADOW_STD_FACTOR * sd), len(profile))
-    run = below[start:end]
-    wide = end > start and int(((run < run.mean()).mean(0) > 0.5).sum()) >= MIN_WIDTH_FRAC * w
-    valid = start <= MAX_START_GAP_PX and end - start >= 2 and wide
-    return valid, y1 + start, y1 + end, 0.5 + 0.4 * min(1.0, (end - start) / max(0.5 * h, 1.0)) if valid else 0.0
-
-
-def shadows(images: DataFrame, detections: DataFrame) -> DataFrame:
-    """(image_id, detection_id, shadow_valid, shadow_start, shadow_end, shadow) of each box of (image_id, detection_id, x, y, w, h).
-
-    images: (image_id, data, height, width), 8-bit grey. The boxes of an image join its row as one array. A detection without an
-    image gives no row, one whose shadow cannot be assessed a null shadow.
-    """
-    boxes = detections.groupBy("image_id").agg(F.collect_list(F.struct("detection_id", *[F.col(c).cast("double").alias(c) for c in "xywh"])).alias("boxes"))
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            found = []
-            for r in rows.itertuples():
-                image = grey(r.data, r.height, r.width)
-                found += [(r.image_id, b["detection_id"], *shadow_of(image, (b["x"], b["y"], b["w"], b["h"]))) for b in r.boxes]
-            yield pd.DataFrame(found, columns=["image_id", "detection_id", "shadow_valid", "shadow_start", "shadow_end", "shadow"])
-
-    kind = detections.schema["detection_id"].dataType.simpleString()
-    return images.join(boxes, "image_id").select("image_id", "data", "height", "width", "boxes").mapInPandas(work, f"image_id long, detection_id {kind}, shadow_valid boolean, shadow_start long, shadow_end long, shadow double")
-
-
 def detect_images(images: DataFrame) -> DataFrame:
     """Blobs of (image_id, data, height, width) rows, data 8-bit grey; images without a blob give no row."""
 

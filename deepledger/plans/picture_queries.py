@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from deepledger.operators import images as I
 from deepledger.operators import pictures as P
+from deepledger.operators import regions as R
 from deepledger.plans.model_queries import PIXELS
+from deepledger.plans.region_oracles import BOX_SHADOWS, BOX_STATISTICS, MASK_BOXES, MASK_LEVEL, TALL
 from deepledger.sources import adapters as A
 
 #: Pictures made of vectors have 8 rows; their tiles are as high and overlap by a quarter.
@@ -50,7 +52,32 @@ def artificial_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("image_id", "detection_id", P.artificial(parts, F.col("anomaly")).alias("p_features"), P.softmax_artificial(F.col("w") / 10, F.col("h") / 10).alias("p_logits"))
 
 
-QUERIES = {f.__name__: f for f in (picture_stretch, picture_range_gain, picture_ground_rows, tiled_average, crop_boxes, artificial_scores)}
+def _tall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.pixels_of(A.read(spark, sf_dir, "embeddings"), TALL)
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of every detection, in the pictures in turn; some reach beyond the border."""
+    pictures = A.read(spark, sf_dir, "embeddings").agg(F.floor(F.max("vec_id") / TALL) + 1).first()[0]
+    d = A.detections(spark, sf_dir)
+    part = lambda c, of, least: (F.col(c).cast("long") % of + least).alias(c)
+    return d.select((F.col("image_id") % F.lit(pictures)).alias("image_id"), F.col("detection_id").alias("box"), part("x", TALL, -3), part("y", TALL, -3), part("w", 7, 1), part("h", 9, 1))
+
+
+def mask_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.mask_boxes(_tall(spark, sf_dir).where(F.col("v") > MASK_LEVEL))
+
+
+def box_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.box_statistics(_tall(spark, sf_dir), _boxes(spark, sf_dir)).select("image_id", "box", "n", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
+
+
+def box_shadows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = R.box_shadows(_tall(spark, sf_dir), _boxes(spark, sf_dir), A.frames(spark, sf_dir))
+    return out.withColumn("evidence", F.round("evidence", 6))
+
+
+QUERIES = {f.__name__: f for f in (mask_boxes, box_statistics, box_shadows, picture_stretch, picture_range_gain, picture_ground_rows, tiled_average, crop_boxes, artificial_scores)}
 
 _META = f"""{A.FRAMES}, {PIXELS}, m as (select p.*, max("row") over (partition by image_id)::double as last, range_m, altitude_m from pixels p left join frames using (image_id))"""
 
@@ -62,6 +89,7 @@ def _ground(slant: str) -> str:
 _LAST = _ground("greatest(range_m, 1.0::double)")
 
 ORACLES = {
+    "mask_boxes": MASK_BOXES, "box_statistics": BOX_STATISTICS, "box_shadows": BOX_SHADOWS,
     "picture_stretch": f"""with {PIXELS}, s as (select image_id, quantile_cont(v, 0.01) as lo, quantile_cont(v, 0.99) as hi from pixels group by 1)
         select image_id, "row", col, case when hi > lo then floor(round(greatest(0.0::double, least(255.0::double, (v - lo) * 255 / (hi - lo))), 6))::int else 0 end as v from pixels join s using (image_id)""",
     "picture_range_gain": f"""with {_META}, g as (select *, {_ground('greatest(range_m, 1.0::double) * "row" / greatest(last, 1)')} / greatest({_LAST}, 1e-6::double) as share from m)

@@ -162,4 +162,4 @@ def test_image_kernels(spark):
     anomaly = images.patch_anomaly(frame, least=20).where("image_id = 1").collect()
     hot = max(anomaly, key=lambda r: r["score"])
     assert len(anomaly) == 48 and 16 <= hot["row"] <= 48 and 32 <= hot["col"] <= 80
-    assert images.components(np.array([[1, 0, 0], [0, 1, 0], [0, 0, 0], [1, 1, 0]], bool)) == [(0, 0, 2, 2, 2), (0, 3, 2, 1, 2)]
+    assert [images.bounds(r) for r in images.regions(np.array([[1, 0, 0], [0, 1, 0], [0, 0, 0], [1, 1, 0]], bool))] == [(0, 0, 2, 2, 2), (0, 3, 2, 1, 2)]

@@ -8,28 +8,6 @@ from deepledger.operators import images
 from deepledger.sources import files, sinks
 
 
-def shadow_scene():
-    image = np.full((200, 200), 100.0)
-    image[60:100, 80:120], image[100:140, 82:118] = 220, 25
-    return np.clip(image + np.random.default_rng(0).normal(0, 3, image.shape).astype(int), 0, 255)
-
-
-def test_shadow_below_an_object():
-    image, flat = shadow_scene(), np.full((200, 200), 100.0)
-    flat[60:100, 80:120] = 220
-    valid, start, end, evidence = images.shadow_of(image, (80, 60, 40, 40))
-    assert valid and start == 100 and 138 <= end <= 141 and evidence == pytest.approx(0.9)
-    assert images.shadow_of(flat, (80, 60, 40, 40))[0] is False and images.shadow_of(flat, (80, 60, 40, 40))[3] == 0.0
-    assert images.shadow_of(flat, (300, 0, 5, 5))[3] is None and images.shadow_of(flat, (80, 160, 40, 40))[3] is None
-
-
-def test_shadows_of_a_table(spark):
-    scene = spark.createDataFrame([(1, shadow_scene().astype(np.uint8).tobytes(), 200, 200), (2, bytes(40_000), 200, 200)], "image_id long, data binary, height int, width int")
-    boxes = spark.createDataFrame([(1, "a", 80.0, 60.0, 40.0, 40.0), (1, "b", 10.0, 10.0, 20.0, 20.0), (9, "c", 0.0, 0.0, 1.0, 1.0)], "image_id long, detection_id string, x double, y double, w double, h double")
-    assert {r["detection_id"]: r["shadow_valid"] for r in images.shadows(scene, boxes).collect()} == {"a": True, "b": False}
-    assert images.shadows(scene, boxes.limit(0)).count() == 0
-
-
 def test_detector_finds_a_blob_and_nothing_in_noise():
     image = np.random.default_rng(11).integers(0, 41, (96, 128)).astype(float)
     assert images.detect(image) == []
