@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from deepledger.operators import evaluation as E
 from deepledger.plans import model_queries as M
 from deepledger.sources import adapters as A
+from deepledger.sources.navigation_source import read_navigation_files
 from deepledger.sources.sinks import write_documents
 from deepledger.sources.store import Change, Store, shared_folder
 
@@ -54,9 +55,27 @@ def evaluation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(", ".join(f"{c} {kinds.get(c, 'long')}" for c in E.SET_FIELDS)).json(path)
 
 
-QUERIES = {f.__name__: f for f in (published_surveys, updated_links, evaluation_documents)}
+def navigation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fixes, written as CSV files of two headers, as lines of GeoJSON and as CSV without an extension that tells so, and read back from one folder."""
+    path = shared_folder(spark, "navigation")
+    when = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    fixes = A.navigation(spark, sf_dir).select("survey_id", when.alias("ts"), "lat", "lon", "heading_deg", "altitude_m", F.concat_ws(":", "survey_id", "fix_id").alias("source"))
+    of = lambda k: fixes.where(F.col("survey_id") % 4 == k).drop("survey_id")
+    of(0).withColumnsRenamed({"ts": "UTC", "lat": "Latitude", "lon": "lng", "altitude_m": "depth"}).write.csv(f"{path}/a", header=True)
+    of(1).select("source", "altitude_m", "heading_deg", "lon", "lat", F.col("ts").alias("time")).write.option("extension", "txt").csv(f"{path}/b", header=True)
+    point = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry")
+    props = F.struct(F.col("ts").alias("time"), F.col("heading_deg").alias("Heading"), F.col("altitude_m").alias("alt"), "source").alias("properties")
+    of(2).select(F.lit("Feature").alias("type"), point, props).write.json(f"{path}/c")
+    of(3).withColumnRenamed("ts", "iso_time").write.option("extension", "dat").csv(f"{path}/d", header=True)
+    read = read_navigation_files(spark, path).where("position is not null")
+    return read.select("source", "format", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "latitude", "longitude", "heading_deg", "altitude_m")
+
+
+QUERIES = {f.__name__: f for f in (published_surveys, updated_links, evaluation_documents, navigation_files)}
 
 ORACLES = {
+    "navigation_files": f"""with {A.NAVIGATION} select survey_id || ':' || fix_id as source, case when survey_id % 4 = 2 then 'geojson' else 'csv' end as format, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts,
+        lat as latitude, lon as longitude, heading_deg, altitude_m from navigation""",
     "published_surveys": f"""with {A.DETECTIONS}, {A.NAVIGATION},
         d as (select survey_id, count(*) as before, count(*) filter (survey_id % 5 <> 0 or class_confidence >= 0.5) as n,
             round(sum(class_confidence + (survey_id % 5 = 0)::int) filter (survey_id % 5 <> 0 or class_confidence >= 0.5), 3) as total from detections group by 1),

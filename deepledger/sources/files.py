@@ -49,11 +49,12 @@ def to_wgs84(x: Column, y: Column, crs: Column) -> Column:
     return F.when(plain, same).when(zone.between(1, 60), utm_inverse(x, y, zone, south))
 
 
-def _record(rows: DataFrame, fields: dict[str, Column]) -> DataFrame:
+def _record(rows: DataFrame, fields: dict[str, Column], also: tuple = ()) -> DataFrame:
     get = lambda k: fields.get(k, F.lit(None).cast("string"))
-    spot = to_wgs84(number(get("longitude")), number(get("latitude")), get("crs"))
     when = fields.get("ts_value", F.lit(None).cast("timestamp"))
-    return rows.select(F.coalesce(when, timestamp(get("ts"))).alias("ts"), spot["lat"].alias("latitude"), spot["lon"].alias("longitude"), *[number(get(k)).alias(k) for k in NUMBERS], F.nullif(F.trim(get("source")), F.lit("")).alias("source"))
+    flat = rows.select(*also, F.coalesce(when, timestamp(get("ts"))).alias("ts"), number(get("longitude")).alias("_x"), number(get("latitude")).alias("_y"), get("crs").alias("_crs"), *[number(get(k)).alias(k) for k in NUMBERS], F.nullif(F.trim(get("source")), F.lit("")).alias("source"))
+    spot = flat.withColumn("_spot", to_wgs84(F.col("_x"), F.col("_y"), F.col("_crs")))  # in steps of their own, so that the long series is generated once
+    return spot.select(*also, "ts", F.col("_spot.lat").alias("latitude"), F.col("_spot.lon").alias("longitude"), *NUMBERS, "source")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
