@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -14,16 +13,14 @@ from pyspark.sql.types import StructField, StructType
 
 from deepledger.llm.common import BROADCAST_ROWS, GOLDEN, cut, hash_spans, join_counted, mix64, scratch, slices, spans_of, text_bytes
 
-#: Bits of a symbol in a packed n-gram, the symbol before a text, and the one for characters that training has not seen.
-BITS = 21
-START, UNKNOWN = 0x1FFFFE, 0x1FFFFF
-LOW, MID = (1 << BITS) - 1, (1 << 2 * BITS) - 1
+#: What stands before a text in the place of a word's hash.
+START = 0x1FFFFE
 #: The language of the model for rows whose own has none: all trusted text together.
 ANY = ""
 #: Of the trusted texts one in so many, by a hash of the text, sets the thresholds and trains nothing.
 FOLDS = 10
-#: Held-out texts of a language below which their largest value, beyond which one in as many and one more of clean texts lie, is no estimate of the quantile.
-FEW = 20
+#: Held-out texts that a language needs for a model and a quantile of its own.
+LEAST_HELD = 20
 #: Multipliers of the words of a trigram and of the number of its text, to find the distinct ones of a slice.
 _MIX = mix64(np.arange(101, 105, dtype=np.uint64) * np.uint64(GOLDEN)) | np.uint64(1)
 GRAM = "a long, b long, c long, n long"
@@ -79,45 +76,6 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(work, f"lang string, {GRAM}").groupBy("lang", "a", "b", "c").agg(F.sum("n").alias("n"))
 
 
-def _symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Code points with white space as one blank, two START before each text; offsets of each text's first START."""
-    texts = [t or "" for t in column.to_pylist()]
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    points[((points >= 9) & (points <= 13)) | (points == 0xA0)] = 32
-    sizes = np.array([len(t) for t in texts], np.int64)
-    begin = np.concatenate([[0], np.cumsum(sizes)])
-    out = np.full(len(points) + 2 * len(texts), START, np.int64)
-    out[np.arange(len(points)) + 2 * np.repeat(np.arange(1, len(texts) + 1), sizes)] = points
-    return out, begin + 2 * np.arange(len(texts) + 1)
-
-
-def _trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The packed trigram that ends at each character, and each text's offsets among them."""
-    s, at = _symbols(column)
-    if len(s) < 3:
-        return np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    codes = s[:-2] << 2 * BITS | s[1:-1] << BITS | s[2:]
-    return codes[s[2:] != START] if len(at) > 1 else codes, at - 2 * np.arange(len(at))
-
-
-def trigram_counts(texts: DataFrame) -> DataFrame:
-    """(lang, gram, n) of all rows of (lang, text), for each language and for ANY; each task sums what it reads before the shuffle."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs = np.array(batch["lang"].to_pylist(), object)
-            for lang in dict.fromkeys(langs):
-                own = batch["text"].take(pa.array(np.flatnonzero(langs == lang)))
-                for a, b in slices(own):
-                    grams, n = np.unique(_trigrams(own.slice(a, b - a))[0], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
-
-    rows = texts.where("text is not null").select(F.coalesce("lang", F.lit(ANY)).alias("lang"), "text").mapInArrow(work, "lang string, gram long, n long")
-    own = rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    both = own.where(F.col("lang") != ANY).unionByName(own.withColumn("lang", F.lit(ANY)))
-    return both.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
 def _discounts(counts: DataFrame) -> DataFrame:
     """(lang, d1, d2, d3): what modified Kneser-Ney takes off counts of 1, 2 and more, from the counts of counts."""
     t = counts.groupBy("lang").agg(*[F.count_if(F.col("n") == k).cast("double").alias(f"t{k}") for k in (1, 2, 3, 4)])
@@ -162,66 +120,16 @@ def _stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(lang, level, gram, p, g) of packed trigrams (lang, gram, n): level 3, 2 and 1 hold p, levels -2, -1 and 0 hold g of `_levels`."""
-    up = lambda c, k: F.shiftleft(c, k * BITS)
-    three = counts.select("lang", F.shiftrightunsigned("gram", 2 * BITS).alias("a"), F.shiftrightunsigned("gram", BITS).bitwiseAND(LOW).alias("b"), F.col("gram").bitwiseAND(LOW).alias("c"), "n")
-    p3, p2, p1, g2, g1, g0 = _levels(three)
-    a, b, c, none = F.col("a"), F.col("b"), F.col("c"), F.lit(None).cast("double")
-    out = None
-    for table, k, gram in ((p3, 3, up(a, 2).bitwiseOR(up(b, 1)).bitwiseOR(c)), (p2, 2, up(b, 1).bitwiseOR(c)), (p1, 1, c), (g2, -2, up(a, 1).bitwiseOR(b)), (g1, -1, b), (g0, 0, F.lit(0).cast("long"))):
-        rows = table.select("lang", F.lit(k).alias("level"), gram.alias("gram"), F.col("p") if k > 0 else none.alias("p"), F.col("g") if k <= 0 else none.alias("g"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-class Scorer:
-    """-log p of trigrams in one language, from the rows of `kneser_ney`."""
-
-    DENSE = 1 << 22
-
-    def __init__(self, level: np.ndarray, gram: np.ndarray, p: np.ndarray, g: np.ndarray):
-        of = lambda k, v: (lambda order: (gram[level == k][order], v[level == k][order]))(np.argsort(gram[level == k]))
-        self.p3, self.p2, self.p1 = of(3, p), of(2, p), of(1, p)
-        self.g2, self.g1, self.g0 = of(-2, g), of(-1, g), float(g[level == 0][0])
-        self.symbols = np.concatenate([self.p1[0], [START, UNKNOWN]])
-        n = len(self.symbols)
-        self.number = np.full(1 << BITS, n - 1, np.int32)
-        self.number[self.symbols] = np.arange(n)
-        self.table = None
-        if n**3 <= self.DENSE:
-            every = [self.symbols[x] for x in np.unravel_index(np.arange(n**3), (n, n, n))]
-            self.table = self.direct(every[0] << 2 * BITS | every[1] << BITS | every[2]).astype(np.float32)
-
-    @staticmethod
-    def find(pairs: tuple[np.ndarray, np.ndarray], keys: np.ndarray, missing) -> np.ndarray:
-        names, values = pairs
-        if not len(names):
-            return np.broadcast_to(missing, keys.shape)
-        at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
-        return np.where(names[at] == keys, values[at], missing)
-
-    def direct(self, codes: np.ndarray) -> np.ndarray:
-        p1 = self.find(self.p1, codes & LOW, self.g0)
-        p2 = self.find(self.p2, codes & MID, self.find(self.g1, codes >> BITS & LOW, 1.0) * p1)
-        return -np.log(self.find(self.p3, codes, self.find(self.g2, codes >> BITS, 1.0) * p2))
-
-    def __call__(self, codes: np.ndarray) -> np.ndarray:
-        if self.table is None:
-            return self.direct(codes)
-        n, num = len(self.symbols), self.number
-        return self.table[(num[codes >> 2 * BITS].astype(np.int64) * n + num[codes >> BITS & LOW]) * n + num[codes & LOW]]
-
-
 def _scored(docs: DataFrame, model: tuple[DataFrame, ...], model_rows: int) -> DataFrame:
-    """docs (text, _model and others) without text, with _nll and _n: the sum of -log p over the words of each text, and their number.
+    """docs (doc_id, text, _model and others) without text, with _nll and _n: the sum of -log p over the words of each text, and their number.
 
-    The trigrams of each document, counted first, are joined to the shards of the model by language (hashed into the words) and
+    A text is known by doc_id and a hash of its row, so that a task that runs again names it alike; equal rows are summed
+    together, which leaves their _nll / _n as it is, and told apart again by their number. The trigrams of each document, counted first, are joined to the shards of the model by language (hashed into the words) and
     n-gram. Of the tables of the model only those of at most model_rows rows are broadcast.
     """
     keep = [c for c in docs.columns if c != "text"]
     fields = [docs.schema[c] for c in keep]
-    names = [*keep, "_row", "a", "b", "c", "n"]
+    names = [*keep, "_row", "a", "b", "c", "n", "_times"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,15 +137,16 @@ def _scored(docs: DataFrame, model: tuple[DataFrame, ...], model_rows: int) -> D
                 part = batch.slice(lo, hi - lo)
                 rows = part["_row"].to_numpy()
                 text, *grams = _word_trigrams(part["text"], part["_model"].to_pylist(), True)
-                blank = [pa.nulls(len(text), batch[c].type) for c in keep]
-                yield pa.RecordBatch.from_arrays([*blank, pa.array(rows[text]), *map(pa.array, grams)], names=names)
+                own = [part[c].take(pa.array(text)) if c == "doc_id" else pa.nulls(len(text), batch[c].type) for c in keep]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(rows[text]), *map(pa.array, grams), pa.array(np.zeros(len(text), np.int64))], names=names)
                 # a row of no words carries the other columns; its keys, spread, are in no model
-                spread = pa.array(mix64(rows.astype(np.uint64)).view(np.int64))
-                yield pa.RecordBatch.from_arrays([*[part[c] for c in keep], part["_row"], spread, spread, spread, pa.array(np.zeros(len(rows), np.int64))], names=names)
+                spread = pa.array(mix64(rows.view(np.uint64)).view(np.int64))
+                none, one = (pa.array(np.full(len(rows), x, np.int64)) for x in (0, 1))
+                yield pa.RecordBatch.from_arrays([*[part[c] for c in keep], part["_row"], spread, spread, spread, none, one], names=names)
 
     p3, p2, p1, g2, g1, g0 = model
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    schema = StructType([StructField(f.name, f.dataType) for f in fields] + StructType.fromDDL(f"_row long, {GRAM}").fields)
+    rows = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    schema = StructType([StructField(f.name, f.dataType) for f in fields] + StructType.fromDDL(f"_row long, {GRAM}, _times long").fields)
     grams = rows.mapInArrow(count, schema)
     for shard, keys, name, value in ((p3, ["a", "b", "c"], "p3", "p"), (g2, ["a", "b"], "g2", "g"), (p2, ["b", "c"], "p2", "p"), (g1, ["b"], "g1", "g"), (p1, ["c"], "p1", "p")):
         shard = shard.select(*keys, F.col(value).alias(name))
@@ -245,19 +154,20 @@ def _scored(docs: DataFrame, model: tuple[DataFrame, ...], model_rows: int) -> D
     one, n = F.lit(1.0), F.col("n")
     p = F.coalesce("p3", F.coalesce("g2", one) * F.coalesce("p2", F.coalesce("g1", one) * F.coalesce("p1", one)))
     unknown = F.when(F.coalesce("p3", "p2", "p1").isNull(), n).otherwise(0)
-    sums = grams.groupBy("_row").agg(*[F.max(c).alias(c) for c in keep], F.sum(-F.log(p) * n).alias("_nll"), F.sum(unknown).alias("_unknown"), F.sum("n").alias("_n"))
+    others = [F.max(c).alias(c) for c in keep if c != "doc_id"]
+    sums = grams.groupBy("doc_id", "_row").agg(*others, F.sum(-F.log(p) * n).alias("_nll"), F.sum(unknown).alias("_unknown"), F.sum("n").alias("_n"), F.sum("_times").alias("_times"))
+    sums = sums.withColumn("_times", F.explode(F.sequence(F.lit(1).cast("long"), "_times")))
     sums = sums.join(F.broadcast(g0.select(F.col("lang").alias("_model"), "g")), "_model", "left")
     return sums.select(*keep, (F.col("_nll") - F.when(F.col("_unknown") > 0, F.col("_unknown") * F.log("g")).otherwise(0.0)).alias("_nll"), "_n")
 
 
-def score_quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, model_rows: int = BROADCAST_ROWS) -> DataFrame:
+def score_quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, model_rows: int = BROADCAST_ROWS, least_held: int = LEAST_HELD) -> DataFrame:
     """(doc_id, lang, perplexity, threshold, keep) for every row of docs (doc_id, text, lang).
 
     trusted: (doc_id) of the documents whose text trains the model of words and sets the thresholds. One text in FOLDS of them is
     held out: all of these are scored, none trains, and the threshold of each language is the given quantile of their negative
-    log-likelihood per word (in steps of 0.001, so that sums of steps, not of documents, are gathered). With less than FEW
-    of them it is that of a normal distribution of their mean and deviation, or the largest if that is more.
-    A language without trusted text to train on or less than two to hold out, and null, uses the model and threshold of all.
+    log-likelihood per word (in steps of 0.001, so that sums of steps, not of documents, are gathered).
+    A language without trusted text to train on or with less than least_held texts held out, and null, uses the model and threshold of all.
     Texts without words, null ones too, and all texts if there is no threshold: kept; perplexity null without words or model. Rows
     with null doc_id train nothing but are scored. Repeated rows score alike. Other columns are left out. No rows: no rows.
     """
@@ -268,7 +178,7 @@ def score_quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995,
     texts = texts.select("doc_id", "text", "lang", fold.alias("_held"))
     train = texts.where("not _held").select("lang", "text")
     counts = _stored(word_counts(train.where(F.col("lang") != ANY)))
-    apart = {r["lang"] for r in texts.where("_held").groupBy("lang").count().where("count > 1").collect()}  # languages
+    apart = {r["lang"] for r in texts.where("_held").groupBy("lang").count().where(F.col("count") >= least_held).collect()}  # languages
     known = [r["lang"] for r in counts.select("lang").distinct().collect() if r["lang"] in apart]
     own = F.coalesce(F.col("lang").isin(known), F.lit(False))
     rows = texts.withColumn("_model", F.when(own, F.col("lang")).otherwise(F.lit(ANY))).withColumn("_only", F.lit(False))
@@ -283,8 +193,5 @@ def score_quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995,
     whole = Window.partitionBy("_model")
     cumulative = steps.withColumns({"c": F.sum("k").over(whole.orderBy("step")), "t": F.sum("k").over(whole)})
     limits = cumulative.where(F.col("c") >= quantile * F.col("t")).groupBy("_model").agg((F.min("step") / 1000).alias("limit"))  # a row for each language
-    spread = held.groupBy("_model").agg(F.count("*").alias("t"), (F.avg("nll") + (NormalDist().inv_cdf(quantile) if 0 < quantile < 1 else 0.0) * F.stddev_samp("nll")).alias("normal"))
-    limit = F.when(F.col("t") < FEW, F.greatest("limit", "normal")).otherwise(F.col("limit"))
-    limits = limits.join(spread, "_model").where("t > 1").select("_model", limit.alias("limit"))
     out = scored.where("not _only").join(F.broadcast(limits), "_model", "left")
     return out.select("doc_id", "lang", F.exp("nll").alias("perplexity"), F.exp("limit").alias("threshold"), F.coalesce(F.col("nll") <= F.col("limit"), F.lit(True)).alias("keep"))

@@ -274,16 +274,28 @@ def test_quality(spark):
     assert quality.score_quality(docs.limit(0), trusted).count() == 0
 
 
-def test_kneser_ney_sums_to_one(spark):
-    texts = docs_of(spark, ["abracadabra abra cadabra", "a cab ran a bar", "baa baa"] * 2).withColumn("lang", F.lit("en"))
-    model = quality.kneser_ney(quality.trigram_counts(texts.select("lang", "text"))).where("lang = 'en'").toPandas()
-    s = quality.Scorer(*[model[c].to_numpy() for c in ("level", "gram", "p", "g")])
-    letters = s.p1[0]
-    for a in letters[:4]:
-        for b in letters[:4]:
-            seen = np.exp(-s.direct(np.array([a << 42 | b << 21 | c for c in letters]))).sum()
-            unseen = np.exp(-s.direct(np.array([a << 42 | b << 21 | quality.UNKNOWN])))[0]
-            assert seen + unseen == pytest.approx(1.0)
+def test_quality_probabilities_sum_to_one(spark):
+    texts = ["the cat sat", "the cat ran", "a dog sat", "the dog"] * 3
+    counts = quality.word_counts(spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")).persist()
+    p3, p2, p1, g2, g1, g0 = (t.collect() for t in quality._levels(counts))
+    unseen = g0[0]["g"]
+    one = {x["c"]: x["p"] for x in p1}
+    assert sum(one.values()) + unseen == pytest.approx(1.0)
+    two, left = {(x["b"], x["c"]): x["p"] for x in p2}, {x["b"]: x["g"] for x in g1}
+    for b in left:
+        assert sum(two.get((b, c), left[b] * one[c]) for c in one) + left[b] * unseen == pytest.approx(1.0)
+    three, rest = {(x["a"], x["b"], x["c"]): x["p"] for x in p3}, {(x["a"], x["b"]): x["g"] for x in g2}
+    for a, b in rest:
+        shorter = {c: two.get((b, c), left.get(b, 1.0) * one[c]) for c in one}
+        assert sum(three.get((a, b, c), rest[a, b] * shorter[c]) for c in one) + rest[a, b] * left.get(b, 1.0) * unseen == pytest.approx(1.0)
+
+
+def test_quality_of_repeated_rows(spark):
+    docs = docs_of(spark, [" ".join(words(30, i)) for i in range(60)])
+    more = docs.union(docs.where("doc_id < 5")).union(spark.sql("select cast(null as long), 'the same'")).union(spark.sql("select cast(null as long), 'the same'")) if docs.columns == ["doc_id", "text"] else docs.union(docs.where("doc_id < 5"))
+    got = [(x["doc_id"], x["perplexity"]) for x in quality.score_quality(more, docs.select("doc_id"), least_held=2).collect()]
+    assert sorted(x for x, _ in got if x is not None) == sorted([*range(60), *range(5)])
+    assert all(len({p for i, p in got if i == d}) == 1 for d in range(5))
 
 
 def test_quality_rejects_repeated_words(spark):
@@ -356,27 +368,25 @@ def test_quality_against_brute_force(spark):
     names = {"en": ["the", "cat", "The", "sat", ".", "mat", "a1"], "de": ["der", "hund", "Über", "und", ",", "!!"]}
     rows = []
     for i in range(330):
-        lang = ("en", "de", None)[i % 3] if i % 50 else "fr"
+        lang = ("en", "de", None)[i % 3] if i % 19 else "fr"
         own = names.get(lang, names["en"] + names["de"])
         w = [own[min(int(r.expovariate(0.6)), len(own) - 1)] for _ in range(r.randint(1, 30))]
         w = [x for i, x in enumerate(w) if not i or not {x, w[i - 1]} <= {".", ",", "!!"}]  # which would be one word
         rows.append((i, w + ["new"] * (i % 17 == 0), lang))
     rows += [(330, ["cat"] * 50, "en"), (331, ["hund"] * 50, "de"), (332, ["lya"] * 50, None), (333, [], "en"), (334, ["Über", "cat"] * 9, "xx"), (None, ["the"], "en")]
     docs = spark.createDataFrame([(i, " ".join(w), lang) for i, w, lang in rows], "doc_id long, text string, lang string").repartition(3)
-    got = {x["doc_id"]: x for x in quality.score_quality(docs, spark.range(300).withColumnRenamed("id", "doc_id"), quantile=0.9).collect()}
+    got = {x["doc_id"]: x for x in quality.score_quality(docs, spark.range(300).withColumnRenamed("id", "doc_id"), quantile=0.9, least_held=5).collect()}
     fold = lambda w: zlib.crc32(" ".join(w).encode()) % quality.FOLDS == 0
     seen = [x for x in rows if x[0] is not None and x[0] < 300]
     held = {m: [w for _, w, lang in seen if fold(w) and m in (lang, "")] for m in ("en", "de", "fr", "")}
-    known = {m for m in ("en", "de", "fr") if len(held[m]) > 1 and any(lang == m and not fold(w) for _, w, lang in seen)}
+    known = {m for m in ("en", "de", "fr") if len(held[m]) >= 5 and any(lang == m and not fold(w) for _, w, lang in seen)}
     score, limit = {}, {}
     for m in known | {""}:
         score[m] = plain_kneser_ney([w for _, w, lang in seen if not fold(w) and m in (lang, "")])
         nll = [score[m](w) / len(w) for w in held[m]]
         steps = sorted(np.ceil(x * 1000) for x in nll)
         limit[m] = next(x for k, x in enumerate(steps) if k + 1 >= 0.9 * len(steps)) / 1000
-        if len(nll) < quality.FEW:
-            limit[m] = max(limit[m], np.mean(nll) + 1.2815515655446004 * np.std(nll, ddof=1))
-    assert {"en", "de"} <= known and len(held[""]) >= quality.FEW and len(got) == len(rows)
+    assert {"en", "de"} <= known and held["fr"] and "fr" not in known and len(got) == len(rows)
     for i, w, lang in rows:
         m = lang if lang in known else ""
         assert np.log(got[i]["threshold"]) == pytest.approx(limit[m], abs=1e-9)
