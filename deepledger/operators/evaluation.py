@@ -207,19 +207,3 @@ def label_faults(lines: DataFrame, classes: int = 4) -> DataFrame:
     cid = F.get(f, F.lit(0)).try_cast("int")
     fault = F.when(F.size(f) != 5, "field count").when(cid.isNull() | (cid < 0) | (cid >= classes), "class id").when(outside, "coordinate range")
     return lines.withColumn("fault", fault).where("fault is not null")
-
-
-def fit_fusion(rows: DataFrame, names: list[str], epochs: int = 400, rate: float = 0.5) -> dict[str, float]:
-    """Logistic fusion weights, gain and intercept by batch gradient steps on squared error; each epoch is one distributed sum."""
-    w, gain, bias = np.full(len(names), 1 / len(names)), 3.0, -0.5
-    data = rows.select(*names, "label").persist()
-    for _ in range(epochs):
-        used = sum((F.when(F.col(c).isNotNull(), float(abs(x))).otherwise(0.0) for c, x in zip(names, w)), F.lit(0.0))
-        mean = sum((F.coalesce(F.col(c), F.lit(0.0)) * float(abs(x)) for c, x in zip(names, w)), F.lit(0.0)) / F.greatest(used, F.lit(1e-9))
-        p = 1 / (1 + F.exp(-gain * (bias + mean)))
-        g = (p - F.col("label")) * p * (1 - p)
-        parts = [F.avg(g * gain * F.when(F.col(c).isNotNull(), (F.col(c) - mean) / F.greatest(used, F.lit(1e-9))).otherwise(0.0)) for c in names]
-        r = data.agg(*parts, F.avg(g * (bias + mean)), F.avg(g * gain)).first()
-        w, gain, bias = np.maximum(1e-3, w - rate * np.array(r[: len(names)], float)), gain - rate * r[-2], bias - rate * r[-1]
-    data.unpersist()
-    return dict(zip(names, (w / w.sum()).tolist())) | {"gain": gain, "intercept": bias}

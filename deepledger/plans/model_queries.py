@@ -10,6 +10,7 @@ from deepledger.functions import text as T
 from deepledger.operators import association as X
 from deepledger.operators import detections as D
 from deepledger.operators import evaluation as E
+from deepledger.operators import fitting
 from deepledger.operators import images as I
 from deepledger.plans import oracles as S
 from deepledger.sources import adapters as A
@@ -66,6 +67,13 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.threshold_sweep(_scored(spark, sf_dir))
 
 
+def fusion_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fusion weights, intercept and gain fitted to all detections, of which those count as confirmed whose class confidence and natural score reach 1 together."""
+    d = A.detections(spark, sf_dir).withColumn("label", (F.col("class_confidence") + F.col("natural") >= 1).cast("double"))
+    found = fitting.fit_fusion(d.select(*[v.alias(k) for k, v in D.signals(d).items()], "label"))
+    return spark.createDataFrame([(k, round(v, 6)) for k, v in found.items()], "parameter string, value double")
+
+
 def dice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = I.pixels_of(A.read(spark, sf_dir, "embeddings"))
     return E.dice(p.select("image_id", (F.col("v") > 128).cast("int").alias("predicted"), ((F.col("v") + F.col("row")) > 131).cast("int").alias("truth")))
@@ -145,11 +153,21 @@ def class_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        association_fold, association_summary, greedy_match_prf, nms, calibration_bins, expected_calibration_error, roc_auc, threshold_sweep, dice_scores, site_split, split_report, yolo_export,
+        association_fold, association_summary, greedy_match_prf, nms, calibration_bins, expected_calibration_error, roc_auc, threshold_sweep, fusion_fit, dice_scores, site_split, split_report, yolo_export,
         label_census, label_purity, label_image_check, image_quality, shadow_run, sparse_bright, anomaly_score, telemetry_fields, class_mapping,
     )
 }
 
+_FITTED = {f"w_{k}": v for k, v in S.SIGNALS.items() if k != "consistency"}  # which these rows do not have, so that its weight stays 0
+_LINEAR = "(f.intercept + " + " + ".join(f"f.{k} * s.{k}" for k in _FITTED) + ")"
+#: All steps as a recursion over the different rows, each with its frequency.
+_FIT = f"""with recursive {A.DETECTIONS}, signals as (select {", ".join(f"coalesce(({v})::double, 0) as {k}" for k, v in _FITTED.items())}, (class_confidence + natural_ >= 1)::int::double as label, count(*)::double as times from detections group by all),
+    rows_ as (select sum(times) as n from signals),
+    fit as (select 0 as step, {", ".join(f"0::double as {k}" for k in _FITTED)}, 0::double as intercept, 1::double as gain
+        union all select step + 1, {", ".join(f"{k} - 0.5::double * d_{k} / n" for k in _FITTED)}, intercept - 0.5::double * d_intercept / n, gain - 0.5::double * d_gain / n
+        from (select step, {", ".join(f"{k}" for k in _FITTED)}, intercept, gain, {", ".join(f"sum(slope * x_{k}) as d_{k}" for k in _FITTED)}, sum(slope) as d_intercept, sum(slope * linear) as d_gain
+            from (select *, (p - label) * p * (1 - p) * times as slope from (select f.*, label, times, {", ".join(f"s.{k} as x_{k}" for k in _FITTED)}, {_LINEAR} as linear, 1 / (1 + exp(-greatest(-30::double, least(30::double, f.gain * {_LINEAR})))) as p from fit f, signals s where f.step < 400)) group by all), rows_)
+    select unnest(['{"', '".join([*[k[2:] for k in _FITTED], "consistency", "intercept", "gain"])}']) as parameter, unnest([{", ".join(f"round({k}, 6)" for k in [*_FITTED, "0::double", "intercept", "gain"])}]) as value from fit where step = 400"""
 _CID = "case class_name when 'wreck' then 0 when 'debris' then 1 when 'structure' then 2 else 3 end"
 PIXELS = """raw as (select vec_id, unnest(embedding) as x, unnest(range(0, len(embedding))) as i from embeddings),
     pixels as (select vec_id // 8 as image_id, vec_id % 8 as "row", i as col, greatest(0, least(255, floor(128 + x::double * 32)))::int as v from raw)"""
@@ -211,6 +229,7 @@ ORACLES = {
     "expected_calibration_error": f"with {_BINS} select sum(n)::bigint as n, round(sum(round(abs(c - a), 6) * n) / sum(n), 5) as ece from bins",
     "roc_auc": f"""with {SCORED_LABELS}, p as (select sum(case when a.confidence > b.confidence then 1.0::double when a.confidence = b.confidence then 0.5::double else 0 end) as u from labelled a, labelled b where a.label = 1 and b.label = 0)
         select sum(label)::bigint as positives, sum(1 - label)::bigint as negatives, round((select u from p) / (sum(label) * sum(1 - label)), 6) as auc from labelled""",
+    "fusion_fit": _FIT,
     "threshold_sweep": f"""with {SCORED_LABELS}, t as (select unnest(range(0, 21)) as k), c as (select k, count(*) filter (least(20, floor(confidence * 20)) >= k and label = 1) as tp, count(*) filter (least(20, floor(confidence * 20)) >= k and label = 0) as fp, sum(label)::bigint as p, sum(1 - label)::bigint as q from t, labelled group by k)
         select round(k / 20, 4) as threshold, tp, fp, p - tp as fn, round(2 * tp / nullif(tp + fp + p, 0), 6) as f1, round((tp + q - fp) / (p + q), 6) as accuracy, round((tp / p + (q - fp) / q) / 2, 6) as balanced from c""",
     "dice_scores": f"""with {PIXELS}, m as (select image_id, (v > 128)::int as p, (v + "row" > 131)::int as t from pixels), s as (select image_id, sum(p * t) as i, sum(p) as p, sum(t) as t from m group by 1)

@@ -139,12 +139,6 @@ def test_matching_and_suppression(spark):
     assert sorted(r["detection_id"] for r in evaluation.suppress(d).collect()) == ["a", "c", "d"]
 
 
-def test_fit_fusion_learns_the_telling_signal(spark):
-    rows = spark.createDataFrame([(float(i % 2), float(i % 3) / 2, i % 2) for i in range(60)], "good double, noise double, label int")
-    fitted = evaluation.fit_fusion(rows, ["good", "noise"], epochs=25, rate=2.0)
-    assert fitted["good"] > fitted["noise"]
-
-
 def test_split_of_few_sites_goes_by_image(spark):
     rows = spark.createDataFrame([(i, "s", i % 2) for i in range(50)], "image_id long, site string, label int")
     assert {r["split"] for r in evaluation.site_split(rows).collect()} == {"train", "val"}
