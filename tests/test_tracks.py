@@ -77,8 +77,8 @@ def test_sessions_stream(spark, tmp_path):
     fixes.write.parquet(str(tmp_path / "in"))
     seen = []
     stream = jobs.session_stream(spark.readStream.schema(FIX).parquet(str(tmp_path / "in")))
-    _, events = jobs.run_job(stream, lambda b, n: seen.extend(b.collect()), str(tmp_path / "c"), "sessions")
-    assert sorted(r["fixes"] for r in seen) == [1, 2] and events[-1]["status"] == "done"
+    events = list(jobs.run_job(stream, lambda b, n: seen.extend(b.collect()), str(tmp_path / "c"), "sessions").follow())
+    assert sorted(r["fixes"] for r in seen) == [1, 2] and [e["status"] for e in events][:2] == ["queued", "running"] and events[-1]["status"] == "done"
 
 
 def test_navigation_files(spark, tmp_path):
