@@ -30,6 +30,17 @@ def ramp(x: Column, full: float, none: float) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (none - x) / (none - full))))
 
 
+def sigmoid(x: Column) -> Column:
+    """1 / (1 + e^-x) by the power that cannot overflow."""
+    z = F.exp(-F.abs(x))
+    return F.when(x >= 0, 1 / (1 + z)).otherwise(z / (1 + z))
+
+
+def calibrated(score: Column, a: float = 1.0, b: float = 0.0) -> Column:
+    """A score through a fitted logistic curve with slope a about 0.5 and shift b; null stays null."""
+    return F.when(score.isNotNull(), sigmoid(a * (score - 0.5) + b))
+
+
 def fuse(signals: dict[str, Column], gain: float = K.GAIN, intercept: float = K.INTERCEPT) -> Column:
     """Logistic opinion pool, 4 decimals; 0.0 if nothing is available."""
     mean = weighted_mean(signals, K.FUSION_WEIGHTS)

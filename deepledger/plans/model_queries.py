@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deepledger.functions import constants as K
+from deepledger.functions import scores
 from deepledger.functions import text as T
 from deepledger.operators import association as X
 from deepledger.operators import detections as D
@@ -67,6 +68,11 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.threshold_sweep(_scored(spark, sf_dir))
 
 
+def calibrated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classifier scores through a logistic curve, four times as steep about 0.5 and moved down by 0.2."""
+    return _scored(spark, sf_dir).select("image_id", F.round(scores.calibrated(F.col("confidence"), 4.0, -0.2), 6).alias("score"))
+
+
 def fusion_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fusion weights, intercept and gain fitted to all detections, of which those count as confirmed whose class confidence and natural score reach 1 together."""
     d = A.detections(spark, sf_dir).withColumn("label", (F.col("class_confidence") + F.col("natural") >= 1).cast("double"))
@@ -153,7 +159,7 @@ def class_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        association_fold, association_summary, greedy_match_prf, nms, calibration_bins, expected_calibration_error, roc_auc, threshold_sweep, fusion_fit, dice_scores, site_split, split_report, yolo_export,
+        association_fold, association_summary, greedy_match_prf, nms, calibration_bins, expected_calibration_error, roc_auc, threshold_sweep, calibrated_scores, fusion_fit, dice_scores, site_split, split_report, yolo_export,
         label_census, label_purity, label_image_check, image_quality, shadow_run, sparse_bright, anomaly_score, telemetry_fields, class_mapping,
     )
 }
@@ -229,6 +235,7 @@ ORACLES = {
     "expected_calibration_error": f"with {_BINS} select sum(n)::bigint as n, round(sum(round(abs(c - a), 6) * n) / sum(n), 5) as ece from bins",
     "roc_auc": f"""with {SCORED_LABELS}, p as (select sum(case when a.confidence > b.confidence then 1.0::double when a.confidence = b.confidence then 0.5::double else 0 end) as u from labelled a, labelled b where a.label = 1 and b.label = 0)
         select sum(label)::bigint as positives, sum(1 - label)::bigint as negatives, round((select u from p) / (sum(label) * sum(1 - label)), 6) as auc from labelled""",
+    "calibrated_scores": f"with {SCORED_LABELS} select image_id, round(1 / (1 + exp(-(4 * (confidence - 0.5) - 0.2)::double)), 6) as score from labelled",
     "fusion_fit": _FIT,
     "threshold_sweep": f"""with {SCORED_LABELS}, t as (select unnest(range(0, 21)) as k), c as (select k, count(*) filter (least(20, floor(confidence * 20)) >= k and label = 1) as tp, count(*) filter (least(20, floor(confidence * 20)) >= k and label = 0) as fp, sum(label)::bigint as p, sum(1 - label)::bigint as q from t, labelled group by k)
         select round(k / 20, 4) as threshold, tp, fp, p - tp as fn, round(2 * tp / nullif(tp + fp + p, 0), 6) as f1, round((tp + q - fp) / (p + q), 6) as accuracy, round((tp / p + (q - fp) / q) / 2, 6) as balanced from c""",

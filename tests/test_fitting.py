@@ -4,7 +4,9 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from deepledger.functions import scores
 from deepledger.operators.fitting import fit_fusion
 
 ROWS = "a double, b double, label double, extra string"
@@ -45,3 +47,8 @@ def test_fit_learns_the_telling_signal(spark):
 
 def test_fit_without_rows(spark):
     assert fit_fusion(spark.createDataFrame([(0.1, 0.1, None, "")], ROWS), ["a", "b"]) == {"a": 0.0, "b": 0.0, "intercept": 0.0, "gain": 1.0}
+
+
+def test_calibration(spark):
+    rows = spark.createDataFrame([(None,), (0.5,), (1.0,), (-2000.0,), (2000.0,)], "s double").select("s", scores.calibrated(F.col("s"), 2.0, 0.1).alias("c")).collect()
+    assert rows[0]["c"] is None and [r["c"] for r in rows[1:]] == pytest.approx([1 / (1 + math.exp(-0.1)), 1 / (1 + math.exp(-1.1)), 0.0, 1.0])
