@@ -292,9 +292,11 @@ def test_quality_probabilities_sum_to_one(spark):
 
 def test_quality_of_repeated_rows(spark):
     docs = docs_of(spark, [" ".join(words(30, i)) for i in range(60)])
-    more = docs.union(docs.where("doc_id < 5")).union(spark.sql("select cast(null as long), 'the same'")).union(spark.sql("select cast(null as long), 'the same'")) if docs.columns == ["doc_id", "text"] else docs.union(docs.where("doc_id < 5"))
-    got = [(x["doc_id"], x["perplexity"]) for x in quality.score_quality(more, docs.select("doc_id"), least_held=2).collect()]
-    assert sorted(x for x, _ in got if x is not None) == sorted([*range(60), *range(5)])
+    twice = docs.where("doc_id < 5")
+    more = docs.union(twice).union(docs.where("doc_id = 7").withColumn("doc_id", F.lit(None).cast("long"))).union(docs.where("doc_id = 8").withColumn("text", F.lit("other words of the same id")))
+    got = [(x["doc_id"], x["perplexity"]) for x in quality.score_quality(more.repartition(5), docs.select("doc_id"), least_held=2).collect()]
+    assert sorted(x for x, _ in got if x is not None) == sorted([*range(60), *range(5), 8]) and sum(x is None for x, _ in got) == 1
+    assert len({p for i, p in got if i == 8}) == 2
     assert all(len({p for i, p in got if i == d}) == 1 for d in range(5))
 
 
