@@ -29,8 +29,12 @@ def _by_image(rows: DataFrame, tag: int) -> DataFrame:
 
 
 def _streamed(rows: DataFrame) -> DataFrame:
-    """rows with those of an image next to each other, by tag, descending score and id: a task sorts, and spills, but holds only an image at a time."""
-    return rows.repartition("image_id").sortWithinPartitions("image_id", "tag", F.desc("score"), "id")
+    """rows with those of an image next to each other, by tag, descending score and id: a task sorts, and spills, but holds only an image at a time.
+
+    They are dealt by a hash of the image, not by the image itself: over a union of joins by image Spark would take that for done and
+    leave it out, and adaptive execution may have merged the partitions of the joins differently.
+    """
+    return rows.repartition(F.xxhash64("image_id")).sortWithinPartitions("image_id", "tag", F.desc("score"), "id")
 
 
 def _images(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple[int, slice, pd.DataFrame, np.ndarray]]]:

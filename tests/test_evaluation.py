@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from deepledger.operators import evaluation as E
 
@@ -75,3 +76,21 @@ def test_metrics_documents_of_sets_and_of_all(spark):
     assert (got["b"]["images"], got["b"]["precision"], got["b"]["false_alarms_per_image"]) == (1, 0.0, 0.0)
     empty = evaluation.metrics_documents(matches.limit(0), sets.limit(0)).collect()
     assert [json.loads(r["body"]) for r in empty] == [{"tp": 0, "fp": 0, "fn": 0}]
+
+
+def test_greedy_match_keeps_images_whole_over_a_union_of_joins(spark):
+    """Both inputs come from joins by image whose partitions adaptive execution merges differently."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    box = [F.lit(v).cast("double").alias(c) for c, v in zip("xywh", (0, 0, 10, 10))]
+    images = spark.range(2_000).select(F.col("id").alias("image_id"))
+    found = spark.range(8_000).select((F.col("id") % 2_000).alias("image_id"), F.concat(F.lit("detection_"), F.col("id")).alias("detection_id"), *box, F.rand(1).alias("score"))
+    truths = spark.range(2_000).select(F.col("id").alias("image_id"), F.col("id").cast("string").alias("truth_id"), *box)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        row = E.precision_recall(E.greedy_match(found.join(images, "image_id"), truths.join(images, "image_id"))).first()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert (row["tp"], row["fp"], row["fn"], row["images"]) == (2_000, 6_000, 0, 2_000)
