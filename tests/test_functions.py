@@ -157,3 +157,11 @@ def test_image_kernels(spark):
     hot = max(anomaly, key=lambda r: r["score"])
     assert len(anomaly) == 48 and 16 <= hot["row"] <= 48 and 32 <= hot["col"] <= 80
     assert [images.bounds(r) for r in images.regions(np.array([[1, 0, 0], [0, 1, 0], [0, 0, 0], [1, 1, 0]], bool))] == [(0, 0, 2, 2, 2), (0, 3, 2, 1, 2)]
+
+
+def test_detections_are_derived_after_their_join(spark):
+    """So that the shuffle carries the table's columns, not the wider ones made of them."""
+    from deepledger.sources import adapters
+
+    plan = adapters.detections(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("concat_ws") < plan.index("Join") and plan.count("concat_ws") == 1
