@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,41 @@ def _ramp(x: np.ndarray, full: float, none: float) -> np.ndarray:
     return np.clip((none - x) / (none - full), 0.0, 1.0)
 
 
+def _scores(values: np.ndarray, own: Sequence, same: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The scores of targets, values in the order of Fold.NUMBERS, for detections of numbers own, and their four signals, nan where not available."""
+    lat, lon, x, y, w, h, last = values
+    own_lat, own_lon, own_x, own_y, own_w, own_h, own_frame = own
+    rad = np.pi / 180
+    a = np.sin((lat - own_lat) * (rad / 2)) ** 2 + np.cos(own_lat * rad) * np.cos(lat * rad) * np.sin((lon - own_lon) * (rad / 2)) ** 2
+    distance = 2 * K.EARTH_RADIUS_M * np.arcsin(np.sqrt(np.minimum(1.0, a)))
+    gap = np.abs(last - own_frame)
+    wide = np.minimum(x + w, own_x + own_w) - np.maximum(x, own_x)
+    tall = np.minimum(y + h, own_y + own_h) - np.maximum(y, own_y)
+    inner = np.maximum(0, wide) * np.maximum(0, tall)
+    union = w * h + own_w * own_h - inner
+    overlap = np.where(union > 0, inner / np.where(union > 0, union, 1), np.where(np.isnan(union), np.nan, 0.0))
+    signals = [np.broadcast_to(same.astype(float), lat.shape), _ramp(distance, *K.DISTANCE_RAMP), _ramp(gap, *K.FRAME_RAMP), _ramp(1 - overlap, *K.OVERLAP_RAMP)]
+    total, used = np.zeros(lat.shape), np.zeros(lat.shape)
+    for value, weight in zip(signals, K.ASSOCIATION_WEIGHTS.values()):
+        there = value == value
+        total += np.where(there, value, 0.0) * weight
+        used += there * weight
+    score = total / used * np.where(same, 1.0, K.CLASS_PENALTY)
+    score *= np.where(np.round(distance, 1) > K.DISTANCE_RAMP[1], K.GEO_PENALTY, 1.0)
+    apart = (np.round(overlap, 3) <= 0) & (gap <= 1)
+    return np.round(score * np.where(apart, K.SPATIAL_PENALTY, 1.0), 4), signals
+
+
+def _moved(values: np.ndarray, box_ids: list[str] | np.ndarray, i: int, detection: str, numbers: tuple[float, ...]) -> None:
+    """Target i takes the place of a detection that it accepts, its box if the id is smaller, and the later frame."""
+    if numbers[0] == numbers[0]:
+        values[:2, i] = numbers[:2]
+    if detection < box_ids[i]:
+        box_ids[i] = detection
+        values[2:6, i] = numbers[2:6]
+    values[6, i] = np.fmax(values[6, i], numbers[6])
+
+
 class Fold:
     """Live targets of one survey as growing arrays; each detection is scored against all of them at once.
 
@@ -65,28 +101,7 @@ class Fold:
     def scores(self, name: str, numbers: tuple[float, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
         """The score of each live target, and its four signals, null (nan) where not available."""
         n = len(self.ids)
-        lat, lon, x, y, w, h, last = self.values[:, :n]
-        own_lat, own_lon, own_x, own_y, own_w, own_h, own_frame = numbers
-        same = self.class_of[:n] == self.codes.get(name, -1)
-        rad = np.pi / 180
-        a = np.sin((lat - own_lat) * (rad / 2)) ** 2 + np.cos(own_lat * rad) * np.cos(lat * rad) * np.sin((lon - own_lon) * (rad / 2)) ** 2
-        distance = 2 * K.EARTH_RADIUS_M * np.arcsin(np.sqrt(np.minimum(1.0, a)))
-        gap = np.abs(last - own_frame)
-        wide = np.minimum(x + w, own_x + own_w) - np.maximum(x, own_x)
-        tall = np.minimum(y + h, own_y + own_h) - np.maximum(y, own_y)
-        inner = np.maximum(0, wide) * np.maximum(0, tall)
-        union = w * h + own_w * own_h - inner
-        overlap = np.where(union > 0, inner / np.where(union > 0, union, 1), np.where(np.isnan(union), np.nan, 0.0))
-        signals = [same.astype(float), _ramp(distance, *K.DISTANCE_RAMP), _ramp(gap, *K.FRAME_RAMP), _ramp(1 - overlap, *K.OVERLAP_RAMP)]
-        total, used = np.zeros(n), np.zeros(n)
-        for value, weight in zip(signals, K.ASSOCIATION_WEIGHTS.values()):
-            there = value == value
-            total += np.where(there, value, 0.0) * weight
-            used += there * weight
-        score = total / used * np.where(same, 1.0, K.CLASS_PENALTY)
-        score *= np.where(np.round(distance, 1) > K.DISTANCE_RAMP[1], K.GEO_PENALTY, 1.0)
-        apart = (np.round(overlap, 3) <= 0) & (gap <= 1)
-        return np.round(score * np.where(apart, K.SPATIAL_PENALTY, 1.0), 4), signals
+        return _scores(self.values[:, :n], numbers, self.class_of[:n] == self.codes.get(name, -1))
 
     def take(self, survey: object, detection: str, name: str, numbers: tuple[float, ...], linked: str | None = None) -> tuple:
         """(target, decision, score, signals) of one detection, which may found a target. One that is linked already keeps its target."""
@@ -104,20 +119,12 @@ class Fold:
                 second = score if len(top) > 1 else float(np.delete(scores, best).max()) if len(scores) > 1 else -1.0
                 if round(score - second, 4) < K.AMBIGUITY:
                     return None, "ambiguous", score, *signals
-                self._update(best, detection, numbers)
+                _moved(self.values, self.box_ids, best, detection, numbers)
                 return self.ids[best], "accepted", score, *signals
         target = new_id(survey, detection)
         self.add(target, name, detection, list(numbers))
         return target, "new_target", score, *signals
 
-    def _update(self, i: int, detection: str, numbers: tuple[float, ...]) -> None:
-        if numbers[0] == numbers[0]:
-            self.values[:2, i] = numbers[:2]
-        if detection < self.box_ids[i]:
-            self.box_ids[i] = detection
-            self.values[2:6, i] = numbers[2:6]
-        self.values[6, i] = np.fmax(self.values[6, i], numbers[6])
-
     def run(self, rows: pd.DataFrame) -> pd.DataFrame:
         """The decisions of one survey's rows, whatever their order."""
         rows = rows.assign(_o=rows["frame_index"].fillna(1e9)).sort_values(["_o", "image_id", "detection_id"])
@@ -131,6 +138,114 @@ def _records(rows: pd.DataFrame) -> Iterator[tuple]:
     return zip(rows["survey_id"], rows["detection_id"], rows["class_name"], numbers, links)
 
 
+#: Rows up to which a survey is held until it is whole, to be folded beside others.
+WHOLE = 5_000
+#: Places of targets, used or not, that surveys folded side by side may take.
+CELLS = 1 << 20
+#: What a target of another class can score at most.
+_OTHERS = K.CLASS_PENALTY * (1 - K.ASSOCIATION_WEIGHTS["class"] / sum(K.ASSOCIATION_WEIGHTS.values())) + 1e-4
+
+
+def _surveys(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The survey of each row as text, and the first row of each survey."""
+    names = rows["_survey"].fillna("").to_numpy(object)
+    return names, np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+
+
+def _number(name: str | None) -> object:
+    """The survey in the id of a target."""
+    return int(name) if name else np.nan
+
+
+def one_by_one(fold: Fold, rows: pd.DataFrame) -> list[tuple]:
+    """The decisions of ordered rows of one survey, of which those of _kind 0 are known targets."""
+    out = []
+    for name, kind, (number, detection, label, numbers, link) in zip(rows["_survey"], rows["_kind"], _records(rows)):
+        if kind:
+            out.append((number, detection, *fold.take(_number(None if pd.isna(name) else name), detection, label, numbers, link)))
+        else:
+            fold.add(link, label, detection or "", list(numbers))
+    return out
+
+
+def side_by_side(rows: pd.DataFrame) -> list[tuple]:
+    """The decisions of whole surveys, rows as of one_by_one: each step takes the next detection of every survey.
+
+    Targets lie by survey and class. A detection is scored against those of its own class; only if none of these beats what another
+    class can score at most, against the others of its survey.
+    """
+    names, starts = _surveys(rows)
+    lane = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(rows)]))
+    labels, classes = pd.factorize(rows["class_name"], use_na_sentinel=False)
+    keys, bins, sizes = np.unique(lane * len(classes) + labels, return_inverse=True, return_counts=True)
+    if len(keys) * int(sizes.max()) > CELLS:
+        return [r for i, j in zip(starts, np.r_[starts[1:], len(rows)]) for r in one_by_one(Fold(), rows[i:j])]
+    edges = np.searchsorted(keys // len(classes), np.arange(len(starts) + 1))  # the bins of each survey
+    values = np.full((len(Fold.NUMBERS), len(keys), int(sizes.max())), np.nan)
+    ids, boxes = np.empty(values.shape[1:], object), np.empty(values.shape[1:], object)
+    n = np.zeros(len(keys), np.int64)
+    records, kinds, out, order = list(_records(rows)), rows["_kind"].to_numpy(), [], []
+    own = np.array([r[3] for r in records])
+    none = (None,) * len(SIGNALS)
+
+    def add(b: int, target: str, box: str, numbers: tuple[float, ...]) -> None:
+        ids[b, n[b]], boxes[b, n[b]], values[:, b, n[b]] = target, box, numbers
+        n[b] += 1
+
+    for i, (survey, detection, _, numbers, link) in enumerate(records):
+        if not kinds[i]:
+            add(bins[i], link, detection or "", numbers)
+        elif link is not None:
+            out.append((survey, detection, link, "reused", None, *none))
+        else:
+            order.append(i)
+    order = np.array(order, np.int64)
+    turn = np.arange(len(order)) - np.searchsorted(lane[order], lane[order])
+    order = order[np.argsort(turn, kind="stable")]
+    for step in np.split(order, np.cumsum(np.bincount(turn))[:-1]) if len(order) else ():
+        at = bins[step]
+        width = max(1, int(n[at].max()))
+        scores, each = _scores(values[:, at, :width], own[step].T[:, :, None], np.True_)
+        scores[np.arange(width) >= n[at][:, None]] = -1.0
+        top, place = scores.max(axis=1), scores.argmax(axis=1)
+        ties = (scores == top[:, None]).sum(axis=1)
+        found = np.stack([v[np.arange(len(step)), place] for v in each], axis=1).tolist()
+        rest = scores.copy()
+        rest[np.arange(len(step)), place] = -1.0
+        second = np.where(ties > 1, top, rest.max(axis=1))
+        weak: dict[int, tuple[float, tuple]] = {}
+        pairs = [(j, b) for j in np.flatnonzero(top <= _OTHERS) for b in range(edges[lane[step[j]]], edges[lane[step[j]] + 1]) if b != at[j] and n[b]]
+        if pairs:
+            of, other = (np.array(x) for x in zip(*pairs))
+            wide = int(n[other].max())
+            far, there = _scores(values[:, other, :wide], own[step[of]].T[:, :, None], np.False_)
+            far[np.arange(wide) >= n[other][:, None]] = -1.0
+            for p, score in enumerate(far.max(axis=1).tolist()):
+                j, b = int(of[p]), int(other[p])
+                for q in np.flatnonzero(far[p] == score).tolist():
+                    if (held := weak.get(j)) is None or (-score, ids[b, q]) < held[:2]:
+                        weak[j] = (-score, ids[b, q], [float(v[p, q]) for v in there])
+        for j, i in enumerate(step.tolist()):
+            survey, detection, _, numbers, _ = records[i]
+            b, best, score, seen = int(at[j]), int(place[j]), float(top[j]), found[j]
+            if score >= 0 and ties[j] > 1:
+                best = min(np.flatnonzero(scores[j] == score).tolist(), key=lambda q: ids[b, q])
+                seen = [float(v[j, best]) for v in each]
+            if (other_best := weak.get(j)) is not None and (score < 0 or other_best[:2] < (-score, ids[b, best])):
+                score, seen = -other_best[0], other_best[2]
+            signals = tuple(round(v, 3) if v == v else None for v in seen) if score >= 0 else none
+            if score < K.ACCEPT:
+                target = new_id(_number(names[i]), detection)
+                add(b, target, detection, numbers)
+                out.append((survey, detection, target, "new_target", score if score >= 0 else None, *signals))
+            elif round(score - float(second[j]), 4) < K.AMBIGUITY:
+                out.append((survey, detection, None, "ambiguous", score, *signals))
+            else:
+                _moved(values[:, b], boxes[b], best, detection, numbers)
+                out.append((survey, detection, ids[b, best], "accepted", score, *signals))
+    return out
+
+
 def known_targets(detections: DataFrame, targets: DataFrame) -> DataFrame:
     """The state of each of targets (survey_id, target_id, class_name, lat, lon) by the detections linked to it: the box of the smallest id, the last frame."""
     box = F.min_by(F.struct("detection_id", "x", "y", "w", "h"), "detection_id").alias("box")
@@ -146,8 +261,9 @@ def associate(detections: DataFrame, targets: DataFrame | None = None, frames: D
     Without the argument, and the column, everything is decided anew. frames: (survey_id, width, height); boxes count only in surveys
     whose frames are all of one size. Null survey: a survey of its own. No rows: no rows.
 
-    A survey is folded in one task, since each decision depends on those before it; its rows stream through in order, so that the
-    task holds a batch of them and the live targets.
+    A survey is folded in one task, since each decision depends on those before it; its rows stream through in order. Surveys of up
+    to WHOLE rows are held whole and folded side by side, a longer one by itself, so that the task holds a batch of rows, WHOLE more
+    and the live targets.
     """
     linked = F.col("target_id") if "target_id" in detections.columns else F.lit(None).cast("string")
     rows = detections.select(*FIELDS, linked.alias("target_id"), F.lit(1).alias("_kind"))
@@ -162,17 +278,25 @@ def associate(detections: DataFrame, targets: DataFrame | None = None, frames: D
     ordered = rows.sortWithinPartitions(F.asc_nulls_last("_survey"), "_kind", "_o", F.asc_nulls_last("image_id"), F.asc_nulls_last("detection_id"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fold, survey = None, None
-        for batch in batches:
-            out = []
-            names = [None if pd.isna(x) else x for x in batch["_survey"]]
-            for name, kind, (number, detection, label, numbers, link) in zip(names, batch["_kind"], _records(batch)):
-                if fold is None or name != survey:
-                    fold, survey = Fold(), name
-                if kind:
-                    out.append((number, detection, *fold.take(np.nan if name is None else int(name), detection, label, numbers, link)))
-                else:
-                    fold.add(link, label, detection or "", list(numbers))
+        held, fold, long = None, None, None
+        for batch in chain(batches, [None]):  # None: no more rows
+            rows = held if batch is None else batch if held is None else pd.concat([held, batch], ignore_index=True)
+            held = None
+            if rows is None or rows.empty:
+                continue
+            names, starts = _surveys(rows)
+            first, last, out = 0, len(rows) if batch is None else int(starts[-1]), []
+            if names[0] == long:
+                first = int(starts[1]) if len(starts) > 1 else len(rows)
+                out += one_by_one(fold, rows[:first])
+            if first < last:
+                out += side_by_side(rows[first:last])
+            if batch is not None and first <= last:  # the last survey may go on
+                held = rows[last:]
+                if len(held) > WHOLE:
+                    fold, long = Fold(), names[-1]
+                    out += one_by_one(fold, held)
+                    held = None
             yield pd.DataFrame(out, columns=_OUT)
 
     return ordered.mapInPandas(work, DECISION)

@@ -1,6 +1,7 @@
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +111,28 @@ def test_boxes_count_only_between_frames_of_one_size(spark):
 def test_summary_counts(spark):
     got = X.summary(X.associate(spark.createDataFrame(survey(1), COLS))).collect()
     assert all(r["detections"] == r["accepted"] + r["ambiguous"] + r["founded"] + r["reused"] and r["reused"] == 0 for r in got)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_surveys_side_by_side_decide_as_one_by_one(seed):
+    rows = pd.DataFrame(survey(seed, 400, surveys=(1, 2, 3, 5, 8, None)), columns=[c.split()[0] for c in COLS.split(", ")])
+    rows = rows.assign(_survey=[None if pd.isna(s) else str(int(s)) for s in rows["survey_id"]], _kind=1, _o=rows["frame_index"].fillna(1e9))
+    rows.loc[rows.index % 29 == 3, "target_id"] = "t"
+    rows.loc[rows.index % 31 == 4, ["target_id", "_kind", "_o"]] = ["known", 0, -1.0]
+    rows.loc[rows["_kind"] == 0, "target_id"] = "known_" + rows["detection_id"]
+    rows = rows.sort_values(["_survey", "_kind", "_o", "image_id", "detection_id"]).reset_index(drop=True)
+    want = [r for _, part in rows.groupby("_survey", dropna=False) for r in X.one_by_one(X.Fold(), part)]
+    got = X.side_by_side(rows)
+    key = lambda r: (str(r[0]), r[1])
+    assert str(sorted(got, key=key)) == str(sorted(want, key=key)) and {r[3] for r in got} == {"accepted", "ambiguous", "new_target", "reused"}
+
+
+def test_long_surveys_stream_beside_short_ones(spark):
+    rows = [(s, i, i, f"d{s:05d}_{i:05d}", "ab"[i % 2], 50.0, 8.0, 0.0, 0.0, 5.0, 5.0, None) for s, n in [(1, 5_300), *[(s, 20) for s in range(2, 400)], (400, 5_100)] for i in range(n)]
+    n = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        got = {tuple(r) for r in X.summary(X.associate(spark.createDataFrame(rows, COLS).coalesce(1))).select("survey_id", "detections", "targets", "ambiguous").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+    assert got == {(s, k, 2, 0) for s, k in [(1, 5_300), *[(s, 20) for s in range(2, 400)], (400, 5_100)]}
