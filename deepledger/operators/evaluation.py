@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+#: Rows of one partition where rows are few bytes each.
+ROWS_A_TASK = 1_000_000
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -211,3 +213,17 @@ def label_faults(lines: DataFrame, classes: int = 4) -> DataFrame:
     cid = F.get(f, F.lit(0)).try_cast("int")
     fault = F.when(F.size(f) != 5, "field count").when(cid.isNull() | (cid < 0) | (cid >= classes), "class id").when(outside, "coordinate range")
     return lines.withColumn("fault", fault).where("fault is not null")
+
+
+def unmatched(frames: DataFrame, labels: DataFrame) -> DataFrame:
+    """(image_id, what): each row of frames without a label, and once each image of labels without a frame; a null id matches nothing.
+
+    Both meet in one shuffle into so many partitions that each has about ROWS_A_TASK rows: numbers of images are so small when
+    compressed that partitions planned by their bytes would hold more rows than a task should.
+    """
+    flag = lambda rows, frame: rows.select("image_id", F.lit(frame).alias("frame"))
+    parts = max(int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(frames.count() + labels.count()) // ROWS_A_TASK))
+    both = flag(frames, True).unionByName(flag(labels, False)).repartition(parts, "image_id").groupBy("image_id").agg(F.count_if("frame").cast("int").alias("frames"), F.bool_or(~F.col("frame")).alias("labelled"))
+    bare = F.array_repeat(F.lit("no label"), F.when(F.col("labelled") & F.col("image_id").isNotNull(), 0).otherwise(F.col("frames")))
+    alone = F.when(F.col("labelled") & ((F.col("frames") == 0) | F.col("image_id").isNull()), F.array(F.lit("no frame"))).otherwise(F.array().cast("array<string>"))
+    return both.select("image_id", F.explode(F.concat(bare, alone)).alias("what"))

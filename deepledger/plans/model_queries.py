@@ -115,11 +115,10 @@ def label_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_image_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames without a label and labels without a frame, by anti joins."""
+    """Frames without a label and labels without a frame."""
     frames = A.frames(spark, sf_dir).select("image_id")
-    labels = A.read(spark, sf_dir, "lineitem").where("l_linenumber <> 3").select(F.col("l_orderkey").alias("image_id")).distinct()
-    bare = frames.join(labels, "image_id", "left_anti").select("image_id", F.lit("no label").alias("what"))
-    return bare.union(labels.join(frames, "image_id", "left_anti").select("image_id", F.lit("no frame")))
+    labels = A.read(spark, sf_dir, "lineitem").where("l_linenumber <> 3").select(F.col("l_orderkey").alias("image_id"))
+    return E.unmatched(frames, labels)
 
 
 def image_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
