@@ -62,16 +62,23 @@ def markdown_lines(detections: DataFrame) -> DataFrame:
 
     Lines are rows, so a writer may sort them within partitions of survey_id; the places of title and table head are fixed.
     """
-    rows = D.scored(detections)
-    totals = rows.groupBy("survey_id").agg(F.count("*").alias("n"), F.count_if(F.col("lat").isNotNull() & F.col("lon").isNotNull()).alias("located"), F.count_if(F.col("tier").isin("high", "critical")).alias("urgent"))
+    # totals and ranks are windows over the same shuffle; the first of a survey brings its head
+    survey = Window.partitionBy("survey_id")
+    known = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    rows = D.scored(detections).select("survey_id", "detection_id", "class_name", "status", "tier", "priority", known.alias("known"))
+    ranked = rows.withColumns({
+        "rank": F.row_number().over(survey.orderBy(F.desc("priority"), "detection_id")).cast("long"), "n": F.count("*").over(survey),
+        "located": F.count_if("known").over(survey), "urgent": F.count_if(F.col("tier").isin("high", "critical")).over(survey),
+    })
     head = F.array(
         F.concat(F.lit("# Survey "), F.col("survey_id")), F.format_string("%d detections, %d located, %d of high or critical priority", "n", "located", "urgent"),
         F.lit("| rank | detection | class | status | tier |"), F.lit("|---|---|---|---|---|"),
     )
-    lead = totals.select("survey_id", F.posexplode(head).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("survey_id").orderBy(F.desc("priority"), "detection_id")).cast("long"))
     line = F.concat(F.lit("| "), F.concat_ws(" | ", F.col("rank").cast("string"), *[F.coalesce(F.col(c), F.lit("")) for c in ("detection_id", "class_name", "status", "tier")]), F.lit(" |"))
-    return lead.union(ranked.select("survey_id", F.col("rank") + 3, line))
+    numbered = lambda k, text: F.struct(k.cast("long").alias("line_no"), text.alias("line"))
+    own = numbered(F.col("rank") + 3, line)
+    lines = F.when(F.col("rank") == 1, F.concat(F.transform(head, lambda text, k: numbered(k, text)), F.array(own))).otherwise(F.array(own))
+    return ranked.select("survey_id", F.inline(lines))
 
 
 def target_uncertainty(targets: DataFrame, detections: DataFrame) -> DataFrame:
