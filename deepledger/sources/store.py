@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -144,40 +144,45 @@ class Store:
         base = self.manifest()
         if expected not in (None, base.version):
             raise Conflict(f"version {base.version} is newer than {expected}")
-        taken = [int(n[:12]) for n in self._names(f"{self.path}/versions") if re.fullmatch(r"\d{12}\.json", n)]
         token = uuid.uuid4().hex
-        after = Manifest(max([base.version, *taken]) + 1, base.buckets, dict(base.schemas), {k: dict(v) for k, v in base.folders.items()})
+        after = self._next(base)
         for table, change in changes.items():
             self._stage(base, after, table, change, f"data/{token}/{table}")
         self._commit(after)
         return after.version
 
+    def _next(self, base: Manifest) -> Manifest:
+        """A copy of a manifest as the next version."""
+        taken = [int(n[:12]) for n in self._names(f"{self.path}/versions") if re.fullmatch(r"\d{12}\.json", n)]
+        return Manifest(max([base.version, *taken]) + 1, base.buckets, dict(base.schemas), {k: dict(v) for k, v in base.folders.items()})
+
     def _stage(self, base: Manifest, after: Manifest, table: str, change: Change, folder: str) -> None:
         bucket = F.pmod(F.xxhash64(F.col("survey_id").cast("string")), F.lit(base.buckets)).cast("int")
-        keys = change.rows.select(*change.key)
-        if change.replaced is not None:
-            keys = keys.unionByName(change.replaced.select(*change.key))
-        keys = keys.distinct()
         if "survey_id" not in change.key:
             raise ValueError("the key of a change holds survey_id")
         rows = change.rows
+        if table not in base.schemas:  # nothing to replace, so that the rows are read once
+            after.schemas[table] = rows.schema.json()
+            after.folders[table] = self._write(rows, bucket, folder)
+            return
+        keys = rows.select(*change.key)
+        if change.replaced is not None:
+            keys = keys.unionByName(change.replaced.select(*change.key))
+        keys = keys.distinct()
         touched = [r[0] for r in keys.select(bucket.alias("b")).distinct().collect()]  # numbers below `buckets`
         old = self._table(base, table, touched)
-        if old is None:
-            after.schemas[table], after.folders[table] = rows.schema.json(), {}
-        else:
-            if set(rows.columns) != set(old.columns):
-                raise ValueError(f"columns of {table} are {old.columns}, not {rows.columns}")
-            gone = keys.select(*[F.col(c).alias(f"_{c}") for c in change.key])
-            same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in change.key]
-            rows = old.join(gone, same, "left_anti").unionByName(rows)
+        if set(rows.columns) != set(old.columns):
+            raise ValueError(f"columns of {table} are {old.columns}, not {rows.columns}")
+        gone = keys.select(*[F.col(c).alias(f"_{c}") for c in change.key])
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in change.key]
+        written = self._write(old.join(gone, same, "left_anti").unionByName(rows), bucket, folder)
+        after.folders[table] = {b: f for b, f in after.folders[table].items() if b not in set(map(str, touched))} | written
+
+    def _write(self, rows: DataFrame, bucket: Column, folder: str) -> dict[str, str]:
+        """Writes rows below a folder of the store by bucket; the folder of each bucket that has rows."""
         staged = rows.withColumn(BUCKET, bucket).hint("rebalance", BUCKET)
         staged.write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
-        written = {n.partition("=")[2] for n in self._names(f"{self.path}/{folder}") if n.startswith(f"{BUCKET}=")}
-        for b in map(str, touched):
-            after.folders[table].pop(b, None)
-            if b in written:
-                after.folders[table][b] = f"{folder}/{BUCKET}={b}"
+        return {n.partition("=")[2]: f"{folder}/{n}" for n in self._names(f"{self.path}/{folder}") if n.startswith(f"{BUCKET}=")}
 
     def _commit(self, manifest: Manifest) -> None:
         where, files = self._files(f"{self.path}/versions/{manifest.version:012d}.json")
@@ -214,12 +219,18 @@ class Store:
             raise ValueError(f"not to be updated: {sorted(extra)}")
         manifest = self.manifest()
         bucket = F.pmod(F.xxhash64(F.col("survey_id").cast("string")), F.lit(manifest.buckets)).cast("int")
-        old = self._table(manifest, table, [r[0] for r in rows.select(bucket.alias("b")).distinct().collect()])
-        if old is None:
+        if table not in manifest.schemas:
             raise KeyError(table)
-        new = rows.select(*key, *[F.col(c).alias(f"_{c}") for c in rows.columns if c not in key])
-        merged = old.join(new, key).select(*[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if f"_{c}" in new.columns else F.col(c) for c in old.columns])
-        return self.publish(manifest.version, **{table: Change(merged, key)})
+        # the rows are written by bucket first, which tells the buckets to rewrite; then one join makes these
+        after, token = self._next(manifest), uuid.uuid4().hex
+        if folders := self._write(rows, bucket, f"data/{token}/_{table}"):
+            new = self.spark.read.schema(rows.schema).parquet(*[f"{self.path}/{f}" for f in folders.values()])
+            new = new.select(*key, *[F.col(c).alias(f"_{c}") for c in new.columns if c not in key])
+            old = self._table(manifest, table, map(int, folders))
+            merged = old.join(new, key, "left").select(*[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if f"_{c}" in new.columns else F.col(c) for c in old.columns])
+            after.folders[table] |= self._write(merged, bucket, f"data/{token}/{table}")
+        self._commit(after)
+        return after.version
 
     def write_report(self, rows: DataFrame, survey_id: str, kind: str, now: datetime | None = None) -> str:
         """Writes a report (csv, json or text, as many files as tasks) and registers it with its path and size; returns its id.
