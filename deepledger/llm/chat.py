@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Conversations whose tokens and offsets a task holds as Python objects at a time.
+SLICE = 64
 TURN, SAY, END = "<|turn|>", "<|say|>", "<|end|>"
 #: A control string inside a text gets one backslash more after its first character, so none is left as it stands.
 #: Openings of this template's marks and of marks that other chat templates use.
@@ -84,7 +86,7 @@ def format_chats(turns: DataFrame, tokenizer: str, loss_role: str = "assistant")
         coder = Tokenizer.from_file(tokenizer)
         coder.add_special_tokens([AddedToken(x, normalized=False, special=True) for x in (TURN, SAY, END)])
         for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+            for part in (batch.slice(i, SLICE) for i in range(0, batch.num_rows, SLICE)):
                 texts, loss = [], []
                 for said in part["turns"].to_pylist():
                     pieces, spans, at = [], [], 0
@@ -116,7 +118,7 @@ def read_back(chats: DataFrame) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
 
-        for batch in batches:
+        for batch in (whole.slice(i, SLICE) for whole in batches for i in range(0, max(1, whole.num_rows), SLICE)):
             rows = []
             for x in batch.to_pylist():
                 turns = parse(x["formatted"])
