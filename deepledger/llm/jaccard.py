@@ -10,11 +10,12 @@ rarest |shared| - ceil(0.8 n) + 1 shingles (inverted lists) or from the pairs am
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from deepledger.llm.common import GOLDEN, connected_components, cut, join_counted, mix64, scratch, shingle_sets, slices
@@ -247,32 +248,75 @@ def _differences(spots: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("main", "node", "n", "c", "x", "y").mapInArrow(work, "main long, node long, n long, c long, d array<long>")
 
 
-def near_reference(spots: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links, and pairs yet to be verified, among the sets (node, n, c) of each `main`, told apart by how they differ from it.
+def _joined(tokens: DataFrame, edges: DataFrame) -> DataFrame:
+    """tokens with the components of the edges (u, v) between its components in the place of `c` and `top`."""
+    labels = cut(connected_components(edges, "u", "v"))
+    for c in ("c", "top"):
+        tokens = tokens.join(labels.select(F.col("id").alias(c), F.col("component").alias("_to")), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
+    return cut(tokens)
+
+
+def _apart(tokens: DataFrame) -> Row:
+    """sets: how many there are of all `main`; pairs: a bound on those of them in different components that share a token."""
+
+    def across(parts: DataFrame, *of: str) -> DataFrame:
+        sums = parts.groupBy(*of, "c").agg(F.count("*").alias("k")).groupBy(*of).agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("inside"))
+        return sums.withColumn("pairs", (F.col("k") * F.col("k") - F.col("inside")) / 2)
+
+    by_sets = across(tokens.select("main", "node", "c").distinct(), "main")
+    by_tokens = across(tokens, "main", "t").groupBy("main").agg(F.sum("pairs").alias("met"))
+    both = by_sets.join(by_tokens, "main").agg(F.sum("k").alias("sets"), F.sum(F.least("pairs", "met")).alias("pairs"))
+    return both.select(F.coalesce("sets", F.lit(0)).alias("sets"), F.coalesce("pairs", F.lit(0.0)).alias("pairs")).first()
+
+
+def near_reference(spots: DataFrame, sets: DataFrame, votes: int = 4, list_rows: int = LIST_ROWS) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Links, pairs yet to be verified, and pairs verified on the way, among the sets (node, n, c) of each `main`, told apart by how they differ from it.
 
     With D the difference of a set from main's, two sets link when |Da| + |Db| - 2 |Da & Db| <= (na + nb) / 9. Those that link
     whatever they share all link to the set of least 9 |D| - n. All others share a member of D, and at least |Da| - na / 4 of them,
     so each gives its rarest such members to a join. Copies of one text differ from it in little, and not in the same places.
     The first member that two sets share is followed in both by all others they share, so it counts only where enough follow it;
     what a pair shares is then at least its counted members, and at most those and the fewer of what follows the last of them.
+    A large group would still give pairs by the square of its size. So while there may be more than `list_rows` pairs for each
+    set, every member of D picks one of its sets, each set is compared with the `votes` picked ones it meets most often, and those
+    that link become one component, inside which no pair is looked at. A round that leaves more than nine tenths of the pairs is the last.
     """
     apart = cut(_differences(spots, sets)).withColumn("m", F.size("d"))
     apart = apart.withColumn("far", 9 * F.col("m") - F.col("n"))
     hub = apart.groupBy("main").agg(F.min_by(F.struct("node", "c", "far"), F.struct("far", "node")).alias("hub"))
-    star = apart.join(hub, "main").where((F.col("c") != F.col("hub.c")) & (F.col("far") + F.col("hub.far") <= 0)).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+    star = apart.join(hub, "main").where((F.col("c") != F.col("hub.c")) & (F.col("far") + F.col("hub.far") <= 0))
+    links = cut(star.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"), F.col("c").alias("u"), F.col("hub.c").alias("v")))
     tokens = apart.select("main", "node", "n", "c", "m", F.explode("d").alias("t"))
     tokens = tokens.join(tokens.groupBy("main", "t").agg(F.count("*").alias("df")).where("df > 1"), ["main", "t"])
     own, need = Window.partitionBy("main", "node"), F.greatest(F.lit(1), F.ceil(F.col("m") - F.col("n") / 4)).cast("int")
     tokens = tokens.withColumns({"rest": need - 1, "k": F.count("*").over(own), "rank": F.row_number().over(own.orderBy("df", "t"))})
-    tokens = cut(tokens.where(F.col("rank") + F.col("rest") <= F.col("k")).select("main", "t", "node", "n", "c", "m", (F.col("k") - F.col("rank")).alias("after")))
-    side = lambda x: tokens.select("main", "t", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "c", "m", "after")])
+    tokens = tokens.where(F.col("rank") + F.col("rest") <= F.col("k")).select("main", "t", "node", "n", "c", "m", (F.col("k") - F.col("rank")).alias("after"))
+    tokens = _joined(tokens.withColumn("top", F.col("main")), links)
+    fields = ("node", "n", "c", "m", "after")
+    side = lambda x: tokens.select("main", "t", "top", *[F.col(c).alias(f"{c}_{x}") for c in fields])
     needed = 9 * (F.col("m_a") + F.col("m_b")) - F.col("n_a") - F.col("n_b")  # 18 times what a pair must share
     follow = F.least("after_a", "after_b")
-    pairs = side("a").where("c_a != main").join(side("b"), ["main", "t"]).where("c_a != c_b and (c_b = main or node_a < node_b)").where(_near("n_a", "n_b") & (18 * (follow + 1) >= needed))
+    may_link = (F.col("c_a") != F.col("c_b")) & _near("n_a", "n_b") & (18 * (follow + 1) >= needed)
+    some = tried = last = None
+    for seed in itertools.count():
+        size = _apart(tokens)
+        if size["pairs"] <= list_rows * size["sets"] or last is not None and size["pairs"] > 0.9 * last:
+            break
+        last = size["pairs"]
+        some = cut(join_counted(sets, spots.select("node").distinct(), ["node"], "left_semi")) if some is None else some
+        pivots = tokens.groupBy("main", "t").agg(F.min_by(F.struct(*fields), F.xxhash64("node", "t", F.lit(seed))).alias("p"))
+        met = side("a").join(pivots.select("main", "t", *[F.col(f"p.{c}").alias(f"{c}_b") for c in fields]), ["main", "t"]).where(may_link).groupBy(*[f"{c}_{x}" for c in ("node", "c") for x in "ab"]).agg(F.count("*").alias("k"))
+        best = met.withColumn("rank", F.row_number().over(Window.partitionBy("node_a").orderBy(F.desc("k"), "node_b"))).where(F.col("rank") <= votes)
+        pairs = best.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), F.col("c_a").alias("u"), F.col("c_b").alias("v")).dropDuplicates(["a", "b"])
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
+        new = cut(pairs.join(verified(pairs.select("a", "b"), some), ["a", "b"]))
+        links, tokens = links.union(new), _joined(tokens, new)
+    pairs = side("a").where("c_a != top").join(side("b").drop("top"), ["main", "t"]).where(may_link & F.expr("c_b = top or node_a < node_b"))
     pairs = pairs.groupBy("main", *[f"{c}_{x}" for c in ("node", "n", "m") for x in "ab"]).agg(F.count("*").alias("k"), F.min(follow).alias("more"))
     pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), (needed - 18 * F.col("k")).alias("short"), "more")
     pairs = cut(pairs.where("short <= 18 * more"))
-    return star.union(pairs.where("short <= 0").select("a", "b")), pairs.where("short > 0").select("a", "b")
+    return links.select("a", "b").union(pairs.where("short <= 0").select("a", "b")), pairs.where("short > 0").select("a", "b"), tried
 
 
 def link_components(sigs: DataFrame, sets: DataFrame, rounds: int = 2, votes: int = 4, list_rows: int = LIST_ROWS) -> DataFrame:
@@ -303,12 +347,12 @@ def link_components(sigs: DataFrame, sets: DataFrame, rounds: int = 2, votes: in
     # of the lists of the very same sets one is enough
     main = main.where("groups > 1").groupBy("k", *marks).agg(F.min_by(F.struct("sig", "main"), "sig").alias("one")).select("one.sig", "one.main", "k")
     open_lists = cut(members.join(main, "sig"))
-    near, unsure = near_reference(open_lists.where(F.col("k") > list_rows).select("node", "n", "c", "main").distinct(), sets)
+    near, unsure, seen = near_reference(open_lists.where(F.col("k") > list_rows).select("node", "n", "c", "main").distinct(), sets, votes, list_rows)
     short = open_lists.where(F.col("k") <= list_rows)
     outside = short.where("c != main").select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
     pairs = outside.join(short.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), "sig")
     pairs = pairs.where((F.col("ca") != F.col("cb")) & _near("na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = cut(pairs.union(unsure).distinct().join(tried, ["a", "b"], "left_anti"))
+    pairs = cut(pairs.union(unsure).distinct().join(tried if seen is None else tried.union(seen), ["a", "b"], "left_anti"))
     return connected_components(links.union(near).union(verified(pairs, sets)))
 
 

@@ -114,6 +114,27 @@ def test_similarity_in_long_lists(spark, monkeypatch, rows):
     assert got == brute_components(texts)
 
 
+def test_pairs_of_a_group_of_near_copies_grow_as_the_group(spark, monkeypatch):
+    """Copies with a few of 24 edits each, most of which link to many others: few pairs are looked at for each copy."""
+    reference, made = jaccard.near_reference, []
+
+    def counted(*args):
+        out = reference(*args)
+        made.append(sum(x.count() for x in out if x is not None))
+        return out
+
+    monkeypatch.setattr(jaccard, "near_reference", counted)
+    base, r, texts = words(200, 77), random.Random(5), []
+    for _ in range(600):
+        w = list(base)
+        for e in r.sample(range(24), 3 + r.randrange(2)):
+            w[8 * e] = f"edit{e}"
+        texts.append(" ".join(w))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.similarity_components(docs_of(spark, texts)).collect()}
+    assert got == brute_components(texts)
+    assert made[0] <= 16 * len(texts), made
+
+
 @pytest.mark.parametrize("light", [None, 0, 10**6])
 def test_similarity_components(spark, monkeypatch, light):
     if light is not None:
