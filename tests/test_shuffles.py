@@ -27,6 +27,31 @@ def test_report_reads_detections_once(spark):
     assert exchanges(R.markdown_lines(d)) == 1
 
 
+def longest_method(spark, df):
+    """Bytes of the longest method that is generated for the plan; the JVM compiles none of more than 8,000."""
+    debug = getattr(getattr(spark._jvm, "org.apache.spark.sql.execution.debug.package$"), "MODULE$")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else stages are compiled only while they run
+    try:
+        made = debug.codegenStringSeq(df.select("*")._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    return max(made.apply(i)._3().maxMethodCodeSize() for i in range(made.size()))
+
+
+def test_located_rows_come_from_methods_that_are_compiled(spark):
+    rows = A.detections(spark, SF).drop("survey_id", "frame_index").join(A.frames(spark, SF), "image_id").localCheckpoint()
+    r = L.located(rows, A.IMAGE_HEIGHT)
+    assert longest_method(spark, r.select("detection_id", "location_status", "det_lat", "det_lon")) <= 8000
+
+
+def test_ellipses_are_drawn_where_their_rows_are_read(spark):
+    rows = spark.createDataFrame([(i, 50.0, 10.0, 90.0, "port", None) for i in range(5)] + [(9, None, 1.0, 90.0, "port", 1.0), (8, 50.0, 1.0, None, "port", 1.0)], "id long, slant_m double, effective_m double, ok_heading double, ok_side string, accuracy_m double")
+    made = L.uncertainty(rows, "id")
+    assert exchanges(made) == 0 and "NestedLoop" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {r["id"]: r for r in made.collect()}
+    assert len({tuple(r)[1:] for i, r in got.items() if i < 5}) == 1 and got[9]["radius_m"] is not None and got[8]["radius_m"] is None
+
+
 def test_first_publication_reads_its_rows_once(spark):
     reads = spark.sparkContext.accumulator(0)
     seen = F.udf(lambda x: reads.add(1) or x, "long")
