@@ -8,6 +8,7 @@ from deepledger.llm import chat
 from deepledger.operators import evaluation as E
 from deepledger.operators import location as L
 from deepledger.operators import reporting as R
+from deepledger.plans import survey_queries
 from deepledger.sources import adapters as A
 from deepledger.sources.store import Change, Store, shared_folder
 from tests.oracle import SF
@@ -44,6 +45,10 @@ def test_located_rows_come_from_methods_that_are_compiled(spark):
     assert longest_method(spark, r.select("detection_id", "location_status", "det_lat", "det_lon")) <= 8000
 
 
+def test_features_come_from_methods_that_are_compiled(spark):
+    assert longest_method(spark, survey_queries.geojson_report(spark, SF)) <= 8000
+
+
 def test_ellipses_are_drawn_where_their_rows_are_read(spark):
     rows = spark.createDataFrame([(i, 50.0, 10.0, 90.0, "port", None) for i in range(5)] + [(9, None, 1.0, 90.0, "port", 1.0), (8, 50.0, 1.0, None, "port", 1.0)], "id long, slant_m double, effective_m double, ok_heading double, ok_side string, accuracy_m double")
     made = L.uncertainty(rows, "id")
