@@ -90,12 +90,12 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base and of its inverse modulo 2**64; those of a longer text than a chunk are not kept."""
+    """The first n powers of an odd base and of its inverse modulo 2**64; as many are kept as any chunk has asked for, those of a longer text than a chunk are not."""
     make = lambda size: (_odd_powers(_BASE, size), _odd_powers(pow(_BASE, -1, 1 << 64), size))
     if n > CHUNK_BYTES + 1:
         return make(n)
-    if not _POWERS:
-        _POWERS["up"], _POWERS["down"] = make(CHUNK_BYTES + 1)
+    if len(_POWERS.get("up", ())) < n:
+        _POWERS["up"], _POWERS["down"] = make(min(max(n + n // 4, 1 << 14), CHUNK_BYTES + 1))
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
@@ -110,12 +110,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of about CHUNK_BYTES of text each; a longer text is alone in its range."""
+def slices(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of about `most` bytes of text each; a longer text is alone in its range."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     begin, total = 0, 0
     for i, size in enumerate(sizes):
-        if total and total + size > CHUNK_BYTES:
+        if total and total + size > most:
             yield begin, i
             begin, total = i, 0
         total += size
@@ -187,7 +187,7 @@ def clean_name(df: DataFrame, wanted: str) -> str:
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges of a partition as stars: each of its ids with the smallest id that its own edges reach."""
+    """The edges of a partition as stars: each of its ids but the smallest with the smallest id that its own edges reach."""
     parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
     u, v = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 2
     ids, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
@@ -204,14 +204,23 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[root[far]])], names=["u", "v"])
 
 
+def _with_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stars of a partition, and each smallest id with itself."""
+    for batch in _forest(batches):
+        roots = pa.array(np.unique(batch.column(1).to_numpy()))
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([batch.column(0), roots]), pa.concat_arrays([batch.column(1), roots])], names=["id", "component"])
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component): the smallest id (a long) reachable over undirected edges, for every id on an edge.
+    """(id, component): the smallest id (a long) reachable over undirected edges, for every id on an edge. The edges are read twice: cut them first.
 
     In each round a partition, of about PART_ROWS edges, turns its own edges into stars; one partition is then done. If there are
     several, a large-star and a small-star step follow, each a grouped minimum and a join, until a round changes nothing.
     """
-    edges = cut(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
+    edges = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     size, before = edges.count(), None
+    if size < PART_ROWS:  # all edges in one partition
+        return edges.coalesce(1).mapInArrow(_with_roots, "id long, component long")
     while True:
         parts = size // PART_ROWS + 1
         edges = cut(edges.coalesce(parts).mapInArrow(_forest, "u long, v long"))

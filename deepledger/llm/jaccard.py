@@ -28,6 +28,8 @@ TINY = 3
 SCAN_COST = 0.05
 #: Sets of a list up to which its pairs are looked at one by one.
 LIST_ROWS = 16
+#: Bytes of text that a task works on at once, and entries of packed buckets.
+SLICE, ENTRIES = 1 << 18, 1 << 17
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
@@ -52,7 +54,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch["text"]):
+            for a, b in slices(batch["text"], SLICE):
                 sets = shingle_sets(batch["text"].slice(a, b - a), WORDS)
                 marks = [fingerprint(s) for s in sets]
                 sizes = np.array([len(s) for s in sets], np.int64)
@@ -85,15 +87,22 @@ def _packed(bucket: np.ndarray, keys: np.ndarray, at: np.ndarray, more: np.ndarr
     )
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys, at, more = [], [], []
-    for batch in batches:
-        for base, k, a, m in zip(batch["base"].to_pylist(), batch["keys"].to_pylist(), batch["at"].to_pylist(), batch["more"].to_pylist()):
-            keys.append(np.frombuffer(k, np.uint64))
-            at.append(np.frombuffer(a, np.uint64 if len(a) == len(k) else np.uint32).astype(np.int64) + base)
-            more.append(np.frombuffer(m, np.uint32) if m else np.zeros(len(keys[-1]), np.uint32))
-    none = np.zeros(0, np.uint64)
-    return np.concatenate([none, *keys]), np.concatenate([none.astype(np.int64), *at]), np.concatenate([none.astype(np.uint32), *more])
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys, numbers and values of batches in the order of their buckets: of so many whole buckets at a time that they hold ENTRIES keys."""
+    rows = ((x, *y) for b in batches for x, *y in zip(b["bucket"].to_pylist(), b["base"].to_pylist(), b["keys"], b["at"], b["more"]))
+    keys, at, more, held = [], [], [], 0
+    for _, own in itertools.groupby(rows, lambda x: x[0]):
+        if held >= ENTRIES:
+            yield np.concatenate(keys), np.concatenate(at), np.concatenate(more)
+            keys, at, more, held = [], [], [], 0
+        for _, base, k, a, m in own:
+            keys.append(np.frombuffer(k.as_buffer(), np.uint64))
+            place = a.as_buffer()
+            at.append(np.frombuffer(place, np.uint64 if place.size == 8 * len(keys[-1]) else np.uint32).astype(np.int64) + base)
+            more.append(np.frombuffer(m.as_buffer(), np.uint32) if m.is_valid else np.zeros(len(keys[-1]), np.uint32))
+            held += len(keys[-1])
+    if held:
+        yield np.concatenate(keys), np.concatenate(at), np.concatenate(more)
 
 
 def _bucket_of(x: np.ndarray) -> np.ndarray:
@@ -103,33 +112,33 @@ def _bucket_of(x: np.ndarray) -> np.ndarray:
 def shared_tokens(sets: DataFrame, least: Callable[[np.ndarray], np.ndarray], with_tokens: bool) -> DataFrame:
     """(node, n, tokens, df) of the sets (row, n, low) of which at least least(n) members are in others: those members, rare first, and in how many sets each is.
 
-    Members go to the buckets of their hashes, packed, and what is shared comes back to the buckets of the sets. Without
-    with_tokens only its number comes back, and tokens and df are empty.
+    Members go to the buckets of their hashes, packed, and what is shared comes back to the buckets of the sets; a task holds
+    a few buckets at a time. Without with_tokens only its number comes back, and tokens and df are empty.
     """
 
     def by_token(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low = batch["low"].to_pylist()
-            if low:
+            for a, b in slices(batch["low"], 8 * ENTRIES):
+                low = batch["low"].slice(a, b - a).to_pylist()
                 tokens = np.frombuffer(b"".join(low), np.uint64)
-                at = np.repeat(batch["row"].to_numpy(), [len(x) // 8 for x in low])
+                at = np.repeat(batch["row"].to_numpy()[a:b], [len(x) // 8 for x in low])
                 out = _packed(_bucket_of(tokens), tokens, at, np.zeros(len(tokens)))
                 yield out.set_column(4, "more", pa.nulls(out.num_rows, pa.binary()))
 
     def by_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, rows, _ = _unpacked(batches)
-        order = np.argsort(tokens, kind="stable")
-        tokens, rows = tokens[order], rows[order]
-        first = np.flatnonzero(np.diff(tokens, prepend=tokens[:1] ^ np.uint64(1)) != 0)
-        df = np.repeat(np.diff(first, append=len(tokens)), np.diff(first, append=len(tokens)))
-        keep = df > 1
-        if not keep.any():
-            return
-        if with_tokens:
-            yield _packed(_bucket_of(rows[keep]), tokens[keep], rows[keep], df[keep])
-        else:
-            some, k = np.unique(rows[keep], return_counts=True)
-            yield _packed(_bucket_of(some), k.astype(np.uint64), some, np.ones(len(some)))
+        for tokens, rows, _ in _unpacked(batches):
+            order = np.argsort(tokens, kind="stable")
+            tokens, rows = tokens[order], rows[order]
+            first = np.flatnonzero(np.diff(tokens, prepend=tokens[:1] ^ np.uint64(1)) != 0)
+            df = np.repeat(np.diff(first, append=len(tokens)), np.diff(first, append=len(tokens)))
+            keep = df > 1
+            if not keep.any():
+                continue
+            if with_tokens:
+                yield _packed(_bucket_of(rows[keep]), tokens[keep], rows[keep], df[keep])
+            else:
+                some, k = np.unique(rows[keep], return_counts=True)
+                yield _packed(_bucket_of(some), k.astype(np.uint64), some, np.ones(len(some)))
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,29 +147,29 @@ def shared_tokens(sets: DataFrame, least: Callable[[np.ndarray], np.ndarray], wi
                 yield _packed(_bucket_of(rows), n.astype(np.uint64), rows, np.zeros(len(n)))
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, rows, df = _unpacked(batches)
-        is_size = df == 0
-        order = np.argsort(rows[is_size])
-        known, n_of = rows[is_size][order], keys[is_size][order].astype(np.int64)
-        tokens, rows, df = keys[~is_size], rows[~is_size], df[~is_size]
-        nodes, inverse, counts = np.unique(rows, return_inverse=True, return_counts=True)
-        if not with_tokens:
-            counts = np.bincount(inverse, weights=tokens.astype(np.float64), minlength=len(nodes)).astype(np.int64)
-        n = n_of[np.searchsorted(known, nodes)] if len(nodes) else np.zeros(0, np.int64)
-        live = counts >= least(n)
-        if with_tokens:
-            order = np.lexsort((tokens, df, inverse))
-            order = order[live[inverse[order]]]
-            ends = np.concatenate([[0], np.cumsum(counts[live])])
-        else:
-            order, ends = np.zeros(0, np.int64), np.zeros(int(live.sum()) + 1, np.int64)
-        lists = lambda v: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[live]), pa.array(n[live]), lists(tokens[order].view(np.int64)), lists(df[order].astype(np.int32))], names=["node", "n", "tokens", "df"])
-
-    postings = sets.select("row", "low").mapInArrow(by_token, PACKED).repartition("bucket")
+        for keys, rows, df in _unpacked(batches):
+            is_size = df == 0
+            order = np.argsort(rows[is_size])
+            known, n_of = rows[is_size][order], keys[is_size][order].astype(np.int64)
+            tokens, rows, df = keys[~is_size], rows[~is_size], df[~is_size]
+            nodes, inverse, counts = np.unique(rows, return_inverse=True, return_counts=True)
+            if not with_tokens:
+                counts = np.bincount(inverse, weights=tokens.astype(np.float64), minlength=len(nodes)).astype(np.int64)
+            n = n_of[np.searchsorted(known, nodes)] if len(nodes) else np.zeros(0, np.int64)
+            live = counts >= least(n)
+            if with_tokens:
+                order = np.lexsort((tokens, df, inverse))
+                order = order[live[inverse[order]]]
+                ends = np.concatenate([[0], np.cumsum(counts[live])])
+            else:
+                order, ends = np.zeros(0, np.int64), np.zeros(int(live.sum()) + 1, np.int64)
+            lists = lambda v: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[live]), pa.array(n[live]), lists(tokens[order].view(np.int64)), lists(df[order].astype(np.int32))], names=["node", "n", "tokens", "df"])
+
+    postings = sets.select("row", "low").mapInArrow(by_token, PACKED).repartition("bucket").sortWithinPartitions("bucket")
     found = postings.mapInArrow(by_set, PACKED)
     every = sets.select("row", "n").mapInArrow(sizes, PACKED)
-    return found.union(every).repartition("bucket").mapInArrow(select, "node long, n long, tokens array<long>, df array<int>")
+    return found.union(every).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(select, "node long, n long, tokens array<long>, df array<int>")
 
 
 def boundary(shared: DataFrame) -> int:
@@ -202,7 +211,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch["text"]):
+            for a, b in slices(batch["text"], SLICE):
                 part = batch.slice(a, b - a)
                 sets = shingle_sets(part["text"], WORDS)
                 same = [i for i, s in enumerate(sets) if fingerprint(s) == (part["f1"][i].as_py(), part["f2"][i].as_py())]
@@ -353,7 +362,7 @@ def link_components(sigs: DataFrame, sets: DataFrame, rounds: int = 2, votes: in
     pairs = outside.join(short.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), "sig")
     pairs = pairs.where((F.col("ca") != F.col("cb")) & _near("na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = cut(pairs.union(unsure).distinct().join(tried if seen is None else tried.union(seen), ["a", "b"], "left_anti"))
-    return connected_components(links.union(near).union(verified(pairs, sets)))
+    return connected_components(cut(links.union(near).union(verified(pairs, sets))))
 
 
 def similarity_components(docs: DataFrame) -> DataFrame:

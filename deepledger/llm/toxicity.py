@@ -18,6 +18,8 @@ FIT_ROWS = 10_000
 #: A word becomes a feature if it is in so many labelled documents and its log odds lie so many deviations from 0.
 LEAST_DOCS, LEAST_Z = 3, 2.5
 TABLE_BITS = 20
+#: Bytes of text that a task works on at once.
+SLICE = 1 << 18
 
 
 @dataclass
@@ -48,7 +50,7 @@ def labelled_words(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch["text"]):
+            for a, b in slices(batch["text"], SLICE):
                 hashes, at = _tokens(batch["text"].slice(a, b - a))
                 each = [np.unique(hashes[i:j], return_counts=True) for i, j in zip(at[:-1], at[1:])]
                 yield pa.RecordBatch.from_arrays([batch["toxic"].slice(a, b - a), pa.array([w.tobytes() for w, _ in each], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in each], pa.binary())], names=["toxic", "words", "counts"])
@@ -174,7 +176,7 @@ def severity(docs: DataFrame, model: Model) -> DataFrame:
         table[model.words & mask] = True
         for batch in batches:
             parts = []
-            for a, b in slices(batch["text"]):
+            for a, b in slices(batch["text"], SLICE):
                 hashes, at = _tokens(batch["text"].slice(a, b - a))
                 hit = np.flatnonzero(table[hashes & mask])
                 place = np.searchsorted(model.words, hashes[hit])

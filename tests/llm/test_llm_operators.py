@@ -114,6 +114,23 @@ def test_similarity_in_long_lists(spark, monkeypatch, rows):
     assert got == brute_components(texts)
 
 
+def test_components_of_edges_that_fit_a_partition_are_one_task(spark, monkeypatch):
+    edges = spark.createDataFrame([(3, 1), (1, 2), (7, 7), (9, 8), (8, 9)], "a long, b long").repartition(5)
+    monkeypatch.setattr(common, "cut", lambda *args: pytest.fail("written"))
+    made = common.connected_components(edges)
+    assert made.rdd.getNumPartitions() == 1
+    assert sorted(map(tuple, made.collect())) == [(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)]
+
+
+def test_packed_buckets_are_read_a_few_at_a_time(monkeypatch):
+    monkeypatch.setattr(jaccard, "ENTRIES", 100)
+    keys, at = np.arange(3000, dtype=np.uint64), np.arange(3000) + 5
+    packed = jaccard._packed(np.arange(3000) // 60, keys, at, np.arange(3000) % 7)
+    read = list(jaccard._unpacked(iter([packed.slice(0, 20), packed.slice(20)])))
+    assert max(len(k) for k, _, _ in read) == 120 and len(read) == 25
+    assert all((np.concatenate(x) == y).all() for x, y in zip(zip(*read), (keys, at, np.arange(3000) % 7)))
+
+
 def test_pairs_of_a_group_of_near_copies_grow_as_the_group(spark, monkeypatch):
     """Copies with a few of 24 edits each, most of which link to many others: few pairs are looked at for each copy."""
     reference, made = jaccard.near_reference, []
