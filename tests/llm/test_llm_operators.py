@@ -1,6 +1,8 @@
 import hashlib
+import os
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -451,6 +453,46 @@ def test_quality_sees_the_order_of_words(spark):
     assert sum(got[i] for i in range(240)) > 230 and not got[240] and not got[241]
 
 
+def mixed_docs(spark):
+    r = random.Random(13)
+    rows = [(i, " ".join(f"w{int(r.paretovariate(0.7))}" for _ in range(r.randint(1, 60))), ("en", "de", None)[i % 3]) for i in range(300)]
+    return spark.createDataFrame([*rows, (7, rows[7][1], rows[7][2]), (400, None, "en")], "doc_id long, text string, lang string").repartition(3)
+
+
+def test_quality_by_turns_and_with_hot_words(spark, monkeypatch):
+    docs, plans = mixed_docs(spark), []
+    score = lambda: [tuple(x) for x in quality.score_quality(docs, spark.range(200).withColumnRenamed("id", "doc_id"), least_held=3).orderBy("doc_id").collect()]
+    monkeypatch.setattr(quality, "_planned", lambda *a, f=quality._planned: plans.append(out := f(*a)) or out)
+    want = score()
+    for name, least in (("TURN_WORDS", 2000), ("SLOT_WORDS", 100), ("DEALT_WORDS", 50), ("HOT_WORDS", 20)):
+        monkeypatch.setattr(quality, name, least)
+    got = score()
+    (one, _), (many, counting) = plans
+    assert one.turns == 1 and not len(one.hot) and many.turns > 3 and 1 < counting <= many.turns and len(many.hot) > 3 and many.ways.max() > many.turns
+    assert len(got) == 302 and [(x[0], x[1], x[4]) for x in got] == [(x[0], x[1], x[4]) for x in want]
+    for x, y in zip(got, want):
+        assert (x[2] is None) == (y[2] is None) == (x[0] == 400) and (x[2] is None or x[2] == pytest.approx(y[2], rel=1e-10)) and x[3] == pytest.approx(y[3])
+
+
+def test_quality_releases_what_each_turn_shuffles(spark, monkeypatch):
+    folders = [str(x) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {f for top in folders for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+    docs, left = mixed_docs(spark).localCheckpoint(), []
+
+    def stored(*a, f=quality._stored):
+        before = shuffled()
+        out = f(*a)
+        end = time.time() + 10
+        while (more := shuffled() - before) and time.time() < end:  # files go a moment later
+            time.sleep(0.1)
+        left.append(more)
+        return out
+
+    monkeypatch.setattr(quality, "_stored", stored)
+    quality.score_quality(docs, spark.range(200).withColumnRenamed("id", "doc_id"), least_held=3)
+    assert len(left) >= 2 and not any(left)
+
+
 def test_word_counts(spark):
     texts = ["The cat, the  cat\u00a0sat!!", "Él vio $$$x 1a\t\n...", "the cat", "", " "]
     rows = quality.word_counts(spark.createDataFrame([(x, "en") for x in texts * 2] + [("the cat", "de")], "text string, lang string")).collect()
