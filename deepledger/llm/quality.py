@@ -442,14 +442,14 @@ def _turn(texts: DataFrame, counted: DataFrame, plan: Plan, salts: np.ndarray, m
                 into[hit] = values[at[hit]]
         have = lower > 0
         p = np.where(have, own + rest * lower, rest * after)
-        nll = -np.log(np.where(p > 0, p, 1.0))  # where discounts of 0 leave nothing to a word that does not follow, it counts as certain
+        nll = -np.log(np.where(p > 0, p, 1.0))  # where discounts of 0 leave nothing to a word that does not follow, it adds nothing, and an unknown one as if it stood alone
         scored = (tag & 1) > 0
         ends = np.cumsum(sizes)
         out = []
         for name, i, j in zip(names, ends - sizes, ends, strict=True):
             if (own := i + np.flatnonzero(scored[i:j])).size:
                 out.append(_sums(name, text[own], nll[number[own]] * n[own], n[own], plan))
-        open_ = np.flatnonzero(scored & (~have & (p > 0))[number])
+        open_ = np.flatnonzero(scored & ~have[number])
         c, slot = c[number[open_]], plan.slot(c)[number[open_]]
         order = np.lexsort([c, slot])
         open_, c, slot = open_[order], c[order], slot[order]
@@ -457,7 +457,7 @@ def _turn(texts: DataFrame, counted: DataFrame, plan: Plan, salts: np.ndarray, m
         for i, j in _runs(slot):
             x = open_[i:j]
             used, at = np.unique(of[i:j], return_inverse=True)
-            out.append((int(slot[i]), PENDING, _packed(names[used], c[i:j], _narrow(at), _narrow(text[x]), _narrow(n[x]), _narrow(tag[x] // 4))))
+            out.append((int(slot[i]), PENDING, _packed(names[used], c[i:j], _narrow(at), _narrow(text[x]), _narrow(n[x]), _narrow(tag[x] // 4 * 2 + (p[number[x]] == 0)))))
         yield _rows(out)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -469,10 +469,11 @@ def _turn(texts: DataFrame, counted: DataFrame, plan: Plan, salts: np.ndarray, m
         keys, p = keys[order], model.word(left[order].astype(np.int64), m[order].astype(np.int64))
         parts: dict[int, list] = {}
         for names, c, of, text, n, m in rows[PENDING]:
+            nothing, m = m % 2 > 0, m // 2
             q = model.unknown[m]
             if len(keys):
                 at = np.searchsorted(keys, c).clip(max=len(keys) - 1)
-                q = np.where(keys[at] == c, p[at], q)
+                q = np.where(keys[at] == c, np.where(nothing, 1.0, p[at]), q)
             order = np.argsort(of, kind="stable")
             for i, j in _runs(of[order]):
                 x = order[i:j]
