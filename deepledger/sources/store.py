@@ -35,6 +35,18 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{place.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def cut(rows: DataFrame, label: str) -> DataFrame:
+    """The rows, written to the shared folder and read again; what was shuffled for them is deleted at once."""
+    spark, path, release = rows.sparkSession, shared_folder(rows.sparkSession, label), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(release, None)
+    spark.conf.set(release, "true")
+    try:
+        rows.select("*").write.parquet(path)
+    finally:
+        spark.conf.set(release, before) if before is not None else spark.conf.unset(release)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 class Conflict(RuntimeError):
     """Another writer committed the version that this one was to be; nothing of this one is visible."""
 
